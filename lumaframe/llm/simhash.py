@@ -3,8 +3,8 @@
 Fingerprints are cut into partitions of correlated bits. If the thresholds of m partitions sum to
 tau - m + 1 (a threshold of -1 leaves a partition out), two fingerprints within tau bits agree within the
 threshold in at least one of them; dynamic programming picks the thresholds with the least estimated work.
-Fingerprints that share a probed value are compared in full. Buckets with too many pairs go another exact
-way: two fingerprints are within tau bits just if their balls of radius tau/2 meet, and a point has only a
+Fingerprints that share a probed value are compared in full. Buckets with too many pairs are cut once
+more by slices of the other bits; what is still crowded goes another exact way: two fingerprints are within tau bits just if their balls of radius tau/2 meet, and a point has only a
 bounded number of fingerprints around it.
 """
 
@@ -24,6 +24,8 @@ from .common import ASCII_LOWER, connected_components, staged, table
 SEED = 42
 #: A bucket of more ordered pairs than this goes by balls; only speed depends on it.
 BUCKET_PAIRS = 4096
+#: SQL can't write the least long as one literal.
+LEAST_LONG = ("-9223372036854775808L", "(-9223372036854775807L - 1L)")
 #: Fingerprints from which correlations and candidate counts are estimated; only speed depends on it.
 SAMPLE = 4096
 #: Min-hash bands (of ROWS values each) that propose pairs for a similarity of 0.8 or more.
@@ -135,7 +137,7 @@ def links(fps: DataFrame, tau: int = 2, bucket_pairs: int = BUCKET_PAIRS) -> Dat
         for i in range(t + 1)
         for flip in combinations(part, i)
     ]
-    array = ", ".join(f"struct({k} as part, {mask}L as mask, {flip}L as flip)" for k, mask, flip in probes).replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")
+    array = ", ".join(f"struct({k} as part, {mask}L as mask, {flip}L as flip)" for k, mask, flip in probes).replace(*LEAST_LONG)
     entries = fps.select("fp", F.explode(F.expr(f"array({array})")).alias("p")).select(
         F.col("p.part").alias("part"), F.expr("(fp & p.mask) ^ p.flip").alias("value"), "fp", F.expr("p.flip = 0").alias("own")
     )
@@ -147,8 +149,23 @@ def links(fps: DataFrame, tau: int = 2, bucket_pairs: int = BUCKET_PAIRS) -> Dat
     b = cold.select("part", "value", F.col("fp").alias("v"))
     near = a.join(b, ["part", "value"]).where(f"u <> v and bit_count(u ^ v) <= {tau}").select("u", "v")
 
-    hot = entries.join(stats.where(~few).select("part", "value"), ["part", "value"]).select("fp").distinct()
-    flips = ", ".join(f"{_signed(f)}L" for i in range(tau // 2 + 1) for f in combinations(range(64), i)).replace("-9223372036854775808L", "(-9223372036854775807L - 1L)")
+    # crowded buckets are cut once more: within tau bits in the rest, one of tau + 1 slices of it agrees
+    crowded = entries.join(stats.where(~few).select("part", "value"), ["part", "value"])
+    masks = []
+    for k, (part, _) in enumerate(plan):
+        rest = [bit for bit in range(64) if bit not in part]
+        masks += [(k, _signed(rest[i :: tau + 1])) for i in range(tau + 1)]
+    slices = ", ".join(f"struct({k} as k, {mask}L as mask)" for k, mask in masks).replace(*LEAST_LONG)
+    crowded = crowded.select("part", "value", "fp", "own", F.explode(F.expr(f"filter(array({slices}), s -> s.k = part)")).alias("s"))
+    crowded = crowded.select("part", "value", "fp", "own", F.col("s.mask").alias("mask"), F.expr("fp & s.mask").alias("rest"))
+    bucket = ["part", "value", "mask", "rest"]
+    crowds = staged(crowded.groupBy(*bucket).agg(F.count_if("own").alias("own_n"), F.count("*").alias("n")).where("own_n > 0 and n > 1"), "crowds")
+    cold = crowded.join(crowds.where(few).select(*bucket), bucket)
+    a, b = cold.where("own").select(*bucket, F.col("fp").alias("u")), cold.select(*bucket, F.col("fp").alias("v"))
+    near = near.union(a.join(b, bucket).where(f"u <> v and bit_count(u ^ v) <= {tau}").select("u", "v"))
+
+    hot = crowded.join(crowds.where(~few).select(*bucket), bucket).select("fp").distinct()
+    flips = ", ".join(f"{_signed(f)}L" for i in range(tau // 2 + 1) for f in combinations(range(64), i)).replace(*LEAST_LONG)
     balls = hot.select("fp", F.explode(F.expr(f"array({flips})")).alias("flip")).select("fp", F.expr("fp ^ flip").alias("point"))
     middle = balls.groupBy("point").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1")
     met = balls.join(middle.select("point", "v"), "point").where("fp <> v").select(F.col("fp").alias("u"), "v")
