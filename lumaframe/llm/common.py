@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -48,6 +49,13 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs now: it does so when the driver's JVM
+    collects its garbage, which a nearly idle driver may not do before the executors' disks are full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def crc_mod(col: Column, modulus: int) -> Column:
     """crc32 of the value as text, modulo modulus; null for null."""
     return F.crc32(col.cast("string").cast("binary")) % modulus

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import forget, release, staged, table
 
 LENGTH, Q = 400, 64
 #: Offsets in a range of each round.
@@ -139,6 +139,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     shared = found.join(grams, "gram")
     hulls = staged(shared.groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("first")).where("n > 1").drop("n"), "hulls")
     shared = staged(shared.join(hulls, "hull", "left").select("uid", "pos", "lo", "hi", "gram", "first"), "shared")
+    for done in (found, grams, hulls):
+        forget(done)
+    release(rows.sparkSession)
 
     # runs that occur again as a whole are covered; one of them stays as a partner for the others
     covered = shared.where("first is not null").select("uid", "pos", "lo", "hi")
@@ -153,18 +156,27 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
         if texts is None:
             of_text = staged(of_text, "open")
             texts = staged(rows.join(of_text.select("uid"), "uid", "left_semi").select("uid", "text"), "texts")
+            release(rows.sparkSession)
         level = staged(texts.join(of_text, "uid").mapInArrow(_refine(width, length), REFINED), "ranges")
         cores = level.groupBy("core").agg(F.count("*").alias("n"), F.count_if(~F.col("shown")).alias("new")).where("n > 1 and new > 0")
         again = level.join(staged(cores.select("core"), "cores"), "core").drop("core")
         if width == 1:
-            covered = covered.union(again.where("not shown").select("uid", "pos", F.col("a").alias("lo"), F.col("b").alias("hi")))
+            again = staged(again.where("not shown").select("uid", "pos", F.col("a").alias("lo"), F.col("b").alias("hi")), "found")
+            covered = covered.union(again)
+            forget(level)
             break
         again = staged(again, "again")
         same = again.where("hull is not null").groupBy("hull").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos", "a")).alias("first")).where("n > 1")
+        before = (level, again)
         again = staged(again.join(staged(same.drop("n"), "same"), "hull", "left").drop("hull"), "buckets")
+        for done in before:
+            forget(done)
+        release(rows.sparkSession)
         covered = covered.union(again.where("first is not null and not shown").select("uid", "pos", "a", "b"))
         level = again.where("first is null or (first.uid = uid and first.pos = pos and first.a = a)")
         level = level.select("uid", "pos", "lo", "hi", "a", "b", (F.col("shown") | F.col("first").isNotNull()).alias("shown"))
+    forget(texts)
+    release(rows.sparkSession)
     return covered.select("uid", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))
 
 
@@ -185,7 +197,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
     Every byte inside a string of `length` bytes that also starts elsewhere goes, copies in the same text
     and overlapping ones included; strings are judged on the input. Null is empty; texts shorter than length
     stay whole; of repeated rows all are removed; other columns stay as they are."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    own = [c for c in docs.columns if c != "repeats"]
+    rows = docs.select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("uid"))
     spans = repeated_spans(rows.select("uid", F.col("row.text").alias("text")), length)
     spans = spans.distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     kind = {"n_bytes": pa.int64(), "removed": pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})), "sha256": pa.string()}
