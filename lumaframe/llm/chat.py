@@ -67,11 +67,11 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
         if 2 ** len(jumps) > 2 * n:  # only messages on or below a cycle still have ancestors to reach
             break
         far = jump.select("tree_id", F.col("message_id").alias("up"), F.col("up").alias("far"), F.col("steps").alias("more"), F.col("sum").alias("plus"))
-        joined = jump.alias("a").join(far.alias("b"), same, "left")
-        jump = staged(joined.select(
-            "a.tree_id", "a.message_id", F.col("b.far").alias("up"), (F.col("a.steps") + F.coalesce("b.more", F.lit(0))).alias("steps"),
-            (F.col("a.sum") + F.coalesce("b.plus", F.lit(0.0))).alias("sum"),
-        ), "jumps")
+        joined = jump.where("up is not null").alias("a").join(far.alias("b"), same).select(
+            "a.tree_id", "a.message_id", F.col("b.far").alias("up"), (F.col("a.steps") + F.col("b.more")).alias("steps"),
+            (F.col("a.sum") + F.col("b.plus")).alias("sum"),
+        )
+        jump = staged(jump.where("up is null").union(joined), "jumps")  # those at their root stay out of the join
         jumps.append(jump)
     settled = jump.where("up is null")
     parents = linked.select("tree_id", F.col("up").alias("message_id")).distinct()
