@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, connected_components, staged, table
+from .common import ASCII_LOWER, connected_components, forget, release, staged, table
 
 SEED = 42
 #: A bucket of more ordered pairs than this goes by balls; only speed depends on it.
@@ -236,7 +236,8 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     them; groups are the connected components. At a similarity of 0.8 fingerprints differ by about 10 bits,
     where a pigeonhole search would probe a hundredth of all documents for each, hence the bands. A band
     shared by many classes proposes for each of them three members picked by hash, so no bucket is expanded
-    into pairs. Null and empty texts are one class. Columns stay as they are."""
+    into pairs. Joins that carry texts always shuffle, so disk grows in proportion at every size. Null and
+    empty texts are one class. Columns stay as they are."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
     sketch = _sketch(size)(F.col("row.text")).alias("s")
     small = staged(rows.select("uid", F.col("row.doc_id").alias("doc_id"), sketch).select("uid", "doc_id", "s.*"), "sketches")
@@ -259,13 +260,17 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     pairs = staged(pairs, "pairs")
 
     needed = staged(pairs.select("u").union(pairs.select("v")).distinct().toDF("uid"), "needed")
-    texts = staged(rows.select("uid", F.col("row.text").alias("text")).join(needed, "uid", "left_semi"), "texts")
-    wide = pairs.join(texts.toDF("v", "right"), "v").join(texts.toDF("u", "left"), "u")
-    edges = wide.where(_alike(size, similarity)("left", "right")).select("u", "v")
+    texts = staged(rows.select("uid", F.col("row.text").alias("text")).join(needed.hint("merge"), "uid", "left_semi"), "texts")
+    release(docs.sparkSession)
+    wide = pairs.join(texts.toDF("v", "right").hint("merge"), "v").join(texts.toDF("u", "left").hint("merge"), "u")
+    edges = staged(wide.where(_alike(size, similarity)("left", "right")).select("u", "v"), "similar")
+    forget(texts)
+    release(docs.sparkSession)
 
     of = connected_components(edges)
     grouped = first.join(of, first.uid == of.node).select("uid", "doc_id", "component")
     keep = grouped.groupBy("component").agg(F.min_by("uid", order).alias("uid"))
     lost = staged(grouped.join(keep, "uid", "left_anti").select("uid"), "lost")
     kept = staged(first.select("uid").join(lost, "uid", "left_anti"), "kept")
-    return rows.join(kept, "uid", "left_semi").select("row.*")
+    release(docs.sparkSession)
+    return rows.join(kept.hint("merge"), "uid", "left_semi").select("row.*")
