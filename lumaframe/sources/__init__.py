@@ -1 +1 @@
-
+"""Files of images as DataFrames."""
