@@ -110,8 +110,14 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _drop_start(batches):
+    """Leave out the empty piece before a file's first magic; later empty pieces stand between two magics."""
+    begun: set[str] = set()
     for batch in batches:
-        keep = [not (b == 0 and not len(v)) for b, v in zip(batch.column("block").to_pylist(), batch.column("value").cast(pa.binary()).to_pylist(), strict=True)]
+        keep = []
+        values = batch.column("value").cast(pa.binary()).to_pylist()
+        for file, block, value in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), values, strict=True):
+            keep.append(bool(block or len(value) or file in begun))
+            begun.add(file)
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
