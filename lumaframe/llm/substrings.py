@@ -155,9 +155,9 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
         of_text = level.groupBy("uid").agg(F.collect_list(F.struct("pos", "lo", "hi", "a", "b", "shown")).alias("open"))
         if texts is None:
             of_text = staged(of_text, "open")
-            texts = staged(rows.join(of_text.select("uid"), "uid", "left_semi").select("uid", "text"), "texts")
+            texts = staged(rows.join(of_text.select("uid").hint("merge"), "uid", "left_semi").select("uid", "text"), "texts")
             release(rows.sparkSession)
-        level = staged(texts.join(of_text, "uid").mapInArrow(_refine(width, length), REFINED), "ranges")
+        level = staged(texts.join(of_text.hint("merge"), "uid").mapInArrow(_refine(width, length), REFINED), "ranges")
         cores = level.groupBy("core").agg(F.count("*").alias("n"), F.count_if(~F.col("shown")).alias("new")).where("n > 1 and new > 0")
         again = level.join(staged(cores.select("core"), "cores"), "core").drop("core")
         if width == 1:
@@ -217,7 +217,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
             out.append(row | {"kept": kept} if keep_text else row)
         return pa.array(out, pa.struct(kind))
 
-    return rows.join(spans, "uid", "left").withColumn("repeats", cut("row.text", "spans")).select("row.*", "repeats")
+    return rows.join(spans.hint("merge"), "uid", "left").withColumn("repeats", cut("row.text", "spans")).select("row.*", "repeats")
 
 
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
