@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from . import vp8l
+from . import vp8, vp8l
 from .container import Frame, Image
 from .vp8l import ImageError
 
@@ -39,10 +39,16 @@ def alpha_plane(chunk: bytes, width: int, height: int) -> np.ndarray:
     return (d & 255).astype(np.uint32)
 
 
-def decode_frame(f: Frame) -> np.ndarray:
+def decode_frame(f: Frame, tables: vp8.Tables | None = None) -> np.ndarray:
+    """tables: the probabilities that lossy payloads need."""
     if f.lossless:
         return vp8l.decode(f.payload, f.width, f.height)
-    raise ImageError("lossy payloads are not decoded yet")
+    if tables is None:
+        raise ImageError("a lossy payload, and no probability tables given")
+    out = vp8.decode(f.payload, tables)
+    if f.alpha is None:
+        return out
+    return out & np.uint32(0xFFFFFF) | alpha_plane(f.alpha, f.width, f.height) << np.uint32(24)
 
 
 def blend(src: np.ndarray, dst: np.ndarray) -> np.ndarray:

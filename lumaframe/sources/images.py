@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumaframe.kernels import compose, container
+from lumaframe.kernels import compose, container, vp8
 
 HEADER = (
     "image_id string, source_width int, source_height int, has_alpha boolean, animated boolean, lossy boolean, loop_count int, "
@@ -32,6 +32,11 @@ def stream(spark: SparkSession, path: str) -> DataFrame:
     return read.load(path).select(F.col("path").alias("image_id"), "content")
 
 
+def lossy_tables(spark: SparkSession, path: str) -> vp8.Tables:
+    """The 3,012 probabilities of the lossy format, read from a text file."""
+    return vp8.Tables.parse(spark.read.text(path, wholetext=True).first()[0])
+
+
 def _checked(mode: str, out: DataFrame) -> DataFrame:
     if mode == "DROPMALFORMED":
         return out.where("_corrupt is null")
@@ -56,8 +61,10 @@ def headers(raw: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return _checked(mode, raw.select("image_id", "content").mapInPandas(run, HEADER))
 
 
-def frames(raw: DataFrame, width: float = 0, height: float = 0, preserve_ratio: bool = False, smooth: bool = True, mode: str = "PERMISSIVE") -> DataFrame:
-    """Frames as shown, scaled to the wanted size (0: unset). One image's frames are composed in order."""
+def frames(raw: DataFrame, width: float = 0, height: float = 0, preserve_ratio: bool = False, smooth: bool = True, mode: str = "PERMISSIVE", lossy: vp8.Tables | None = None) -> DataFrame:
+    """Frames as shown, scaled to the wanted size (0: unset). One image's frames are composed in order.
+
+    lossy: the probabilities that lossy payloads need, see lossy_tables; without them such images are _corrupt."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -66,7 +73,7 @@ def frames(raw: DataFrame, width: float = 0, height: float = 0, preserve_ratio:
                 try:
                     i = container.parse(bytes(r.content or b""))
                     w, h = target_size(i.width, i.height, width, height, preserve_ratio)
-                    for k, p in enumerate(compose.composed(i, [compose.decode_frame(f) for f in i.frames])):
+                    for k, p in enumerate(compose.composed(i, [compose.decode_frame(f, lossy) for f in i.frames])):
                         if p.shape != (h, w):
                             p = (compose.bilinear if smooth else compose.nearest)(p, w, h)
                         rows.append((r.image_id, k, w, h, i.frames[k].duration_ms, p.ravel().view("int32").tolist(), None))
