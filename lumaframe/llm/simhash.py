@@ -30,6 +30,8 @@ LEAST_LONG = ("-9223372036854775808L", "(-9223372036854775807L - 1L)")
 SAMPLE = 4096
 #: Min-hash bands (of ROWS values each) that propose pairs for a similarity of 0.8 or more.
 BANDS, ROWS = 12, 5
+#: A shingle's entries are dealt out so that a share compares about so many; only speed depends on it.
+BUCKET_WORK = 1 << 20
 
 
 def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
@@ -228,23 +230,8 @@ def _alike(size: int, similarity: float):
     return of
 
 
-def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tau: int = 2) -> DataFrame:
-    """Keep one row of each group of near-duplicates, that with the smallest doc_id (null ids last).
-
-    Rows with the same words are one class. Between classes, SimHash links within tau bits and shared
-    min-hash bands propose pairs, and the exact Jaccard similarity of the sets of word shingles confirms
-    them; groups are the connected components. At a similarity of 0.8 fingerprints differ by about 10 bits,
-    where a pigeonhole search would probe a hundredth of all documents for each, hence the bands. A band
-    shared by many classes proposes for each of them three members picked by hash, so no bucket is expanded
-    into pairs. Joins that carry texts always shuffle, so disk grows in proportion at every size. Null and
-    empty texts are one class. Columns stay as they are."""
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
-    sketch = _sketch(size)(F.col("row.text")).alias("s")
-    small = staged(rows.select("uid", F.col("row.doc_id").alias("doc_id"), sketch).select("uid", "doc_id", "s.*"), "sketches")
-    order = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"), F.col("uid"))
-    first = small.groupBy("same").agg(F.min_by(F.struct("uid", "doc_id", "fp", "bands"), order).alias("x")).select("x.*")
-    first = staged(first, "classes")
-
+def proposed_pairs(first: DataFrame, tau: int) -> DataFrame:
+    """first: uid, fp, bands of each class. (u, v) of likely near-duplicates, a few for each class."""
     dealt = first.select("uid", F.posexplode("bands").alias("band", "value"))
     picks = [F.min_by("uid", F.xxhash64("uid", F.lit(k))).alias(f"p{k}") for k in range(3)]
     buckets = dealt.groupBy("band", "value").agg(F.count("*").alias("n"), *picks).where("n > 1")
@@ -256,21 +243,129 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     u, v = fps.select(F.col("fp").alias("u"), F.col("low").alias("uid")), fps.select(F.col("fp").alias("v"), F.col("low").alias("pick"))
     proposed = proposed.union(near.join(u, "u").join(v, "v").select("uid", "pick"))
     proposed = proposed.union(first.select("uid", "fp").join(fps.select("fp", F.col("low").alias("pick")), "fp").select("uid", "pick"))
-    pairs = proposed.where("uid <> pick").select(F.greatest("uid", "pick").alias("u"), F.least("uid", "pick").alias("v")).distinct()
-    pairs = staged(pairs, "pairs")
+    return _ordered(proposed)
+
 
+def _confirmed(rows: DataFrame, pairs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of uids whose sets of word shingles are as similar as that; texts are in row.text."""
     needed = staged(pairs.select("u").union(pairs.select("v")).distinct().toDF("uid"), "needed")
     texts = staged(rows.select("uid", F.col("row.text").alias("text")).join(needed.hint("merge"), "uid", "left_semi"), "texts")
-    release(docs.sparkSession)
+    release(rows.sparkSession)
     wide = pairs.join(texts.toDF("v", "right").hint("merge"), "v").join(texts.toDF("u", "left").hint("merge"), "u")
     edges = staged(wide.where(_alike(size, similarity)("left", "right")).select("u", "v"), "similar")
     forget(texts)
-    release(docs.sparkSession)
+    release(rows.sparkSession)
+    return edges
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("uid <> pick").select(F.greatest("uid", "pick").alias("u"), F.least("uid", "pick").alias("v")).distinct()
+
+
+def commonness(texts: DataFrame, size: int, bits: int) -> np.ndarray:
+    """For each of 2**bits ranges of shingle hashes, about how many texts hold a shingle in it (8 log2, one byte)."""
+    part = 1 << min(bits, 13)
+
+    def count(batches):
+        n = np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                n[shingle_hashes(t, size) >> np.uint64(64 - bits)] += 1
+        for at in range(0, len(n), part):
+            if n[at : at + part].any():
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([n[at : at + part].tobytes()], pa.binary())], ["at", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        n = np.zeros(part, np.int64)
+        for x in group.column("n").to_pylist():
+            n += np.frombuffer(x, np.int32)
+        rank = np.minimum(255, np.round(8 * np.log2(n + 1.0))).astype(np.uint8)
+        return pa.table({"at": group.column("at").slice(0, 1), "n": pa.array([rank.tobytes()], pa.binary())})
+
+    tasks = texts.select("text").mapInArrow(count, "at int, n binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for r in tasks.groupBy("at").applyInArrow(add, "at int, n binary").collect():
+        out[r.at : r.at + part] = np.frombuffer(r.n, np.uint8)
+    return out
+
+
+def prefixes(size: int, similarity: float, ranks):
+    """Number n of distinct shingles and those of them that come first in one order for all texts, rare ones
+    first: two texts as similar as that share at least one of these."""
+
+    @F.arrow_udf("struct<n:int, prefix:array<bigint>>")
+    def of(texts: pa.Array) -> pa.Array:
+        rank, out = ranks.value, []
+        shift = np.uint64(64 - (len(rank).bit_length() - 1))
+        for t in texts.cast(pa.binary()).to_pylist():
+            h = np.unique(shingle_hashes(t, size))
+            keep = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1 if len(h) else 0
+            first = h[np.argsort(rank[h >> shift], kind="stable")[:keep]]
+            out.append({"n": len(h), "prefix": first.view(np.int64).tolist()})
+        return pa.array(out, pa.struct({"n": pa.int32(), "prefix": pa.list_(pa.int64())}))
+
+    return of
+
+
+def prefix_pairs(signed: DataFrame, similarity: float, work: int = BUCKET_WORK) -> DataFrame:
+    """signed: uid, component, n, prefix. (u, v) of all pairs of different components that can be as similar
+    as that, and no pair whose sizes and places of a shared shingle forbid it.
+
+    At the first shared shingle, at place `at` of n, at most n - at shingles are shared; so the other text has
+    at most `reach` shingles. The shorter of two texts thus holds it where reach >= n (own): a shingle that
+    nobody holds there, or that one component alone holds, is left out before pairs are made."""
+    c = similarity / (1 + similarity)
+    entries = signed.select("uid", "component", "n", F.posexplode("prefix").alias("at", "token"))
+    entries = entries.select("token", "uid", "component", "n", F.floor((F.col("n") - F.col("at")) / F.lit(c) - F.col("n") + F.lit(1e-6)).alias("reach"))
+    own = F.col("reach") >= F.col("n")
+    stats = entries.groupBy("token").agg(
+        F.count("*").alias("size"), F.count_if(own).alias("own"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    salts = F.least(F.col("own"), F.ceil(F.col("own") * F.col("size") / work)).cast("int")
+    stats = staged(stats.where("size > 1 and own > 0 and low <> high").select("token", salts.alias("salts")), "shared")
+    release(signed.sparkSession)
+    some = staged(entries.join(stats.hint("merge"), "token"), "entries")
+    release(signed.sparkSession)
+    a = some.where(own).select("token", F.pmod(F.xxhash64("uid"), F.col("salts")).cast("int").alias("salt"), F.col("uid").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("reach").alias("ru"))
+    b = some.select("token", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.col("uid").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("reach").alias("rv"))
+    met = a.join(b.hint("merge"), ["token", "salt"]).where("cu <> cv and nv between nu and ru and nu <= rv")
+    return _ordered(met.select(F.col("u").alias("uid"), F.col("v").alias("pick")))
+
+
+def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, tau: int = 2) -> DataFrame:
+    """Keep one row of each group of near-duplicates, that with the smallest doc_id (null ids last).
+
+    Rows with the same words are one class; groups are the connected components of classes whose sets of word
+    shingles have at least that Jaccard similarity. SimHash links within tau bits and three members, picked by
+    hash, of each shared min-hash band propose pairs first; this joins large groups with few comparisons and
+    may miss pairs. Then every pair of different groups that shares a rare enough shingle (prefix_pairs) is
+    compared as well, so none is missed. Joins that carry texts always shuffle, so disk grows in proportion at
+    every size. Null and empty texts are one class. Columns stay as they are."""
+    spark = docs.sparkSession
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    sketch = _sketch(size)(F.col("row.text")).alias("s")
+    small = staged(rows.select("uid", F.col("row.doc_id").alias("doc_id"), sketch).select("uid", "doc_id", "s.*"), "sketches")
+    order = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"), F.col("uid"))
+    first = small.groupBy("same").agg(F.min_by(F.struct("uid", "doc_id", "fp", "bands"), order).alias("x")).select("x.*")
+    first = staged(first, "classes")
+
+    edges = _confirmed(rows, staged(proposed_pairs(first, tau), "pairs"), size, similarity)
+    groups = first.select("uid").join(connected_components(edges).toDF("uid", "component").hint("merge"), "uid", "left")
+    groups = staged(groups.select("uid", F.coalesce("component", "uid").alias("component")), "groups")
+
+    # only speed depends on the table's size
+    bits = min(22, max(12, (4 * first.count()).bit_length()))
+    ranks = spark.sparkContext.broadcast(commonness(docs, size, bits))
+    signed = rows.select("uid", prefixes(size, similarity, ranks)("row.text").alias("s")).select("uid", "s.*")
+    signed = staged(staged(signed, "prefixes").join(groups.hint("merge"), "uid"), "signed")
+    pairs = staged(prefix_pairs(signed, similarity), "pairs")
+    forget(signed)
+    edges = staged(edges.union(_confirmed(rows, pairs, size, similarity)), "edges")
 
     of = connected_components(edges)
     grouped = first.join(of, first.uid == of.node).select("uid", "doc_id", "component")
     keep = grouped.groupBy("component").agg(F.min_by("uid", order).alias("uid"))
     lost = staged(grouped.join(keep, "uid", "left_anti").select("uid"), "lost")
     kept = staged(first.select("uid").join(lost, "uid", "left_anti"), "kept")
-    release(docs.sparkSession)
+    release(spark)
     return rows.join(kept.hint("merge"), "uid", "left_semi").select("row.*")
