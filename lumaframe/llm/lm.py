@@ -28,7 +28,7 @@ OWN, GROUPS = 95, 64  #: words that are a class of their own; groups of the othe
 KNOWN, HASHED = 3000, 256  #: context words with a vector of their own; vectors that others share by hash
 DIM, ORDER = 12, 3  #: size of a vector; words of context
 NOISE, RATE, CHUNK = 8, 0.15, 1024
-EVERY = 4  #: one of so many positions of every training text is learned from
+EVERY = 1  #: one of so many positions of every training text is learned from: all
 END = b" "  #: no word holds a space
 CLASSES = OWN + GROUPS + 1
 START = KNOWN + HASHED + 1  #: context before the text; KNOWN + HASHED is unused
