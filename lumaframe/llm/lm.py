@@ -5,8 +5,8 @@ its place (kept as one table a place); classes are the most frequent words, the
 of the other words by their first letters. P(word) = P(class | context) * P(word | class): the softmax over
 classes is normalised, and in a group a word has its smoothed share, with one share for all unseen words.
 
-Counts cover all training texts. Words of at least a certain count (at most TOP of them) are broadcast; the
-others are joined. Training tasks start from the same parameters, learn from their own rows, and the mean of
+Counts cover all training texts. Words of at least a certain count (at most TOP of them) and the end are
+broadcast; the others are joined. Training tasks start from the same parameters, learn from their own rows, and the mean of
 their parameters is the model.
 """
 
@@ -219,13 +219,14 @@ def gather(learned: DataFrame, top: int = TOP):
     """Counts over all of `learned`: (counts as a staged table, least broadcast count, N, Vocabulary)."""
     counts = staged(count_words(learned), "counts")
     by_n = counts.groupBy("n").count().orderBy(F.desc("n")).limit(top).collect()
-    least, words = by_n[0]["n"] if by_n else 1, 0
+    # above the highest count, which more than `top` words may share
+    least, words = by_n[0]["n"] + 1 if by_n else 1, 0
     for r in by_n:
         words += r["count"]
         if words > top:
             break
         least = r["n"]
-    broadcast = [(bytes(r.key), r.n) for r in counts.where(F.col("n") >= least).limit(top).collect()]
+    broadcast = [(bytes(r.key), r.n) for r in counts.where((F.col("n") >= least) | (F.col("key") == F.lit(END))).collect()]
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     group = F.when(F.col("key") != F.lit(END), F.crc32(F.substring("key", 1, 3)) % GROUPS)
     groups = counts.groupBy(group.alias("g")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).where("g is not null").collect()
