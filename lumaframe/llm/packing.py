@@ -30,7 +30,8 @@ PLAIN = re.compile(r"[\x00-ɏ]*")
 class Words:
     """Token ids by word, as bytes. Words are those of the vocabulary's own pattern or runs of them, so
     joining their ids gives the ids of the whole text. Plain words that aren't in the cache go through
-    tiktoken (the same vocabulary, a third of the time), others through tokenizers."""
+    tiktoken (the same vocabulary, a third of the time), others through tokenizers. A text that holds a
+    special token's string goes through tokenizers as a whole, which gives that token's id."""
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str):
         import base64
@@ -39,7 +40,7 @@ class Words:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(tokenizer)
-        self.full.encode_special_tokens = True
+        self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
         with open(ranks, "rb") as f:
             known = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         self.quick = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=known, special_tokens={})
@@ -61,6 +62,8 @@ class Words:
 
     def encode(self, text: str) -> bytes:
         """The ids as unsigned little-endian 32-bit numbers."""
+        if any(x in text for x in self.special):
+            return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         get, new = self.young.get, self._new
         first, *rest = CUT.split(text)
         out = [self._new(first)] if first else []
@@ -192,8 +195,8 @@ def pack(
     piece's unsigned little-endian 32-bit ids).
 
     vocab: the tokenizer's file, the same vocabulary as ranks, and its pattern. A document is its ids and an
-    end, id 0; a null or empty text is the end alone; special tokens' strings inside a text are ordinary
-    text. Documents of more than capacity tokens are cut; repeated rows and null ids are packed like any
+    end, id 0; a null or empty text is the end alone; a special token's string inside a text is that token, as
+    the tokenizer has it. Documents of more than capacity tokens are cut; repeated rows and null ids are packed like any
     other row. No piece is dropped and every sequence is filled from 0 without gaps."""
     vocab = vocab or default_vocabulary()
     kind = docs.schema["doc_id"].dataType.simpleString()
