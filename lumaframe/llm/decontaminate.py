@@ -2,8 +2,9 @@
 
 Test items are cut into windows of n consecutive words. For the windows of one length a block shift
 table tells, from the two words at the end of the current position, how far the search may jump without
-missing a window; where the shift is 0, the bucket of that suffix block gives the windows to compare
-word by word. Windows are few and gathered in blocks of bounded size, each block searched over all texts.
+missing a window; where the shift is 0, the bucket of that suffix block and of the block at the window's
+start gives the windows to compare word by word. Windows are few and gathered in blocks of bounded size,
+each block searched over all texts.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import staged, table
+
 #: Every ASCII byte that is neither a digit nor a letter becomes a space; A-Z are lower-cased.
 WORD_BYTES = bytes(
     b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)
@@ -27,16 +30,17 @@ def words(text: bytes | None) -> list[bytes]:
 class WuManber:
     """Finds all windows of m words each. windows: {tuple of words: set of item ids}."""
 
-    def __init__(self, m: int, windows: dict[tuple[bytes, ...], set[int]]):
+    def __init__(self, m: int, windows: dict[tuple[bytes, ...], set]):
         self.m, self.block = m, min(2, m)
         self.longest = m - self.block + 1
         self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, list[tuple[tuple[bytes, ...], set[int]]]] = {}
+        self.buckets: dict[bytes, dict[bytes, list[tuple[tuple[bytes, ...], set]]]] = {}
         for window, items in windows.items():
             for end in range(self.block, m + 1):
                 block = b" ".join(window[end - self.block : end])
                 self.shift[block] = min(self.shift.get(block, self.longest), m - end)
-            self.buckets.setdefault(b" ".join(window[-self.block :]), []).append((window, items))
+            suffix, prefix = b" ".join(window[-self.block :]), b" ".join(window[: self.block])
+            self.buckets.setdefault(suffix, {}).setdefault(prefix, []).append((window, items))
 
     def search(self, text: list[bytes]):
         """Yield (first word, items) of each occurrence."""
@@ -47,15 +51,32 @@ class WuManber:
             if jump:
                 end += jump
                 continue
-            first = text[end - m]
-            for window, items in self.buckets[block]:
-                if window[0] == first and tuple(text[end - m : end]) == window:
-                    yield end - m, items
+            at = end - m
+            prefix = text[at] + b" " + text[at + 1] if two else text[at]
+            for window, items in self.buckets[block].get(prefix, ()):
+                if tuple(text[at:end]) == window:
+                    yield at, items
             end += 1
 
 
-def _scan(blob: list[tuple[str, int]], texts: pa.Array) -> pa.Array:
-    searchers = _searchers(blob)
+class Windows:
+    """Broadcast rows (window, item_id). A worker process builds the tables once and keeps them while it holds
+    the broadcast, over batches and tasks."""
+
+    def __init__(self, rows: list[tuple[str, int | None]]):
+        self.rows, self.built = rows, None
+
+    def searchers(self) -> list[WuManber]:
+        if self.built is None:
+            by_length: dict[int, dict[tuple[bytes, ...], set]] = {}
+            for window, item in self.rows:
+                w = tuple(window.encode().split(b" "))
+                by_length.setdefault(len(w), {}).setdefault(w, set()).add(item)
+            self.built = [WuManber(m, windows) for m, windows in sorted(by_length.items())]
+        return self.built
+
+
+def _scan(searchers: list[WuManber], texts: pa.Array) -> pa.Array:
     out = []
     for text in texts.cast(pa.binary()).to_pylist():
         w, spans, found = words(text), [], set()
@@ -63,7 +84,7 @@ def _scan(blob: list[tuple[str, int]], texts: pa.Array) -> pa.Array:
             for start, items in searcher.search(w):
                 spans.append((start, start + searcher.m))
                 found |= items
-        out.append({"n_words": len(w), "spans": merged(spans), "items": sorted(found)})
+        out.append({"n_words": len(w), "spans": merged(spans), "items": sorted(found, key=lambda i: (i is None, i or 0))})
     kind = pa.struct({
         "n_words": pa.int64(),
         "spans": pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})),
@@ -82,18 +103,10 @@ def merged(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return out
 
 
-def _searchers(rows: list[tuple[str, int]]) -> list[WuManber]:
-    by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
-    for window, item in rows:
-        w = tuple(window.encode().split(b" "))
-        by_length.setdefault(len(w), {}).setdefault(w, set()).add(item)
-    return [WuManber(m, windows) for m, windows in sorted(by_length.items())]
-
-
 def windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
     """(window, item_id): the distinct windows of n words of each item; a shorter item is one window.
 
-    Items with null id or without a word give none."""
+    Items without a word give none; those with a null id are one item of that id."""
 
     @F.arrow_udf("array<string>")
     def cut(texts: pa.Array) -> pa.Array:
@@ -103,29 +116,33 @@ def windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
             out.append([b" ".join(w[i : i + n]).decode() for i in range(max(1, len(w) - n + 1))] if w else [])
         return pa.array(out, type=pa.list_(pa.string()))
 
-    rows = benchmark.where("item_id is not null").select("item_id", cut("text").alias("w"))
+    rows = benchmark.select("item_id", cut("text").alias("w"))
     return rows.select(F.explode("w").alias("window"), F.col("item_id").cast("long").alias("item_id")).distinct()
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_rows: int = 200_000) -> DataFrame:
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, n: int = 10, block_rows: int = 200_000, block_bytes: int = 32_000_000
+) -> DataFrame:
     """docs with a column `contamination`: n_words, the merged spans of words (start, end exclusive) inside
-    any occurrence of a window, and the ids of the items with an occurring window.
+    any occurrence of a window, and the ids of the items with an occurring window (a null id last).
 
     A null or empty text has no words and no hits; repeated rows are each searched; other columns stay as
-    they are (a column named contamination is replaced). At most block_rows windows are gathered and
-    broadcast at once; a larger benchmark is searched in blocks and the hits of a row are united."""
+    they are (a column named contamination is replaced). About block_rows windows and block_bytes bytes are
+    gathered and broadcast at once; a larger benchmark is searched in blocks and a row's hits are united."""
     spark = docs.sparkSession
     wins = windows(benchmark, n)
-    blocks = max(1, -(-wins.count() // block_rows))
+    rows, size = wins.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("window")), F.lit(0))).first()
+    blocks = max(1, -(-rows // block_rows), -(-size // block_bytes))
     if blocks > 1:
         blocks += blocks // 4 + 1  # rows are dealt by hash; leaves room for uneven blocks
+        wins = staged(wins, "windows")
 
     def scan(part: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-        blob = spark.sparkContext.broadcast([(r.window, r.item_id) for r in part.toLocalIterator()])
+        blob = spark.sparkContext.broadcast(Windows([(r.window, r.item_id) for r in part.select("window", "item_id").toLocalIterator()]))
 
         @F.arrow_udf(HITS)
         def hits(column: pa.Array) -> pa.Array:
-            return _scan(blob.value, column)
+            return _scan(blob.value.searchers(), column)
 
         return texts.withColumn(name, hits("text"))
 
@@ -149,8 +166,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10, block
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     """The contract's digest of find_contamination over all documents."""
-    from .common import table
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     n_hit = F.aggregate("contamination.spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
