@@ -2,7 +2,8 @@
 
 The network is trained here in numpy by backpropagation through time on a bounded sample of labelled rows.
 It labels every byte of a text; the mean of the bytes' probabilities gives the document's language. Texts
-are cut into segments so that many run side by side; the state starts anew at each segment's two ends.
+are cut into segments so that many run side by side. A segment's states start in the neighbouring segments,
+OVERLAP bytes before its first byte and after its last one, so that they have settled when they count.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import crc_mod, forget, staged, table
 
-HIDDEN, SEGMENT, LANES = 6, 128, 2048
-#: At most about so many labelled rows of a language, and so many characters of each, are learned from.
-ROWS_PER_LANG, EXCERPT = 500, 1000
+HIDDEN, SEGMENT, OVERLAP = 6, 1024, 64
+#: Bytes (lanes times steps) that run side by side; only speed depends on it.
+CELLS = 1 << 20
+#: At most so many labelled texts of a language, all different, are learned from.
+ROWS_PER_LANG = 500
 STEPS, BATCH, LENGTH, RATE = 300, 160, 48, 0.02
 UNKNOWN = "und"
 
@@ -101,26 +104,26 @@ def probabilities(p: dict, text: np.ndarray, inside: np.ndarray | None) -> np.nd
     return prob
 
 
-def gradients(p: dict, text: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
-    """Cross entropy at every byte, and its gradients by backpropagation through time."""
-    h, tapes = HIDDEN, ([], [])
-    both = np.concatenate([states(p, s, text, None, tapes[s]) for s in (0, 1)], axis=2)
+def gradients(p: dict, text: np.ndarray, label: np.ndarray, inside: np.ndarray) -> tuple[float, dict]:
+    """Cross entropy at every byte that a lane has, and its gradients by backpropagation through time."""
+    h, tapes, counted = HIDDEN, ([], []), inside.ravel()
+    both = np.concatenate([states(p, s, text, inside, tapes[s]) for s in (0, 1)], axis=2)
     flat = both.reshape(-1, 2 * h)
     logits = flat @ p["v"] + p["c"]
     logits -= logits.max(1, keepdims=True)
     prob = np.exp(logits)
     prob /= prob.sum(1, keepdims=True)
     at = np.tile(label, len(text))
-    loss = -np.log(np.maximum(prob[np.arange(len(at)), at], 1e-9)).mean()
+    loss = -(np.log(np.maximum(prob[np.arange(len(at)), at], 1e-9)) * counted).sum() / counted.sum()
     prob[np.arange(len(at)), at] -= 1
-    prob /= len(at)
+    prob *= (counted / counted.sum())[:, None]
     grad = {k: np.zeros_like(v) for k, v in p.items()}
     grad["v"], grad["c"] = flat.T @ prob, prob.sum(0)
     back = (prob @ p["v"].T).reshape(both.shape)
     for side in (0, 1):
         u, later = p["u"][side], np.zeros((text.shape[1], h), np.float32)
         for t, state, zr, new, own in reversed(tapes[side]):
-            d = later + back[t, :, side * h : (side + 1) * h]
+            d = (later + back[t, :, side * h : (side + 1) * h]) * inside[t][:, None]
             z, r = zr[:, :h], zr[:, h:]
             d_new = d * (1 - z) * (1 - new * new)
             d_gate = np.concatenate([d * (state - new) * z * (1 - z), d_new * own * r * (1 - r), d_new], axis=1)
@@ -132,20 +135,22 @@ def gradients(p: dict, text: np.ndarray, label: np.ndarray) -> tuple[float, dict
 
 
 def train(texts: list[bytes], labels: np.ndarray, classes: int, seed: int = 42) -> dict[str, np.ndarray]:
-    """Adam on random excerpts, every language as often as the others."""
+    """Adam on LENGTH bytes from random places, every language as often as the others; shorter texts are padded
+    and the padding is masked. Texts may not be empty."""
     p, rng = start(classes, seed), np.random.default_rng(seed)
-    usable = np.array([i for i, t in enumerate(texts) if len(t) >= LENGTH])
-    by_class = [usable[labels[usable] == k] for k in range(classes)] if len(usable) else []
+    by_class = [np.flatnonzero(labels == k) for k in range(classes)]
     by_class = [x for x in by_class if len(x)]
-    if len(by_class) < 2:
+    if len(by_class) < 2:  # one language has all probability whatever the weights
         return p
     m = {k: np.zeros_like(v) for k, v in p.items()}
     s = {k: np.zeros_like(v) for k, v in p.items()}
     for step in range(1, STEPS + 1):
         rows = [rng.choice(by_class[i % len(by_class)]) for i in range(BATCH)]
-        at = [int(rng.integers(0, len(texts[i]) - LENGTH + 1)) for i in rows]
-        text = np.stack([np.frombuffer(texts[i], np.uint8, LENGTH, a) for i, a in zip(rows, at, strict=True)], axis=1)
-        _, grad = gradients(p, text, labels[rows])
+        at = [int(rng.integers(0, max(1, len(texts[i]) - LENGTH + 1))) for i in rows]
+        cut = [texts[i][a : a + LENGTH] for i, a in zip(rows, at, strict=True)]
+        text = np.stack([np.frombuffer(x.ljust(LENGTH, b" "), np.uint8) for x in cut], axis=1)
+        inside = (np.arange(LENGTH)[:, None] < [len(x) for x in cut]).astype(np.float32)
+        _, grad = gradients(p, text, labels[rows], inside)
         size = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1))) * min(1.0, 1.0 / max(size, 1e-9))
         for k, g in grad.items():
@@ -155,37 +160,64 @@ def train(texts: list[bytes], labels: np.ndarray, classes: int, seed: int = 42)
     return p
 
 
-def pooled(p: dict, texts: list[bytes]) -> np.ndarray:
-    """Mean probability of each language over all bytes of each text."""
+def pooled(p: dict, texts: list[bytes], segment: int = SEGMENT, overlap: int = OVERLAP) -> np.ndarray:
+    """Mean probability of each language over all bytes of each text.
+
+    Every byte counts once, in its own segment; a segment also reads `overlap` bytes on either side, which
+    settle the states of the two directions. A text of at most `segment` bytes is read from end to end."""
     total = np.zeros((len(texts), len(p["c"])))
     whole = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts]).tolist()
-    cut = [(d, a, min(a + SEGMENT, e)) for d, (s, e) in enumerate(pairwise([0, *ends])) for a in range(s, e, SEGMENT)]
-    full, part = [c for c in cut if c[2] - c[1] == SEGMENT], [c for c in cut if c[2] - c[1] < SEGMENT]
-    for kind in (full, part):
-        for k in range(0, len(kind), LANES):
-            doc, first, last = np.array(kind[k : k + LANES]).T
-            at = np.minimum(first[None, :] + np.arange(SEGMENT)[:, None], len(whole) - 1)
-            inside = None
-            if kind is part:
-                inside = (np.arange(SEGMENT)[:, None] < (last - first)[None, :]).astype(np.float32)
-            prob = probabilities(p, whole[at], inside)
-            np.add.at(total, doc, (prob if inside is None else prob * inside[:, None, :]).sum(0).T)
+    cut = [
+        (d, max(s, a - overlap), min(a + segment + overlap, e), a, min(a + segment, e))
+        for d, (s, e) in enumerate(pairwise([0, *ends])) for a in range(s, e, segment)
+    ]
+    cut.sort(key=lambda c: c[1] - c[2])
+    k = 0
+    while k < len(cut):
+        lanes = max(32, CELLS // (cut[k][2] - cut[k][1]))
+        doc, first, last, own, end = np.array(cut[k : k + lanes]).T
+        k += lanes
+        at = first[None, :] + np.arange(int((last - first).max()))[:, None]
+        inside = None if (last - first == len(at)).all() else (at < last).astype(np.float32)
+        prob = probabilities(p, whole[np.minimum(at, len(whole) - 1)], inside)
+        prob *= ((at >= own) & (at < end))[:, None, :]
+        np.add.at(total, doc, prob.sum(0).T)
     return total / np.maximum([[len(t)] for t in texts], 1)
 
 
-def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG, excerpt: int = EXCERPT) -> tuple[list[str], dict]:
-    """Learn from labelled rows (text, lang). Of each language at most about rows_per_lang rows, chosen by a
-    hash of the text, and of each at most `excerpt` characters at a hashed place are gathered."""
+def _once(batches):
+    """Rows (h, lang, t), each h once a task."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for h in batch.column("h").to_pylist():
+            new.append(h not in seen)
+            seen.add(h)
+        yield batch.filter(pa.array(new, pa.bool_()))
+
+
+def fit(docs: DataFrame, rows_per_lang: int = ROWS_PER_LANG) -> tuple[list[str], dict]:
+    """Learn from labelled rows (text, lang). Of each language at most rows_per_lang different texts, those with
+    the lowest hashes, are gathered whole; of repeated rows one. Null and empty texts and null languages teach
+    nothing; no usable row gives no language."""
     rows = docs.where("lang is not null and length(text) > 0").select("text", F.col("lang").cast("string").alias("lang"))
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.withColumn("h", F.xxhash64("lang", "text"))
+    known = staged(rows.select("lang", "h").distinct(), "labelled")
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(counts)
     if not langs:
         return [], start(1)
-    dice = F.pmod(F.xxhash64("text", F.lit("row")), F.lit(1_000_000)) / 1_000_000
-    share = F.create_map(*[F.lit(x) for n in langs for x in (n, min(1.0, rows_per_lang / counts[n]))])
-    place = F.pmod(F.xxhash64("text", F.lit("place")), F.greatest(F.lit(1), F.length("text") - excerpt)) + 1
-    sample = rows.where(dice < share[F.col("lang")]).select("lang", F.col("text").substr(place.cast("int"), F.lit(excerpt)).alias("t"))
+    # texts are different, so their hashes are spread evenly and few more than wanted come back
+    share = {n: min(1.0, (rows_per_lang + 6 * rows_per_lang**0.5) / counts[n]) for n in langs}
+    low = F.create_map(*[F.lit(x) for n in langs for x in (n, share[n] * 2.0**64 - 2.0**63)])
+    by_lang: dict[str, list[int]] = {n: [] for n in langs}
+    for r in known.where(F.col("h").cast("double") <= low[F.col("lang")]).collect():
+        by_lang[r.lang].append(r.h)
+    forget(known)
+    chosen = [h for hashes in by_lang.values() for h in sorted(hashes)[:rows_per_lang]]
+    sample = rows.where(F.col("h").isin(chosen)).select("h", "lang", F.col("text").alias("t"))
+    sample = sample.mapInArrow(_once, "h bigint, lang string, t string").dropDuplicates(["h"])
     got = sorted((r.lang, r.t) for r in sample.collect())
     labels = np.array([langs.index(n) for n, _ in got], dtype=np.int64)
     return langs, train([t.encode() for _, t in got], labels, len(langs))
