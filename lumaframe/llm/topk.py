@@ -1,10 +1,11 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-A vector's components, as integers, are postings; in a block of the index each posting is cut into segments
-of quantised impact 2 ** level by its binary digits. Queries take the segments of all dimensions in
-descending impact. After a level nothing that is still to come can change a score by more than the query's
-absolute sum times what the lower levels can hold; members whose best case is below the k-th worst case are
-out. Processing stops when that leaves few members, and these alone are scored exactly from the vectors.
+A vector's components, as integers, are postings. In a block of the index each dimension's postings are
+quantised to a few impacts; members of equal impact form a segment, and impact 0 has none. A query takes the
+segments of all its dimensions by descending weight times impact and adds to the members' scores. What is
+still to come can change a score by no more than the largest unprocessed segment of each dimension, and what
+quantising left out by no more than the product of two norms. Once that proves most members out, the query
+stops; those that remain are scored exactly from their vectors.
 """
 
 from __future__ import annotations
@@ -16,52 +17,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import forget, staged, table
 
-BLOCK, QUERIES = 8192, 256
+#: Vectors in a block of the index, and queries that meet a block in one task; only speed depends on them.
+BLOCK, QUERIES = 32_768, 4096
+#: Impacts of a dimension, without their sign.
+LEVELS = 12
 
 
-class ImpactBlock:
-    """Segments of a block of integer vectors (members, dimensions), by descending quantised impact."""
+class ImpactIndex:
+    """Segments of a block of integer vectors (members, dimensions)."""
 
-    def __init__(self, vectors: np.ndarray):
+    def __init__(self, vectors: np.ndarray, levels: int = LEVELS):
         self.vectors = vectors
-        size, sign = np.abs(vectors), np.sign(vectors)
-        self.levels = range(int(size.max(initial=0)).bit_length() - 1, -1, -1)
-        self.segments = {}
-        for level in self.levels:
-            member, dim = np.nonzero(size >> level & 1)
-            self.segments[level] = (member, dim, sign[member, dim])
-
-    def planes(self, level: int) -> np.ndarray:
-        """The level's segments of all dimensions as (dimension, member), each posting with its impact."""
-        member, dim, sign = self.segments[level]
-        plane = np.zeros(self.vectors.T.shape)
-        plane[dim, member] = sign * float(1 << level)
-        return plane
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (members, exact scores) that hold its k best and all that equal the k-th.
-        own: (query, member) is not to be returned."""
+        wide = vectors.astype(np.int64)
+        step = np.maximum(1, -(-np.abs(wide).max(0, initial=0) // levels))
+        level = np.sign(wide) * ((np.abs(wide) + step // 2) // step)
+        rest = (wide - level * step).astype(np.float64)
+        self.error = np.sqrt((rest * rest).sum(1)) * (1 + 1e-9)
+        dims, impacts, self.members = [], [], []
+        for d in range(wide.shape[1]):
+            order = np.argsort(level[:, d], kind="stable").astype(np.int32)
+            values, first = np.unique(level[order, d], return_index=True)
+            for value, part in zip(values.tolist(), np.split(order, first[1:]), strict=True):
+                if value:
+                    dims.append(d)
+                    impacts.append(value * int(step[d]))
+                    self.members.append(part)
+        self.dims, self.impacts = np.array(dims, np.int64), np.array(impacts, np.int64)
+
+    def search(self, query: np.ndarray, own: int | None, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """(members, their exact scores, segments processed); the members hold all of the k best and all that
+        equal the k-th, of those that reach `bar`. own is not to be returned."""
         n = len(self.vectors)
-        score = np.zeros((len(queries), n))
-        score[own] = -np.inf
-        absolute = np.abs(queries).sum(1, keepdims=True).astype(np.float64)
-        q = queries.astype(np.float64)
-        alive = np.ones(score.shape, bool) & np.isfinite(score)
-        for level in self.levels:
-            score += q @ self.planes(level)
-            slack = absolute * ((1 << level) - 1)
-            if n > k:
-                kth = np.partition(score, n - k, axis=1)[:, n - k : n - k + 1]
-                alive = (score + slack >= kth - slack) & np.isfinite(score)
-            if alive.sum() <= 4 * k * len(queries):
+        weight = query[self.dims] * self.impacts
+        size = np.abs(weight)
+        order = np.lexsort((-size, self.dims))  # in each dimension the next segment is the largest to come
+        after = np.zeros(len(size), np.int64)
+        same = self.dims[order][1:] == self.dims[order][:-1]
+        after[order[:-1]] = np.where(same, size[order][1:], 0)
+        order = np.argsort(-size, kind="stable")
+        order = order[size[order] > 0]
+        to_come = (size - after)[order].sum() - np.cumsum((size - after)[order])
+        score = np.zeros(n)
+        if own is not None:
+            score[own] = -np.inf
+        slack = self.error * float(np.sqrt((query.astype(np.float64) ** 2).sum())) * (1 + 1e-9) + 1e-6
+        alive, used = np.isfinite(score), 0
+        # proof is sought each time that what is to come has halved, from an eighth on
+        total = float(to_come[0] + (size - after)[order[0]]) if len(order) else 0.0
+        for part in (8, 16, 32, 64, 128, 0):
+            end = len(order) if not part else int(np.searchsorted(-to_come, -total / part)) + 1
+            for at in order[used:end].tolist():
+                score[self.members[at]] += weight[at]
+            used = max(used, min(end, len(order)))
+            bound = slack + (float(to_come[used - 1]) if used else 0.0)
+            low = score - bound
+            least = max(bar, float(np.partition(low, n - k)[n - k])) if n > k else bar
+            alive = (score + bound >= least) & np.isfinite(score)
+            if alive.sum() <= max(4 * k, n // 64):
                 break
-        out = []
-        for i, query in enumerate(queries):
-            members = np.flatnonzero(alive[i])
-            out.append((members, self.vectors[members] @ query))
-        return out
+        members = np.flatnonzero(alive)
+        return members, self.vectors[members].astype(np.int64) @ query, used
 
 
 def integers(scale: int = 64):
@@ -75,68 +92,107 @@ def integers(scale: int = 64):
     return of
 
 
-def _blocks(batches):
-    """Rows (uid, vec_id, v) of a task to blocks of at most BLOCK rows and one width."""
+def _narrow(rows: list) -> tuple[str, bytes]:
+    """The vectors in the narrowest type that holds them."""
+    v = np.array(rows, np.int64)
+    most = int(np.abs(v).max(initial=0))
+    kind = next(t for t, top in (("<i1", 1 << 7), ("<i2", 1 << 15), ("<i4", 1 << 31), ("<i8", 1 << 63)) if most < top)
+    return kind, v.astype(kind).tobytes()
 
-    def out(rows):
-        by_width: dict[int, list] = {}
-        for r in rows:
-            by_width.setdefault(len(r[2]), []).append(r)
-        for same in by_width.values():
-            uid, vec, v = zip(*same, strict=True)
-            columns = [pa.array([x], t) for x, t in ((uid, pa.list_(pa.int64())), (vec, pa.list_(pa.int64())), (np.array(v, np.int64).tobytes(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["uids", "vec_ids", "data"])
 
-    waiting: list = []
-    for batch in batches:
-        waiting += zip(batch.column("uid").to_pylist(), batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True)
-        while len(waiting) >= BLOCK:
-            yield from out(waiting[:BLOCK])
-            waiting = waiting[BLOCK:]
-    if waiting:
-        yield from out(waiting)
+def _blocks(size: int):
+    """Rows (uid, vec_id, v) of a task to blocks of at most `size` rows and one width."""
 
-
-def _search(k: int):
     def run(batches):
+        waiting: dict[int, list] = {}
+
+        def out(rows):
+            uid, vec, v = zip(*rows, strict=True)
+            kind, data = _narrow(v)
+            columns = [pa.array([x], t) for x, t in ((uid, pa.list_(pa.int64())), (vec, pa.list_(pa.int64())), (len(v[0]), pa.int32()), (kind, pa.string()), (data, pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, ["uids", "vec_ids", "width", "kind", "data"])
+
         for batch in batches:
-            rows: list[tuple] = []
-            for r in batch.to_pylist():
-                vectors = np.frombuffer(r["data"], np.int64).reshape(len(r["uids"]), -1)
-                width = vectors.shape[1]
-                queries = [x for x in r["queries"] if len(x["v"]) == width]
-                if not queries:
-                    continue
-                place = {u: i for i, u in enumerate(r["uids"])}
-                own = [(i, place[x["uid"]]) for i, x in enumerate(queries) if x["uid"] in place]
-                own_at = tuple(np.array(own, np.int64).reshape(-1, 2).T)
-                found = ImpactBlock(vectors).search(np.array([x["v"] for x in queries], np.int64).reshape(-1, width), own_at, k)
-                for x, (members, scores) in zip(queries, found, strict=True):
-                    ids = [r["vec_ids"][m] for m in members.tolist()]
-                    best = sorted(zip((-scores).tolist(), ids, strict=True), key=lambda y: (y[0], y[1] is None, y[1] or 0))[:k]
-                    rows += [(x["uid"], x["vec_id"], i, -s) for s, i in best]
+            for r in zip(batch.column("uid").to_pylist(), batch.column("vec_id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                rows = waiting.setdefault(len(r[2]), [])
+                rows.append(r)
+                if len(rows) == size:
+                    yield out(waiting.pop(len(r[2])))
+        for rows in waiting.values():
+            yield out(rows)
+
+    return run
+
+
+BLOCKS = "uids array<bigint>, vec_ids array<bigint>, width int, kind string, data binary"
+
+
+def _vectors(kind: str, width: int, n: int, data: bytes) -> np.ndarray:
+    return np.frombuffer(data, kind).reshape(n, width)
+
+
+def _search(k: int, held: int = 65_536):
+    """Rows (a block of the index, a list of blocks of queries) to the best members. A task merges what its
+    blocks give for a query, and what it has so far is the bar for the next block."""
+
+    def run(batches):
+        best: dict[int, tuple] = {}
+
+        def out():
+            rows = [(quid, query, *x) for quid, (query, found) in best.items() for x in found]
+            best.clear()
             columns = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["quid", "query_id", "vec_id", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["quid", "query_id", "vec_id", "score"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+                n, place = len(r["uids"]), {u: j for j, u in enumerate(r["uids"])}
+                index = ImpactIndex(_vectors(r["kind"], r["width"], n, r["data"]))
+                unknown = np.array([v is None for v in r["vec_ids"]])
+                vec = np.array([v or 0 for v in r["vec_ids"]], np.int64)
+                for q in r["queries"]:
+                    queries = _vectors(q["kind"], r["width"], len(q["uids"]), q["data"]).astype(np.int64)
+                    for uid, query_id, query in zip(q["uids"], q["vec_ids"], queries, strict=True):
+                        before = best.get(uid, (query_id, []))[1]
+                        bar = before[-1][1] if len(before) == k else -np.inf
+                        members, score, _ = index.search(query, place.get(uid), k, bar)
+                        first = np.lexsort((vec[members], unknown[members], -score))[:k]
+                        found = [(None if unknown[m] else int(vec[m]), int(s)) for m, s in zip(members[first].tolist(), score[first].tolist(), strict=True)]
+                        found = sorted(before + found, key=lambda x: (-x[1], x[0] is None, x[0] or 0))[:k]
+                        best[uid] = (query_id, found)
+                    if len(best) >= held:
+                        yield out()
+        yield out()
 
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, together: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: of each query the k rows with the highest inner product, the query's
     own row left out; ties go to the smaller vec_id (null ids last).
 
     Both: uid (long, unique over the rows; equal for a query and its own row), vec_id, v (array of long,
-    below 2**40 in sum of products). Null v takes no part; vectors meet only those of their own width.
-    Blocks of queries meet blocks of the index; a task holds one of each."""
+    below 2**40 in sum of products); other columns are left alone. Null v takes no part; vectors meet only
+    those of their own width. A task holds a block of the index and a group of at most about `together`
+    queries; an index block is copied once for each group."""
     spark = vectors.sparkSession
-    good = vectors.where("v is not null")
-    index = good.repartition(max(1, math.ceil(good.count() / BLOCK))).mapInArrow(_blocks, "uids array<bigint>, vec_ids array<bigint>, data binary")
-    asked = queries.where("v is not null")
-    blocks = max(1, math.ceil(asked.count() / QUERIES))
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int"))
-    asked = asked.groupBy("qb").agg(F.collect_list(F.struct("uid", "vec_id", "v")).alias("queries"))
-    pairs = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(max(spark.sparkContext.defaultParallelism, blocks), "qb", F.expr("uids[0]"))
-    found = pairs.join(asked, "qb").mapInArrow(_search(k), "quid bigint, query_id bigint, vec_id bigint, score bigint")
+    cores = spark.sparkContext.defaultParallelism
+    good = vectors.where("v is not null").select("uid", "vec_id", "v")
+    parts = max(1, math.ceil(good.count() / block))
+    index = good.repartition(parts).mapInArrow(_blocks(block), BLOCKS).withColumn("p", F.pmod(F.spark_partition_id(), F.lit(parts)))
+    index = staged(index, "index")
+    asked = queries.where("v is not null").select("uid", "vec_id", "v")
+    n = asked.count()
+    groups = max(1, math.ceil(n / together), min(math.ceil(2 * cores / parts), n // 64))
+    asked = asked.repartition(groups).mapInArrow(_blocks(min(256, together)), BLOCKS).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    asked = asked.groupBy("g", "width").agg(F.collect_list(F.struct("uids", "vec_ids", "kind", "data")).alias("queries"))
+    asked = staged(asked, "queries").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = index.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(max(cores, parts * groups), "p", "g", "width")
+    pairs = pairs.join(asked, ["p", "g", "width"]).select("uids", "vec_ids", "width", "kind", "data", "queries")
+    found = staged(pairs.mapInArrow(_search(k), "quid bigint, query_id bigint, vec_id bigint, score bigint"), "best")
+    forget(index)
+    forget(asked)
     best = Window.partitionBy("quid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
