@@ -1,13 +1,15 @@
-"""Exact removal of repeated byte strings by bucket-pointer refinement of suffix buckets.
+"""Removal of repeated byte strings by bucket-pointer refinement of suffix buckets.
 
 The suffixes of interest start a string of `length` bytes that also starts elsewhere. They are aligned at
 anchors: every string of that length has one q-gram with the smallest hash (the leftmost of equals), chosen
 by its content alone, so equal strings have equal q-grams at equal offsets. Neighbouring starts share their
 anchor; such a run of starts enters the bucket of its q-gram. Each round cuts the offsets of a bucket into
-ranges and refines the bucket by the identifiers of the blocks at later and earlier offsets that all strings
-of a range share (its core). Identifiers of one round are the buckets of the next; buckets of one member
-end, and so do ranges whose whole surroundings (hull) occur again. Spark groups by identifier; no bucket is
-gathered.
+ranges and refines the bucket: members go on together if the strings at the next later and earlier offsets,
+up to where all strings of the range still hold them (its core), are in equal buckets too. The pointer of a
+refined bucket is made of its parent's pointer and those strings, and the next round refines by it in turn,
+so no round looks at bytes that an earlier one has named. Buckets of one member end, and so do ranges whose
+whole surroundings (hull, named from the core's pointer) occur again. Spark groups by pointer; no bucket is
+gathered. Pointers are 128 bits of BLAKE2b: strings count as equal if their pointers are.
 """
 
 from __future__ import annotations
@@ -16,7 +18,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,23 +74,35 @@ def anchors(h: np.ndarray, window: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def pointer(*parts: bytes) -> bytes:
+    """The name of a bucket: of a string, or of a parent's pointer with the strings that refine it."""
+    h = hashlib.blake2b(digest_size=16)
+    for part in parts:
+        h.update(len(part).to_bytes(4, "little"))
+        h.update(part)
+    return h.digest()
+
+
 def _anchor_rows(length: int, q: int):
-    """Rows (uid, text) to an anchor's bucket and the identifier of all that its strings hold."""
+    """Rows (uid, text) to runs of starts at an anchor: the pointer of its q-gram's bucket and that of all that
+    the run's strings hold."""
 
     def run(batches):
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
             uid, pos, lo, hi, gram, hull = [], [], [], [], [], []
             for u, text in zip(batch.column("uid").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if text is None or len(text) < length:
                     continue
+                named, name = -1, b""
                 for at, first, last in anchors(gram_hashes(text, q), length - q + 1):
+                    if at != named:
+                        named, name = at, pointer(text[at : at + q])
                     uid.append(u)
                     pos.append(at)
                     lo.append(at - last)
                     hi.append(at - first)
-                    gram.append(digest(text[at : at + q]))
-                    hull.append(digest(text[first : last + length] + (at - first).to_bytes(4, "little")))
+                    gram.append(name)
+                    hull.append(pointer(name, text[first:at], text[at + q : last + length]))
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             columns = [uid, pos, lo, hi, gram, hull]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["uid", "pos", "lo", "hi", "gram", "hull"])
@@ -98,26 +111,28 @@ def _anchor_rows(length: int, q: int):
 
 
 def _refine(width: int, length: int):
-    """Rows (uid, text, open: runs or ranges) to their narrower ranges with the identifiers of core and hull.
+    """Rows (uid, text, open: runs or ranges with their buckets) to their narrower ranges with the pointers of
+    core and hull.
 
     A range is (a, b), the distances from starts to the anchor, on a grid that all texts share; lo and hi are
-    the least and greatest distance in this run. The hull of one that the run fills in part is null, and of
-    one offset core and hull are the same."""
+    the least and greatest distance in this run. The core of a range lies from a before the anchor to
+    length - b after it; the parent's pointer has named its middle part. The hull of a range that the run
+    fills in part is null, and of one offset core and hull are the same."""
 
     def run(batches):
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
             out: list[list] = [[] for _ in range(9)]
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for u, text, ranges in zip(batch.column("uid").to_pylist(), texts, batch.column("open").to_pylist(), strict=True):
                 for r in ranges:
                     at, lo, hi = r["pos"], r["lo"], r["hi"]
+                    known, end = at - r["a"], at - r["b"] + length
                     for a in range(max(r["a"], lo // width * width), min(r["b"], hi) + 1, width):
                         b = a + width - 1
-                        core = digest(text[at - a : at - b + length] + a.to_bytes(4, "little"))
+                        core = pointer(r["bucket"], a.to_bytes(4, "little"), text[at - a : known], text[end : at - b + length])
                         hull = core
                         if width > 1:
-                            hull = digest(text[at - b : at - a + length] + b.to_bytes(4, "little")) if a >= lo and b <= hi else None
+                            hull = pointer(core, text[at - b : at - a], text[at - b + length : at - a + length]) if a >= lo and b <= hi else None
                         for column, x in zip(out, (u, at, lo, hi, a, b, core, hull, r["shown"]), strict=True):
                             column.append(x)
             kinds = [pa.int64(), *[pa.int32()] * 5, pa.binary(), pa.binary(), pa.bool_()]
@@ -149,17 +164,17 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     level = shared.where("first is null or (first.uid = uid and first.pos = pos)").select("uid", "pos", "lo", "hi", "gram", known)
     useful = level.groupBy("gram").agg(F.count("*").alias("n"), F.count_if(~F.col("shown")).alias("new")).where("n > 1 and new > 0")
     level = level.join(staged(useful.select("gram"), "useful"), "gram")
-    level = level.select("uid", "pos", "lo", "hi", F.lit(0).alias("a"), F.lit(length - q).alias("b"), "shown")
+    level = level.select("uid", "pos", "lo", "hi", F.lit(0).alias("a"), F.lit(length - q).alias("b"), F.col("gram").alias("bucket"), "shown")
     texts = None
     for width in WIDTHS:
-        of_text = level.groupBy("uid").agg(F.collect_list(F.struct("pos", "lo", "hi", "a", "b", "shown")).alias("open"))
+        of_text = level.groupBy("uid").agg(F.collect_list(F.struct("pos", "lo", "hi", "a", "b", "bucket", "shown")).alias("open"))
         if texts is None:
             of_text = staged(of_text, "open")
             texts = staged(rows.join(of_text.select("uid").hint("merge"), "uid", "left_semi").select("uid", "text"), "texts")
             release(rows.sparkSession)
         level = staged(texts.join(of_text.hint("merge"), "uid").mapInArrow(_refine(width, length), REFINED), "ranges")
         cores = level.groupBy("core").agg(F.count("*").alias("n"), F.count_if(~F.col("shown")).alias("new")).where("n > 1 and new > 0")
-        again = level.join(staged(cores.select("core"), "cores"), "core").drop("core")
+        again = level.join(staged(cores.select("core"), "cores"), "core").withColumnRenamed("core", "bucket")
         if width == 1:
             again = staged(again.where("not shown").select("uid", "pos", F.col("a").alias("lo"), F.col("b").alias("hi")), "found")
             covered = covered.union(again)
@@ -174,7 +189,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
         release(rows.sparkSession)
         covered = covered.union(again.where("first is not null and not shown").select("uid", "pos", "a", "b"))
         level = again.where("first is null or (first.uid = uid and first.pos = pos and first.a = a)")
-        level = level.select("uid", "pos", "lo", "hi", "a", "b", (F.col("shown") | F.col("first").isNotNull()).alias("shown"))
+        level = level.select("uid", "pos", "lo", "hi", "a", "b", "bucket", (F.col("shown") | F.col("first").isNotNull()).alias("shown"))
     forget(texts)
     release(rows.sparkSession)
     return covered.select("uid", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))
@@ -198,7 +213,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
     and overlapping ones included; strings are judged on the input. Null is empty; texts shorter than length
     stay whole; of repeated rows all are removed; other columns stay as they are."""
     own = [c for c in docs.columns if c != "repeats"]
-    rows = docs.select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    # written once: uid must mean the same row in every job, whatever executors come and go
+    rows = staged(docs.select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
     spans = repeated_spans(rows.select("uid", F.col("row.text").alias("text")), length)
     spans = spans.distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     kind = {"n_bytes": pa.int64(), "removed": pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})), "sha256": pa.string()}
