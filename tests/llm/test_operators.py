@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumaframe.llm import chat, decontaminate, langid, lm, packing, pii, simhash, substrings, topk, warc
 from lumaframe.llm.common import connected_components, new_path
@@ -169,7 +170,8 @@ def test_pii(spark, nothing):
 
 
 def test_language_model(spark, docs, nothing):
-    rows = lm.score_texts(docs, docs.where("doc_id < 8"), top=4).collect()
+    learn = F.col("doc_id") < 8
+    rows = lm.score_texts(docs, learn, top=4).collect()
     count = Counter(k for t in TEXTS[:8] + [TEXTS[4]] for k in lm.keys((t or "").encode()))
     total, distinct = sum(count.values()), len(count)
     for r in rows:
@@ -177,10 +179,68 @@ def test_language_model(spark, docs, nothing):
         base = sum(np.log10((count[k] + 1) / (total + distinct + 1)) for k in keys)
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(keys), sum(k in count for k in keys), total)
         assert abs(r.base_score - base) < 1e-6 * max(1, -base) and r.score < 0
-    assert len(rows) == len(TEXTS) + 1 and lm.score_texts(docs, nothing).count() == len(rows) and lm.score_texts(nothing, docs).count() == 0
-    p, share = lm.start(np.full(lm.CLASSES, 1 / lm.CLASSES)), np.zeros((1, lm.ORDER), np.int32)
-    logs = [lm.log_classes(p, share, np.array([c]))[0] for c in range(lm.CLASSES)]
-    assert abs(sum(10**x for x in logs) - 1) < 1e-5
+    assert len(rows) == len(TEXTS) + 1 and lm.score_texts(docs, F.lit(False)).count() == len(rows) and lm.score_texts(nothing).count() == 0
+
+
+@pytest.mark.parametrize("top", [3, 200])
+def test_language_model_scores_like_a_plain_one(spark, monkeypatch, top):
+    """Over words, kept or not, broadcast or joined, and unseen ones: whole texts against loops, and all
+    probabilities of a context add up to 1."""
+    monkeypatch.setattr(lm, "OWN", 4)
+    monkeypatch.setattr(lm, "LEAST_KEPT", 20)
+    monkeypatch.setattr(lm, "HASHED", 8)
+    texts = [" ".join(f"{WORDS[int(k) % 9]}{k}" for k in RNG.zipf(1.3, 60) % 90) for _ in range(12)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", "never seen alpha0 WORDS"])], "doc_id long, text string")
+    _, _, total, vocab = lm.gather(docs.where("doc_id < 12"), top)
+    p = lm.start(vocab)
+    p[:, : lm.DIM] *= 9
+    monkeypatch.setattr(lm, "train", lambda coded, blob: p)
+    count = Counter(k for t in texts for k in lm.keys(t.encode()))
+    order = sorted(count, key=lambda w: (-count[w], w))
+    order = [w for w in order if w in vocab.index]
+    kept = order[: vocab.kept]
+    own = [w for w in kept if w != lm.END][:4]
+    group = lambda w: zlib.crc32(w[:3]) % vocab.groups
+    members = {g: [w for w in kept if w != lm.END and w not in own and group(w) == g] for g in range(vocab.groups)}
+
+    def row(w, place):
+        at = -1 if w is None else kept.index(w) if w in kept else len(kept) + zlib.crc32(w) % 8
+        return p[place * (len(kept) + 9) + (len(kept) + 8 if w is None else at)]
+
+    def softmax(x):
+        e = np.exp(np.array(x, float) - max(x))
+        return e / e.sum()
+
+    def probability(w, before):
+        h = sum(row(x, k)[: lm.DIM].astype(float) for k, x in enumerate(before))
+        by = lambda table: softmax([r[: lm.DIM].astype(float) @ h + r[lm.DIM] for r in table])
+        classes = by(p[vocab.q : vocab.w])
+        if w in own or w == lm.END:
+            return classes[own.index(w) if w in own else 4]
+        g = group(w)
+        inner = by(p[vocab.w + vocab.first[g] : vocab.w + vocab.first[g + 1]])
+        if w in members[g]:
+            return classes[5 + g] * inner[members[g].index(w)]
+        rest = [x for x in count if x != lm.END and x not in own and group(x) == g and x not in members[g]]
+        return classes[5 + g] * inner[-1] * (count[w] + 1) / (sum(count[x] for x in rest) + len(rest) + 1)
+
+    for r in lm.score_texts(docs, F.col("doc_id") < 12, top).collect():
+        keys = lm.keys(([*texts, "", "never seen alpha0 WORDS"][r.doc_id]).encode())
+        padded = [None] * lm.ORDER + keys
+        plain = sum(np.log10(probability(w, [padded[lm.ORDER + i - 1 - k] for k in range(lm.ORDER)])) for i, w in enumerate(keys))
+        assert abs(r.score - plain) < 1e-4 * len(keys)
+    before = lm.contexts(vocab, np.array([0, 1, 2, 0]))[2:3]
+    choices = [(c, -1) for c in range(5)] + [(5 + g, vocab.first[g] + k) for g in range(vocab.groups) for k in range(vocab.first[g + 1] - vocab.first[g])]
+    cls, out = (np.array(x) for x in zip(*choices, strict=True))
+    logs = lm.log_words(p, vocab, np.repeat(before, len(cls), axis=0), cls, out)
+    assert abs((10**logs).sum() - 1) < 1e-5
+
+
+def test_language_model_learns(spark):
+    texts = ["a b c d e f " * 200] * 40 + ["x y z " * 400] * 40
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    rows = lm.score_texts(docs).collect()
+    assert sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)
 
 
 def test_top_k(spark):

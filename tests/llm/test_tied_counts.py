@@ -10,6 +10,6 @@ def test_words_tied_at_the_highest_count_are_known(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     _, least, total, vocab = lm.gather(docs, top=10)
     assert (least, total, set(vocab.index)) == (2, 31, {lm.END})
-    row = lm.score_texts(docs, docs, top=10).first()
+    row = lm.score_texts(docs, top=10).first()
     base = 31 * np.log10(2 / (31 + 31 + 1))
     assert row.n_known == row.n_tokens == 31 and abs(row.base_score - base) < 1e-6
