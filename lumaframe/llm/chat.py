@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import forget, staged, table
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>((?:[^\n])*)\n((?:(?!<\|im_end\|>).)*)<\|im_end\|>\n", re.S)
@@ -80,10 +80,14 @@ def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     best = Window.partitionBy("tree_id").orderBy(F.desc(F.col("sum") / F.col("steps")), "message_id")
     chosen = leaves.withColumn("branch", F.row_number().over(best)).where(F.col("branch") <= branches)
     path = staged(chosen.select("tree_id", "branch", F.col("message_id").alias("up"), F.col("steps").alias("depth")), "path")
-    for k, jump in enumerate(jumps[:-1]):
+    forget(jumps.pop())
+    for k, jump in enumerate(jumps):
         nodes = jump.where("up is not null").select("tree_id", F.col("message_id").alias("up"), F.col("up").alias("far"))
         above = path.alias("a").join(nodes.alias("b"), same).select("a.tree_id", "a.branch", F.col("b.far").alias("up"), (F.col("a.depth") - 2**k).alias("depth"))
-        path = staged(path.union(above), "path")
+        longer = staged(path.union(above), "path")
+        forget(path)
+        forget(jump)
+        path = longer
     return path.select("tree_id", "branch", "depth", F.col("up").alias("message_id"))
 
 

@@ -29,8 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -41,12 +45,22 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a staged DataFrame that nothing reads any more."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, folder)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this driver has staged and not yet forgotten. A result that reads a staged table must
+    have been written elsewhere before."""
+    while _made:
+        _delete(spark, _made.pop())
 
 
 def release(spark: SparkSession) -> None:

@@ -149,7 +149,8 @@ def find_contamination(
     if blocks == 1:
         return scan(wins, docs, "contamination")
     dealt = wins.withColumn("b", F.pmod(F.xxhash64("window", "item_id"), F.lit(blocks)))
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    # written once: uid must mean the same row in every job, whatever executors come and go
+    own = staged(docs.select(F.struct(*[c for c in docs.columns if c != "contamination"]).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
     texts = own.select("uid", "row", F.col("row.text").alias("text"))
     found = None
     for b in range(blocks):

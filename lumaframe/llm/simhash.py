@@ -254,6 +254,7 @@ def _confirmed(rows: DataFrame, pairs: DataFrame, size: int, similarity: float)
     wide = pairs.join(texts.toDF("v", "right").hint("merge"), "v").join(texts.toDF("u", "left").hint("merge"), "u")
     edges = staged(wide.where(_alike(size, similarity)("left", "right")).select("u", "v"), "similar")
     forget(texts)
+    forget(needed)
     release(rows.sparkSession)
     return edges
 
@@ -325,6 +326,7 @@ def prefix_pairs(signed: DataFrame, similarity: float, work: int = BUCKET_WORK)
     stats = staged(stats.where("size > 1 and own > 0 and low <> high").select("token", salts.alias("salts")), "shared")
     release(signed.sparkSession)
     some = staged(entries.join(stats.hint("merge"), "token"), "entries")
+    forget(stats)
     release(signed.sparkSession)
     a = some.where(own).select("token", F.pmod(F.xxhash64("uid"), F.col("salts")).cast("int").alias("salt"), F.col("uid").alias("u"), F.col("component").alias("cu"), F.col("n").alias("nu"), F.col("reach").alias("ru"))
     b = some.select("token", F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"), F.col("uid").alias("v"), F.col("component").alias("cv"), F.col("n").alias("nv"), F.col("reach").alias("rv"))
@@ -342,25 +344,33 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     compared as well, so none is missed. Joins that carry texts always shuffle, so disk grows in proportion at
     every size. Null and empty texts are one class. Columns stay as they are."""
     spark = docs.sparkSession
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    # written once: uid must mean the same row in every job, whatever executors come and go
+    rows = staged(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
     sketch = _sketch(size)(F.col("row.text")).alias("s")
     small = staged(rows.select("uid", F.col("row.doc_id").alias("doc_id"), sketch).select("uid", "doc_id", "s.*"), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("null_id"), F.col("doc_id"), F.col("uid"))
     first = small.groupBy("same").agg(F.min_by(F.struct("uid", "doc_id", "fp", "bands"), order).alias("x")).select("x.*")
     first = staged(first, "classes")
 
-    edges = _confirmed(rows, staged(proposed_pairs(first, tau), "pairs"), size, similarity)
+    proposed = staged(proposed_pairs(first, tau), "pairs")
+    edges = _confirmed(rows, proposed, size, similarity)
+    forget(proposed)
+    forget(small)
     groups = first.select("uid").join(connected_components(edges).toDF("uid", "component").hint("merge"), "uid", "left")
     groups = staged(groups.select("uid", F.coalesce("component", "uid").alias("component")), "groups")
 
     # only speed depends on the table's size
     bits = min(22, max(12, (4 * first.count()).bit_length()))
-    ranks = spark.sparkContext.broadcast(commonness(docs, size, bits))
+    ranks = spark.sparkContext.broadcast(commonness(rows.select("row.text"), size, bits))
     signed = rows.select("uid", prefixes(size, similarity, ranks)("row.text").alias("s")).select("uid", "s.*")
-    signed = staged(staged(signed, "prefixes").join(groups.hint("merge"), "uid"), "signed")
+    written = staged(signed, "prefixes")
+    signed = staged(written.join(groups.hint("merge"), "uid"), "signed")
+    forget(written)
     pairs = staged(prefix_pairs(signed, similarity), "pairs")
     forget(signed)
-    edges = staged(edges.union(_confirmed(rows, pairs, size, similarity)), "edges")
+    confirmed = _confirmed(rows, pairs, size, similarity)
+    forget(pairs)
+    edges = staged(edges.union(confirmed), "edges")
 
     of = connected_components(edges)
     grouped = first.join(of, first.uid == of.node).select("uid", "doc_id", "component")
