@@ -18,9 +18,10 @@ LEAST_LANGUAGE_SCORE = 0.35
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter or without a language; keep the others as they are."""
-    labelled = label_language(docs, fit(docs), "_language")
-    good = (F.col("_language.lang") != UNKNOWN) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)
-    return labelled.where(good).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    labelled = label_language(rows, fit(docs), "language")
+    good = (F.col("language.lang") != UNKNOWN) & (F.col("language.score") >= LEAST_LANGUAGE_SCORE)
+    return labelled.where(good).select("row.*")
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,8 +31,9 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a window of a benchmark item."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    return found.where(F.size("contamination.spans") == 0).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    found = find_contamination(rows, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.where(F.size("contamination.spans") == 0).select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
