@@ -21,6 +21,8 @@ from .common import forget, staged, table
 
 #: Vectors in a block of the index, and queries that meet a block in one task; only speed depends on them.
 BLOCK, QUERIES = 32_768, 4096
+#: Members of one index and queries whose scores are added to side by side: they fit a core's cache.
+MEMBERS, TOGETHER = 4096, 64
 #: Impacts of a dimension, without their sign.
 LEVELS = 12
 
@@ -46,39 +48,54 @@ class ImpactIndex:
                     self.members.append(part)
         self.dims, self.impacts = np.array(dims, np.int64), np.array(impacts, np.int64)
 
-    def search(self, query: np.ndarray, own: int | None, k: int, bar: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
-        """(members, their exact scores, segments processed); the members hold all of the k best and all that
-        equal the k-th, of those that reach `bar`. own is not to be returned."""
-        n = len(self.vectors)
-        weight = query[self.dims] * self.impacts
-        size = np.abs(weight)
-        order = np.lexsort((-size, self.dims))  # in each dimension the next segment is the largest to come
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, bar: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query (members, their exact scores, segments processed). The members hold all of the k best
+        and all that equal the k-th, of those that reach the query's bar. own: the member that a query is not to
+        be given, or -1."""
+        n, weight = len(self.vectors), np.abs(queries).sum(0)
+        size = weight[self.dims] * np.abs(self.impacts)
+        order = np.lexsort((-np.abs(self.impacts), self.dims))  # in each dimension the next segment is the largest to come
         after = np.zeros(len(size), np.int64)
         same = self.dims[order][1:] == self.dims[order][:-1]
-        after[order[:-1]] = np.where(same, size[order][1:], 0)
-        order = np.argsort(-size, kind="stable")
+        after[order[:-1]] = np.where(same, np.abs(self.impacts[order])[1:], 0)
+        order = np.lexsort((-np.abs(self.impacts), self.dims, -size))
         order = order[size[order] > 0]
-        to_come = (size - after)[order].sum() - np.cumsum((size - after)[order])
-        score = np.zeros(n)
-        if own is not None:
-            score[own] = -np.inf
-        slack = self.error * float(np.sqrt((query.astype(np.float64) ** 2).sum())) * (1 + 1e-9) + 1e-6
-        alive, used = np.isfinite(score), 0
-        # proof is sought each time that what is to come has halved, from an eighth on
-        total = float(to_come[0] + (size - after)[order[0]]) if len(order) else 0.0
-        for part in (8, 16, 32, 64, 128, 0):
-            end = len(order) if not part else int(np.searchsorted(-to_come, -total / part)) + 1
+        drop = (np.abs(self.impacts) - after)[order] * weight[self.dims[order]]
+        to_come = drop.sum() - np.cumsum(drop)
+        largest = np.zeros(self.vectors.shape[1], np.int64)
+        np.maximum.at(largest, self.dims, np.abs(self.impacts))
+
+        active, out = np.arange(len(queries)), [None] * len(queries)
+        exact = np.abs(queries).sum(1).max(initial=0) * (np.abs(self.impacts).max(initial=0) + 1) < 1 << 24
+        score = np.zeros((n, len(queries)), np.float32 if exact else np.float64)
+        mine = np.flatnonzero(own >= 0)
+        score[own[mine], mine] = -np.inf
+        norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1)) * (1 + 1e-9)
+        used, total = 0, float(drop.sum())
+        # proof is sought each time that what is to come has halved, from a sixteenth on
+        for part in (16, 32, 64, 0):
+            end = len(order) if not part else min(len(order), int(np.searchsorted(-to_come, -total / part)) + 1)
             for at in order[used:end].tolist():
-                score[self.members[at]] += weight[at]
-            used = max(used, min(end, len(order)))
-            bound = slack + (float(to_come[used - 1]) if used else 0.0)
-            low = score - bound
-            least = max(bar, float(np.partition(low, n - k)[n - k])) if n > k else bar
-            alive = (score + bound >= least) & np.isfinite(score)
-            if alive.sum() <= max(4 * k, n // 64):
+                d = self.dims[at]
+                score[self.members[at]] += (queries[active, d] * self.impacts[at]).astype(score.dtype)
+                largest[d] = after[at]
+            used = max(used, end)
+            left = []
+            rest = np.abs(queries[active]) @ largest
+            for j, i in enumerate(active.tolist()):
+                own_score = score[:, j].astype(np.float64)
+                bound = self.error * norm[i] + (float(rest[j]) + 1e-6)
+                low = own_score - bound
+                least = max(float(bar[i]), float(np.partition(low, n - k)[n - k])) if n > k else float(bar[i])
+                members = np.flatnonzero((own_score + bound >= least) & np.isfinite(own_score))
+                if part and len(members) > max(4 * k, n // 16):
+                    left.append(j)
+                else:
+                    out[i] = (members, self.vectors[members].astype(np.int64) @ queries[i], used)
+            if not left:
                 break
-        members = np.flatnonzero(alive)
-        return members, self.vectors[members].astype(np.int64) @ query, used
+            active, score = active[left], np.ascontiguousarray(score[:, left]) if len(left) < len(active) else score
+        return out
 
 
 def integers(scale: int = 64):
@@ -148,19 +165,22 @@ def _search(k: int, held: int = 65_536):
             for i in range(batch.num_rows):
                 r = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
                 n, place = len(r["uids"]), {u: j for j, u in enumerate(r["uids"])}
-                index = ImpactIndex(_vectors(r["kind"], r["width"], n, r["data"]))
+                vectors = _vectors(r["kind"], r["width"], n, r["data"])
                 unknown = np.array([v is None for v in r["vec_ids"]])
                 vec = np.array([v or 0 for v in r["vec_ids"]], np.int64)
-                for q in r["queries"]:
+                for low, q in ((low, q) for low in range(0, n, MEMBERS) for q in r["queries"]):
+                    if q is r["queries"][0]:
+                        index = ImpactIndex(vectors[low : low + MEMBERS])
                     queries = _vectors(q["kind"], r["width"], len(q["uids"]), q["data"]).astype(np.int64)
-                    for uid, query_id, query in zip(q["uids"], q["vec_ids"], queries, strict=True):
-                        before = best.get(uid, (query_id, []))[1]
-                        bar = before[-1][1] if len(before) == k else -np.inf
-                        members, score, _ = index.search(query, place.get(uid), k, bar)
+                    before = [best.get(u, (None, []))[1] for u in q["uids"]]
+                    bar = np.array([x[-1][1] if len(x) == k else -np.inf for x in before])
+                    own = np.array([place.get(u, -1) - low for u in q["uids"]])
+                    own[(own < 0) | (own >= MEMBERS)] = -1
+                    for uid, query_id, old, (members, score, _) in zip(q["uids"], q["vec_ids"], before, index.search(queries, own, k, bar), strict=True):
+                        members = members + low
                         first = np.lexsort((vec[members], unknown[members], -score))[:k]
                         found = [(None if unknown[m] else int(vec[m]), int(s)) for m, s in zip(members[first].tolist(), score[first].tolist(), strict=True)]
-                        found = sorted(before + found, key=lambda x: (-x[1], x[0] is None, x[0] or 0))[:k]
-                        best[uid] = (query_id, found)
+                        best[uid] = (query_id, sorted(old + found, key=lambda x: (-x[1], x[0] is None, x[0] or 0))[:k])
                     if len(best) >= held:
                         yield out()
         yield out()
@@ -185,7 +205,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOC
     asked = queries.where("v is not null").select("uid", "vec_id", "v")
     n = asked.count()
     groups = max(1, math.ceil(n / together), min(math.ceil(2 * cores / parts), n // 64))
-    asked = asked.repartition(groups).mapInArrow(_blocks(min(256, together)), BLOCKS).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    asked = asked.repartition(groups).mapInArrow(_blocks(min(TOGETHER, together)), BLOCKS).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(groups)))
     asked = asked.groupBy("g", "width").agg(F.collect_list(F.struct("uids", "vec_ids", "kind", "data")).alias("queries"))
     asked = staged(asked, "queries").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     pairs = index.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).repartition(max(cores, parts * groups), "p", "g", "width")
