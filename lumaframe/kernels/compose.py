@@ -22,6 +22,13 @@ def alpha_plane(chunk: bytes, width: int, height: int) -> np.ndarray:
         d = np.frombuffer(chunk, np.uint8, offset=1).reshape(height, width).astype(np.int64)
     else:
         d = (vp8l.decode(chunk[1:], width, height, headless=True) >> 8 & 255).astype(np.int64)
+    return unfilter(d, kind)
+
+
+def unfilter(d: np.ndarray, kind: int) -> np.ndarray:
+    """A plane as it was before filtering. kind: 0 none, 1 horizontal, 2 vertical, 3 gradient."""
+    d = d.copy()
+    height, width = d.shape
     if kind == 1:
         d[:, 0] = np.cumsum(d[:, 0])
         d = np.cumsum(d, axis=1)
@@ -64,26 +71,35 @@ def blend(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     return np.where(sa == 0, d, np.where((sa == 255) | (da == 0), s, out)).astype(np.uint32)
 
 
-def composed(image: Image, pictures: list[np.ndarray]) -> list[np.ndarray]:
-    """Each frame as shown. A disposed frame's rectangle is cleared to transparent before the next one."""
-    if not image.animated:
-        return pictures
-    canvas, out, before = np.zeros((image.height, image.width), np.uint32), [], None
-    for f, picture in zip(image.frames, pictures, strict=True):
-        whole = (f.width, f.height) == (image.width, image.height)
-        if whole and not f.blend:
-            canvas = picture.copy()
+def paint(canvas: np.ndarray, size: tuple[int, int], first: int, f, before, picture: np.ndarray) -> np.ndarray:
+    """The canvas's rows from `first` on after frame f. size: (width, height) of the whole canvas; before: the
+    frame shown until now, whose rectangle is cleared to transparent if it says so; picture: those rows of the
+    frame that lie among the canvas's rows."""
+    whole = (f.width, f.height) == size
+    if whole and not f.blend:
+        return picture.copy()
+    rows = lambda r: slice(max(r.y - first, 0), max(r.y + r.height - first, 0))
+    if before is None or before.dispose:
+        if whole or before is None:
+            canvas[:] = 0
         else:
-            if before is None or before.dispose:
-                if whole or before is None:
-                    canvas[:] = 0
-                else:
-                    canvas[before.y : before.y + before.height, before.x : before.x + before.width] = 0
-            at = np.s_[f.y : f.y + f.height, f.x : f.x + f.width]
-            canvas[at] = blend(picture, canvas[at]) if f.blend else picture
-        out.append(canvas.copy())
+            canvas[rows(before), before.x : before.x + before.width] = 0
+    if len(picture):
+        at = rows(f), slice(f.x, f.x + f.width)
+        canvas[at] = blend(picture, canvas[at]) if f.blend else picture
+    return canvas
+
+
+def shown(image: Image, tables: vp8.Tables | None = None):
+    """Each frame as shown, decoded when it is asked for; one canvas is all that is held."""
+    if not image.animated:
+        yield from (decode_frame(f, tables) for f in image.frames)
+        return
+    canvas, before = np.zeros((image.height, image.width), np.uint32), None
+    for f in image.frames:
+        canvas = paint(canvas, (image.width, image.height), 0, f, before, decode_frame(f, tables))
         before = f
-    return out
+        yield canvas.copy()
 
 
 def nearest(p: np.ndarray, width: int, height: int) -> np.ndarray:

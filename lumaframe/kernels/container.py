@@ -8,6 +8,8 @@ from .vp8l import ImageError
 
 ANIMATED, XMP, EXIF, ALPHA, ICC = 2, 4, 8, 16, 32
 LARGEST = 16384
+#: Pixels of a canvas; a header may claim 2 ** 48 in a hundred bytes.
+MOST_PIXELS = 1 << 28
 
 
 @dataclass
@@ -54,6 +56,14 @@ def chunks(data: bytes, at: int, end: int):
         at += 8 + size + (size & 1)
 
 
+def riff_end(data: bytes) -> int:
+    """Where the container ends by its own header."""
+    size = _le(data, 4, 4)
+    if data[:4] != b"RIFF" or data[8:12] != b"WEBP" or size < 12:
+        raise ImageError("not an image container")
+    return 8 + size
+
+
 def lossy_size(payload: bytes) -> tuple[int, int]:
     if len(payload) < 10 or payload[0] & 1 or payload[3:6] != b"\x9d\x01\x2a":
         raise ImageError("not a lossy key frame")
@@ -88,12 +98,10 @@ def _animation_frame(data: bytes, canvas: Image) -> Frame:
     raise ImageError("a frame without an image")
 
 
-def parse(data: bytes) -> Image:
-    """Raises ImageError for anything malformed; bytes after the declared size are left alone."""
-    size = _le(data, 4, 4)
-    if data[:4] != b"RIFF" or data[8:12] != b"WEBP" or size < 12:
-        raise ImageError("not an image container")
-    parts = chunks(data, 12, 8 + size)
+def parse(data: bytes, most_pixels: int = MOST_PIXELS) -> Image:
+    """Raises ImageError for anything malformed and for a canvas of more than most_pixels; bytes after the
+    declared size are left alone."""
+    parts = chunks(data, 12, riff_end(data))
     code, payload = next(parts)
     if code == "VP8 ":
         w, h = lossy_size(payload)
@@ -105,6 +113,8 @@ def parse(data: bytes) -> Image:
         raise ImageError("an unknown first chunk")
     flags = _le(payload, 0, 1)
     out = Image(_le(payload, 4, 3) + 1, _le(payload, 7, 3) + 1, bool(flags & ALPHA), bool(flags & ANIMATED))
+    if out.width * out.height > most_pixels:
+        raise ImageError("a canvas of too many pixels")
     alpha = None
     for code, payload in parts:
         if code == "ANIM":
@@ -123,7 +133,6 @@ def parse(data: bytes) -> Image:
                     out.metadata[name] = payload
     if not out.frames:
         raise ImageError("an image without frames")
-    moving = out.animated
-    out.lossy = any(not f.lossless or (moving and f.alpha is not None) for f in out.frames)
-    out.loop_duration_ms = sum(f.duration_ms for f in out.frames) if moving else 0
+    out.lossy = any(not f.lossless or f.alpha is not None for f in out.frames)
+    out.loop_duration_ms = sum(f.duration_ms for f in out.frames) if out.animated else 0
     return out

@@ -9,13 +9,21 @@ class ImageError(ValueError):
     """The bytes are not a well-formed image."""
 
 
-# Fixed values of the specification: the order in which lengths of the code-length code are stored.
+# Fixed values of the specification: the order in which lengths of the code-length code are stored, and the
+# places (to the left, above) that the first 120 distance codes mean.
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
-#: Near places by distance, then by how far to the side, left before right.
-NEAR = sorted(
-    ((dx, dy) for dy in range(8) for dx in range(-7, 9) if dy or dx > 0),
-    key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0),
-)
+NEAR = (
+    (0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0), (1, 2), (-1, 2), (2, 1), (-2, 1), (2, 2), (-2, 2),
+    (0, 3), (3, 0), (1, 3), (-1, 3), (3, 1), (-3, 1), (2, 3), (-2, 3), (3, 2), (-3, 2), (0, 4), (4, 0),
+    (1, 4), (-1, 4), (4, 1), (-4, 1), (3, 3), (-3, 3), (2, 4), (-2, 4), (4, 2), (-4, 2), (0, 5), (3, 4),
+    (-3, 4), (4, 3), (-4, 3), (5, 0), (1, 5), (-1, 5), (5, 1), (-5, 1), (2, 5), (-2, 5), (5, 2), (-5, 2),
+    (4, 4), (-4, 4), (3, 5), (-3, 5), (5, 3), (-5, 3), (0, 6), (6, 0), (1, 6), (-1, 6), (6, 1), (-6, 1),
+    (2, 6), (-2, 6), (6, 2), (-6, 2), (4, 5), (-4, 5), (5, 4), (-5, 4), (3, 6), (-3, 6), (6, 3), (-6, 3),
+    (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1), (4, 6), (-4, 6), (6, 4), (-6, 4),
+    (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5),
+    (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7),
+    (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
+)
 OPAQUE = 0xFF000000
 
 
@@ -48,6 +56,13 @@ class Bits:
 class Code:
     """Canonical prefix code. With one symbol, reading it takes no bits."""
 
+    @classmethod
+    def pair(cls, first: int, second: int) -> Code:
+        """Bit 0 is the first symbol, bit 1 the second; a bit is read even if they are equal."""
+        code = cls.__new__(cls)
+        code.bits, code.only, code.table = 1, None, [(first, 1), (second, 1)]
+        return code
+
     def __init__(self, lengths: list[int]):
         used = [s for s, n in enumerate(lengths) if n]
         self.bits, self.only = max(lengths, default=0), used[0] if len(used) == 1 else None
@@ -79,10 +94,12 @@ def _read_code(bits: Bits, symbols: int) -> Code:
     lengths = [0] * symbols
     if bits.read(1):
         two, wide = bits.read(1), bits.read(1)
-        for s in [bits.read(8 if wide else 1), *([bits.read(8)] if two else [])]:
-            if s >= symbols:
-                raise ImageError("a symbol beyond its alphabet")
-            lengths[s] = 1
+        named = [bits.read(8 if wide else 1), *([bits.read(8)] if two else [])]
+        if max(named) >= symbols:
+            raise ImageError("a symbol beyond its alphabet")
+        if two:
+            return Code.pair(*named)
+        lengths[named[0]] = 1
         return Code(lengths)
     own = [0] * 19
     for k in range(4 + bits.read(4)):
@@ -120,9 +137,10 @@ def _extended(bits: Bits, prefix: int) -> int:
 
 def _pixels(bits: Bits, width: int, height: int, top: bool) -> list[int]:
     """An entropy-coded image; the top one may choose among groups of codes by block."""
-    cache_bits = bits.read(4) if bits.read(1) else 0
-    if cache_bits > 11:
-        raise ImageError("a colour cache of over 11 bits")
+    cached = bits.read(1)
+    cache_bits = bits.read(4) if cached else 0
+    if cached and not 1 <= cache_bits <= 11:
+        raise ImageError("a colour cache of a size that isn't allowed")
     cache = [0] * (1 << cache_bits) if cache_bits else []
     groups, block, blocks, per_row = 1, 0, [0], 1
     if top and bits.read(1):
@@ -215,48 +233,79 @@ PREDICTORS = (
 )
 
 
-def unpredict(p: list[int], width: int, height: int, bits: int, modes: list[int]) -> None:
-    per_row = subsample(width, bits)
-    for at in range(width * height):
-        y, x = divmod(at, width)
-        if at == 0:
-            guess = OPAQUE
-        elif y == 0:
-            guess = p[at - 1]
-        elif x == 0:
-            guess = p[at - width]
-        else:
-            mode = modes[(y >> bits) * per_row + (x >> bits)] >> 8 & 255
-            if mode > 13:
+def _in_blocks(plane: np.ndarray, bits: int, height: int, width: int) -> np.ndarray:
+    """A value of each block to one of each pixel."""
+    return np.repeat(np.repeat(plane, 1 << bits, axis=0)[:height], 1 << bits, axis=1)[:, :width]
+
+
+def _halves(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a & b) + ((a ^ b) >> 1)
+
+
+#: Modes that need nothing of their own row: from top left, top, top right.
+BY_ROW = {2: lambda tl, t, tr: t, 3: lambda tl, t, tr: tr, 4: lambda tl, t, tr: tl, 8: lambda tl, t, tr: _halves(tl, t), 9: lambda tl, t, tr: _halves(t, tr)}
+
+
+def unpredict(p: np.ndarray, bits: int, modes: np.ndarray) -> None:
+    """In place. Row 0 adds the pixel at the left, column 0 the one above; then the block's mode rules, and modes
+    above 13 add nothing. Modes that don't need the row itself go by runs of equal blocks, mode 1 as a sum."""
+    height, width = p.shape
+    c = p.view(np.uint8).reshape(height, width, 4)
+    c[0, 0, 3] = (int(c[0, 0, 3]) + 255) & 255
+    c[0] = np.cumsum(c[0], axis=0, dtype=np.uint8)
+    by_row = (modes >> 8 & 255).astype(np.int64)
+    for y in range(1, height):
+        c[y, 0] += c[y - 1, 0]
+        of = by_row[y >> bits]
+        starts = np.flatnonzero(np.r_[True, np.diff(of) != 0])
+        for k, end in zip(starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True):
+            a, b, mode = max(1, k << bits), min(width, end << bits), int(of[k])
+            if a >= b or mode > 13:
                 continue
-            # right of the last column the next place in memory is this row's first pixel
-            guess = PREDICTORS[mode](p[at - 1], p[at - width], p[at - width + 1], p[at - width - 1])
-        p[at] = _sum(p[at], guess)
+            if mode == 0:
+                c[y, a:b, 3] += np.uint8(255)
+            elif mode == 1:
+                c[y, a:b] = np.cumsum(c[y, a - 1 : b], axis=0, dtype=np.uint8)[1:]
+            elif mode in BY_ROW:
+                # right of the last column the next place in memory is this row's first pixel
+                right = c[y - 1, a + 1 : b + 1] if b < width else np.concatenate((c[y - 1, a + 1 :], c[y, :1]))
+                c[y, a:b] += BY_ROW[mode](c[y - 1, a - 1 : b - 1], c[y - 1, a:b], right)
+            else:
+                row, above = p[y, a - 1 : b].tolist(), [*p[y - 1, a - 1 :].tolist(), int(p[y, 0])]
+                guess = PREDICTORS[mode]
+                for x in range(1, len(row)):
+                    row[x] = _sum(row[x], guess(row[x - 1], above[x], above[x + 1], above[x - 1]))
+                p[y, a:b] = row[1:]
 
 
-def uncolour(p: list[int], width: int, height: int, bits: int, blocks: list[int]) -> None:
+def uncolour(p: np.ndarray, bits: int, blocks: np.ndarray) -> np.ndarray:
     s8 = lambda v: (v & 255 ^ 128) - 128
-    per_row = subsample(width, bits)
-    for at in range(width * height):
-        y, x = divmod(at, width)
-        _, to_blue, green_to_blue, green_to_red = _parts(blocks[(y >> bits) * per_row + (x >> bits)])
-        a, r, g, b = _parts(p[at])
-        r = r + (s8(green_to_red) * s8(g) >> 5) & 255
-        b = b + (s8(green_to_blue) * s8(g) >> 5) + (s8(to_blue) * s8(r) >> 5) & 255
-        p[at] = a << 24 | r << 16 | g << 8 | b
+    t = _in_blocks(blocks.astype(np.int64), bits, *p.shape)
+    wide = p.astype(np.int64)
+    green = s8(wide >> 8)
+    red = (wide >> 16) + (s8(t) * green >> 5) & 255
+    blue = wide + (s8(t >> 8) * green >> 5) + (s8(t >> 16) * s8(red) >> 5) & 255
+    return (wide & 0xFF00FF00 | red << 16 | blue).astype(np.uint32)
+
+
+def add_green(p: np.ndarray) -> np.ndarray:
+    wide = p.astype(np.int64)
+    green = wide >> 8 & 255
+    return (wide & 0xFF00FF00 | ((wide >> 16) + green & 255) << 16 | wide + green & 255).astype(np.uint32)
 
 
-def unindex(p: list[int], width: int, height: int, palette: list[int]) -> list[int]:
+def unindex(p: np.ndarray, width: int, palette: np.ndarray) -> np.ndarray:
+    """Several pixels a byte for palettes of at most 16; an index beyond the palette is transparent."""
     n = len(palette)
     bits = 0 if n > 16 else 1 if n > 4 else 2 if n > 2 else 3
-    per_row, size = subsample(width, bits), 8 >> bits
-    out = []
-    for y in range(height):
-        for x in range(width):
-            packed = p[y * per_row + (x >> bits)] >> 8 & 255
-            k = packed >> ((x & (1 << bits) - 1) * size) & (1 << size) - 1
-            out.append(palette[k] if k < n else 0)
-    return out
+    size, x = 8 >> bits, np.arange(width)
+    index = (p >> np.uint32(8) & np.uint32(255))[:, x >> bits].astype(np.int64) >> (x & (1 << bits) - 1) * size & (1 << size) - 1
+    return np.r_[palette, np.zeros(256, np.uint32)].astype(np.uint32)[index]
+
+
+def palette_of(deltas: np.ndarray) -> np.ndarray:
+    """Each entry adds to the one before, channel by channel."""
+    return np.cumsum(deltas.astype(np.uint32).view(np.uint8).reshape(-1, 4), axis=0, dtype=np.uint8).view(np.uint32).ravel()
 
 
 def decode(payload: bytes, width: int, height: int, headless: bool = False) -> np.ndarray:
@@ -278,24 +327,21 @@ def decode(payload: bytes, width: int, height: int, headless: bool = False) -> n
         if kind in (0, 1):
             block = bits.read(3) + 2
             data = _pixels(bits, subsample(now, block), subsample(height, block), False)
-            steps.append((kind, now, block, data))
+            steps.append((kind, now, block, np.array(data, np.uint32).reshape(-1, subsample(now, block))))
         elif kind == 2:
-            steps.append((kind, now, 0, []))
+            steps.append((kind, now, 0, None))
         else:
             n = bits.read(8) + 1
-            deltas, palette = _pixels(bits, n, 1, False), []
-            for d in deltas:
-                palette.append(_sum(d, palette[-1]) if palette else d)
-            steps.append((kind, now, 0, palette))
+            steps.append((kind, now, 0, palette_of(np.array(_pixels(bits, n, 1, False), np.uint32))))
             now = subsample(now, 0 if n > 16 else 1 if n > 4 else 2 if n > 2 else 3)
-    p = _pixels(bits, now, height, True)
+    p = np.array(_pixels(bits, now, height, True), np.uint32).reshape(height, now)
     for kind, w, block, data in reversed(steps):
         if kind == 0:
-            unpredict(p, w, height, block, data)
+            unpredict(p, block, data)
         elif kind == 1:
-            uncolour(p, w, height, block, data)
+            p = uncolour(p, block, data)
         elif kind == 2:
-            p = [_sum(v, (v >> 8 & 255) * 0x00010001) for v in p]
+            p = add_green(p)
         else:
-            p = unindex(p, w, height, data)
-    return np.array(p, np.uint32).reshape(height, width)
+            p = unindex(p, w, data)
+    return p

@@ -120,7 +120,7 @@ def test_subtract_green_and_palette():
 
 def test_near_places_of_copies():
     assert len(vp8l.NEAR) == 120
-    assert vp8l.NEAR[:4] == [(0, 1), (1, 0), (1, 1), (-1, 1)] and vp8l.NEAR[-1] == (8, 7)
+    assert vp8l.NEAR[:4] == ((0, 1), (1, 0), (1, 1), (-1, 1)) and vp8l.NEAR[-1] == (8, 7)
 
 
 def test_bit_reader():
@@ -137,7 +137,7 @@ def test_animation_container_and_composition():
     image = container.parse(data + b"trailing")
     assert (image.width, image.height, image.loop_count, image.loop_duration_ms, image.lossy) == (4, 4, 5, 290, False)
     assert image.metadata == {"exif": b"abc"} and [f.blend for f in image.frames] == [True, False, True]
-    shown = compose.composed(image, [compose.decode_frame(f) for f in image.frames])
+    shown = list(compose.shown(image))
     assert (shown[0] == 0xFFFF0000).all()
     assert (shown[1][2:, 2:] == 0xFF0000FF).all() and (shown[1][:2] == 0).all()
     assert (shown[2] == shown[1]).all()
