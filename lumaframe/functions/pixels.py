@@ -167,7 +167,8 @@ def div255(x) -> Column:
 
 
 def blend(src, dst) -> Column:
-    """F8; src over dst, neither premultiplied, rounded down after the common scale."""
+    """F8; src over dst, neither premultiplied, rounded down after the common scale. Catalyst computes the
+    parts that the channels share once."""
     sa, da = alpha(src), alpha(dst)
     kept = div255(da * (255 - sa))
     both = sa + kept
@@ -181,10 +182,25 @@ def rgb_to_y(r, g, b) -> Column:
     return byte(F.shiftright(16839 * _c(r) + 33059 * _c(g) + 6420 * _c(b) + ((16 << 16) + (1 << 15)), 16))
 
 
-def rgb_to_u_raw(r, g, b) -> Column:
-    """P20; four of them, added and shifted by 18, give U."""
-    return -9719 * _c(r) - 19081 * _c(g) + 28800 * _c(b) + (128 << 16)
+def rgb_to_u(r, g, b) -> Column:
+    """P20, chroma of a square of four pixels; r, g, b are sums over the square."""
+    return byte(F.shiftright(-9719 * _c(r) - 19081 * _c(g) + 28800 * _c(b) + (128 << 18), 18))
 
 
-def rgb_to_v_raw(r, g, b) -> Column:
-    return 28800 * _c(r) - 24116 * _c(g) - 4684 * _c(b) + (128 << 16)
+def rgb_to_v(r, g, b) -> Column:
+    return byte(F.shiftright(28800 * _c(r) - 24116 * _c(g) - 4684 * _c(b) + (128 << 18), 18))
+
+
+def byte_of_signed(x) -> Column:
+    """P21; a signed number, clamped, as an unsigned byte."""
+    return clamp_signed(x) + 128
+
+
+def signed_of_byte(x) -> Column:
+    """P21; an unsigned byte around 128 as a signed number."""
+    return byte(x) - 128
+
+
+def difference(a, b) -> Column:
+    """P21; of two bytes, without its sign."""
+    return F.abs(byte(a) - byte(b))

@@ -1,8 +1,8 @@
-"""Roll-ups and the playback timeline of animations."""
+"""Roll-ups, the playback timeline and the status line of animations."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,8 +14,31 @@ def rollup(frames: DataFrame) -> DataFrame:
     )
 
 
+def _shown() -> Column:
+    return F.greatest(F.lit(1), F.col("duration_ms"))
+
+
 def playback(frames: DataFrame) -> DataFrame:
     """A frame starts when those before it have been shown, each for at least 1 ms."""
-    shown = F.greatest(F.lit(1), F.col("duration_ms"))
     before = Window.partitionBy("image_id").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, -1)
-    return frames.select("image_id", "frame_no", F.coalesce(F.sum(shown).over(before), F.lit(0)).cast("long").alias("start_ms"))
+    return frames.select("image_id", "frame_no", F.coalesce(F.sum(_shown()).over(before), F.lit(0)).cast("long").alias("start_ms"))
+
+
+def keyframes(frames: DataFrame, loop_count: Column | None = None) -> DataFrame:
+    """G3 in full: playback and, for each image, a row without a frame number at the end of the loop; cycles is
+    the loop count, null for ever (0)."""
+    loops = F.lit(1) if loop_count is None else loop_count
+    cycles = F.when(loops > 0, loops).cast("long").alias("cycles")
+    ends = frames.groupBy("image_id").agg(F.sum(_shown()).cast("long").alias("start_ms"))
+    rows = playback(frames).union(ends.select("image_id", F.lit(None).cast("long").alias("frame_no"), "start_ms"))
+    return rows.select("image_id", "frame_no", "start_ms", cycles)
+
+
+def status(name: Column, load_ms: Column) -> Column:
+    """One line about an image row: name, size, frames or still, alpha, coding, time to load."""
+    size = F.concat(F.col("source_width"), F.lit("x"), F.col("source_height"))
+    loop = F.when(F.col("loop_count") == 0, F.lit("forever")).otherwise(F.col("loop_count").cast("string"))
+    moving = F.concat(F.lit("frames="), F.col("frame_count"), F.lit(" | loop="), loop, F.lit(" | duration="), F.col("loop_duration_ms"), F.lit("ms"))
+    coding = F.when(F.col("lossy"), F.lit("lossy")).otherwise(F.lit("lossless"))
+    parts = [name, size, F.when(F.col("animated"), moving).otherwise(F.lit("still")), F.when(F.col("has_alpha"), F.lit("alpha")), coding, F.concat(F.lit("load="), load_ms, F.lit("ms"))]
+    return F.concat_ws(" | ", *parts)

@@ -1,43 +1,43 @@
-"""Predictors that are prefix sums (F4, F5, L4, L17, L18, L20) as windows, one image a partition."""
+"""Predictors undone on arrays (F3-F6, L15-L29), one image a row, by the arithmetic that decodes files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
-KEY = "vec_id"
+from lumaframe.kernels import compose, vp8l
 
 
-def _sum(value: str, by: list[str], order: str):
-    w = Window.partitionBy(KEY, *by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return F.sum(value).over(w)
+@F.arrow_udf(ArrayType(LongType()))
+def _alpha(values: pa.Array, width: pa.Array, kind: pa.Array) -> pa.Array:
+    out = []
+    for v, w, k in zip(values, width.to_pylist(), kind.to_pylist(), strict=True):
+        d = v.values.to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, w)
+        out.append(compose.unfilter(d, k).ravel().astype(np.int64))
+    return pa.array(out, pa.list_(pa.int64()))
 
 
-def horizontal(tiles: DataFrame) -> DataFrame:
-    """Left neighbour, in column 0 the one above; sums modulo 256."""
-    first = F.when(F.col("x") == 0, F.col("l")).otherwise(F.lit(0))
-    rows = tiles.withColumn("edge", first).withColumn("row", _sum("l", ["y"], "x"))
-    # the sum down column 0 up to this row, without this row's own first value, which row holds
-    rows = rows.withColumn("column", F.sum("edge").over(Window.partitionBy(KEY).orderBy("y").rangeBetween(Window.unboundedPreceding, -1)))
-    return rows.select(KEY, "x", "y", ((F.col("row") + F.coalesce("column", F.lit(0))) % 256).cast("long").alias("value"))
+@F.arrow_udf(ArrayType(LongType()))
+def _predicted(values: pa.Array, width: pa.Array, mode: pa.Array) -> pa.Array:
+    out = []
+    for v, w, m in zip(values, width.to_pylist(), mode.to_pylist(), strict=True):
+        p = (v.values.to_numpy(zero_copy_only=False) & 0xFFFFFFFF).astype(np.uint32).reshape(-1, w)
+        blocks = np.full((vp8l.subsample(len(p), 9), vp8l.subsample(w, 9)), m << 8, np.uint32)
+        vp8l.unpredict(p, 9, blocks)
+        out.append(p.ravel().astype(np.int64))
+    return pa.array(out, pa.list_(pa.int64()))
 
 
-def vertical(tiles: DataFrame) -> DataFrame:
-    """Neighbour above, in row 0 the one to the left."""
-    turned = tiles.select(KEY, F.col("y").alias("x"), F.col("x").alias("y"), "l")
-    return horizontal(turned).select(KEY, F.col("y").alias("x"), F.col("x").alias("y"), "value")
+def alpha(values, width, kind) -> Column:
+    """A filtered alpha plane (array of bytes) as it was; kind: 0 none, 1 horizontal, 2 vertical, 3 gradient."""
+    w, k = (F.lit(x) if isinstance(x, int) else x for x in (width, kind))
+    return _alpha(F.transform(values, lambda v: v.cast("long")), w, k)
 
 
-def diagonal(tiles: DataFrame) -> DataFrame:
-    """Neighbour above to the left; along the borders the one to the left or above."""
-    border = horizontal(tiles).where("y = 0").union(vertical(tiles).where("x = 0 and y > 0"))
-    start = border.select(KEY, (F.col("x") - F.col("y")).alias("d"), F.col("value").alias("base"))
-    inner = tiles.withColumn("d", F.col("x") - F.col("y"))
-    inner = inner.withColumn("own", F.when((F.col("x") > 0) & (F.col("y") > 0), F.col("l")).otherwise(F.lit(0)))
-    inner = inner.withColumn("sum", _sum("own", ["d"], "y"))
-    return inner.join(start, [KEY, "d"]).select(KEY, "x", "y", ((F.col("sum") + F.col("base")) % 256).cast("long").alias("value"))
-
-
-def gradient_step(left, top, corner):
-    """F6, one step: the clamp keeps it from being a prefix sum."""
-    return F.least(F.greatest(left + top - corner, F.lit(0)), F.lit(255))
+def predicted(values, width, mode) -> Column:
+    """Pixels (array of BIGINT) of a picture that is all predicted by one mode, 0 to 13."""
+    w, m = (F.lit(x) if isinstance(x, int) else x for x in (width, mode))
+    return _predicted(values, w, m)

@@ -1,9 +1,14 @@
-"""Target sizes and resampling (Z1-Z4). Targets are joined to their source pixels by computed coordinates."""
+"""Target sizes and resampling (Z1-Z4) of arrays of pixels, one image a row: nothing is shuffled."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
+
+from lumaframe.kernels import compose
 
 
 def _dimension(v: Column) -> Column:
@@ -12,46 +17,45 @@ def _dimension(v: Column) -> Column:
 
 def target_size(width, height, want_width, want_height, preserve_ratio: bool) -> tuple[Column, Column]:
     """Z1; a wanted size of 0 or less is unset."""
-    w, h = F.col(width).cast("double"), F.col(height).cast("double")
-    tw, th = F.col(want_width).cast("double"), F.col(want_height).cast("double")
+    own = [F.col(c) if isinstance(c, str) else c for c in (width, height, want_width, want_height)]
+    w, h, tw, th = (c.cast("double") for c in own)
     by_w, by_h = tw / w, th / h
     if not preserve_ratio:
-        return F.when(tw > 0, _dimension(tw)).otherwise(F.col(width)), F.when(th > 0, _dimension(th)).otherwise(F.col(height))
+        return F.when(tw > 0, _dimension(tw)).otherwise(own[0]), F.when(th > 0, _dimension(th)).otherwise(own[1])
     both = F.least(by_w, by_h)
     size = lambda own, wanted, ratio, side: (
         F.when((tw > 0) & (th > 0), _dimension(own * both)).when(wanted, _dimension(side)).when(ratio > 0, _dimension(own * ratio))
     )
     return (
-        size(w, tw > 0, by_h, tw).otherwise(F.col(width)),
-        size(h, (th > 0) & ~(tw > 0), by_w, th).otherwise(F.col(height)),
+        size(w, tw > 0, by_h, tw).otherwise(own[0]),
+        size(h, (th > 0) & ~(tw > 0), by_w, th).otherwise(own[1]),
     )
 
 
-def _grid(images: DataFrame, width: int, height: int) -> DataFrame:
-    cells = F.expr(f"explode(sequence(0, {width * height - 1}))").alias("cell")
-    return images.select("vec_id", cells).select("vec_id", (F.col("cell") % width).cast("long").alias("tx"), F.floor(F.col("cell") / width).alias("ty"))
-
-
-def nearest(tiles: DataFrame, size: int, target: int) -> DataFrame:
-    """Z3 for square tiles: (vec_id, tx, ty, l)."""
-    grid = _grid(tiles.select("vec_id").distinct(), target, target)
-    at = lambda t: F.least(F.lit(size - 1), F.floor(F.col(t) * size / target))
-    grid = grid.withColumn("x", at("tx")).withColumn("y", at("ty"))
-    return grid.join(tiles.select("vec_id", "x", "y", "l"), ["vec_id", "x", "y"]).select("vec_id", "tx", "ty", "l")
-
-
-def bilinear(tiles: DataFrame, size: int, target: int) -> DataFrame:
-    """Z4 for square tiles, corner to corner, in single precision: (vec_id, tx, ty, l)."""
-    step = f"cast({size - 1} as float) / cast({target - 1} as float)" if target > 1 else "cast(0 as float)"
-    grid = _grid(tiles.select("vec_id").distinct(), target, target)
-    for a in "xy":
-        grid = grid.withColumn(f"s{a}", F.expr(f"cast(cast(t{a} as float) * cast({step} as float) as float)"))
-        grid = grid.withColumn(f"{a}0", F.least(F.lit(size - 1), F.floor(f"s{a}"))).withColumn(f"{a}1", F.least(F.lit(size - 1), F.col(f"{a}0") + 1))
-        grid = grid.withColumn(f"f{a}", F.expr(f"cast(s{a} - cast({a}0 as float) as float)"))
-    for i in "01":
-        for j in "01":
-            corner = tiles.select("vec_id", F.col("x").alias(f"x{i}"), F.col("y").alias(f"y{j}"), F.col("l").cast("float").alias(f"c{i}{j}"))
-            grid = grid.join(corner, ["vec_id", f"x{i}", f"y{j}"])
-    lerp = lambda a, b, t: f"cast({a} + cast(cast({b} - {a} as float) * {t} as float) as float)"
-    value = lerp(lerp("c00", "c10", "fx"), lerp("c01", "c11", "fx"), "fy")
-    return grid.select("vec_id", "tx", "ty", F.expr(f"cast(floor(cast({value} as double) + 0.5) as bigint)").alias("l"))
+def nearest(values, width, height, target_width, target_height) -> Column:
+    """Z3 on an array of rows of any size, in place of a join: no pixel leaves its row."""
+    w, h, tw, th = (F.col(c) if isinstance(c, str) else F.lit(c) for c in (width, height, target_width, target_height))
+    at = lambda t, own, target: F.least(own - 1, F.floor(t * own / target).cast("int"))
+    x, y = (lambda i: at(i % tw, w, tw)), (lambda i: at(F.floor(i / tw), h, th))
+    return F.transform(F.sequence(F.lit(0), tw * th - 1), lambda i: F.get(values, y(i) * w + x(i)))
+
+
+def bilinear(values, width, height, target_width, target_height) -> Column:
+    """Z4 on an array of pixels: corner to corner, in single precision, each channel by itself."""
+    sizes = [F.col(c) if isinstance(c, str) else F.lit(c) for c in (width, height, target_width, target_height)]
+    return _bilinear(F.transform(values, lambda p: p.cast("long")), *sizes)
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def _bilinear(values: pa.Array, width: pa.Array, height: pa.Array, target_width: pa.Array, target_height: pa.Array) -> pa.Array:
+    out = []
+    for v, w, h, tw, th in zip(values, *(c.to_pylist() for c in (width, height, target_width, target_height)), strict=True):
+        p = (v.values.to_numpy(zero_copy_only=False) & 0xFFFFFFFF).astype(np.uint32).reshape(h, w)
+        out.append(compose.bilinear(p, tw, th).ravel().astype(np.int64))
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def by_place(rows: DataFrame, key: str, values: str, width: int) -> DataFrame:
+    """(key, x, y, value): an array of rows of `width` values, one value a row."""
+    one = rows.select(key, F.posexplode(values).alias("at", "value"))
+    return one.select(key, (F.col("at") % width).cast("long").alias("x"), F.floor(F.col("at") / width).alias("y"), "value")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,22 @@ TIMELINE = """timeline AS (SELECT user_id AS image_id, event_id AS frame_no, CAS
   event_id % 3 = 0 AS lossless, event_id % 7 = 0 AS has_alpha FROM events)"""
 
 
-def head_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, content): the texts' bytes, as if they were files."""
-    return _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+def pictures(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(vec_id, argb): each vector as an 8 x 8 picture, an array of pixels in BIGINT; and more columns."""
+    levels = F.transform("embedding", lambda v: F.least(F.greatest(F.floor((v.cast("double") + 0.5) * 255), F.lit(0)), F.lit(255)).cast("long"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", *more, levels.alias("l"))
+    return rows.select("vec_id", *more, F.transform("l", lambda l, i: px.pack(l * 3 + i, l, l + i * 17, l * 7 + F.col("vec_id"))).alias("argb"))
+
+
+PICTURES = TILES + """, pictures AS (SELECT vec_id, x, y, l, ((l * 3 + y * 8 + x) % 256) * 16777216 + l * 65536
+  + ((l + (y * 8 + x) * 17) % 256) * 256 + (l * 7 + vec_id) % 256 AS p FROM tiles)"""
+
+
+def encoded(rows: DataFrame, write) -> DataFrame:
+    """(image_id, content): pictures (vec_id, argb) as files, by write(vec_id, pixels)."""
+
+    @F.arrow_udf("binary")
+    def of(ids: pa.Array, argb: pa.Array) -> pa.Array:
+        return pa.array([write(i, p) for i, p in zip(ids.to_pylist(), argb.to_pylist(), strict=True)], pa.binary())
+
+    return rows.select(F.col("vec_id").cast("string").alias("image_id"), of("vec_id", "argb").alias("content"))

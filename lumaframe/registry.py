@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaframe.functions import pixels as px
 from lumaframe.operators import animation, prediction, scaling
-from lumaframe.plans import carriers
+from lumaframe.plans import carriers, image_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -91,16 +91,25 @@ def _pixel_queries() -> None:
 
 
 def _raster_queries() -> None:
-    tiles = carriers.tiles
+
+    def planes(spark: SparkSession, sf: str) -> DataFrame:
+        rows = carriers.pictures(spark, sf, "label")
+        return rows.select("vec_id", "label", F.transform("argb", px.red).alias("l"))
+
+    def by_place(rows: DataFrame, values: Column, width: int, name: str, *keys: str) -> DataFrame:
+        one = rows.select(*(keys or ["vec_id"]), F.posexplode(values).alias("at", name))
+        return one.select(*(keys or ["vec_id"]), (F.col("at") % width).cast("long").alias("tx"), F.floor(F.col("at") / width).alias("ty"), F.col(name).cast("long").alias(name))
+
     near = "SELECT g.vec_id, tx, ty, l FROM (SELECT vec_id, c % 5 AS tx, c // 5 AS ty FROM (SELECT vec_id, unnest(range(25)) AS c FROM (SELECT DISTINCT vec_id FROM tiles))) g JOIN tiles t ON t.vec_id = g.vec_id AND t.x = least(7, (tx * 8) // 5) AND t.y = least(7, (ty * 8) // 5)"
-    _add("z03_scale_nearest", lambda s, d: scaling.nearest(tiles(s, d), 8, 5), f"WITH {carriers.TILES} {near}")
+    shrunk = lambda s, d: by_place(planes(s, d), scaling.nearest("l", 8, 8, 5, 5), 5, "l")
+    _add("z03_scale_nearest", shrunk, f"WITH {carriers.TILES} {near}")
     _add("z03_scale_nearest_by_label",
-         lambda s, d: scaling.nearest(tiles(s, d), 8, 5).join(s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "label"), "vec_id").groupBy("label").agg(F.sum("l").alias("sum_l"), F.count("*").alias("n")),
+         lambda s, d: by_place(planes(s, d), scaling.nearest("l", 8, 8, 5, 5), 5, "l", "label").groupBy("label").agg(F.sum("l").alias("sum_l"), F.count("*").alias("n")),
          f"WITH {carriers.TILES} SELECT label, CAST(sum(l) AS BIGINT) AS sum_l, count(*) AS n FROM ({near}) JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) GROUP BY label")
     at = lambda a: f"least(7, floor(s{a}))"
     lerp = lambda a, b, t: f"({a} + ({b} - {a}) * {t})"
     value = lerp(lerp("a.l::FLOAT", "b.l::FLOAT", "fx"), lerp("c.l::FLOAT", "e.l::FLOAT", "fx"), "fy")
-    _add("z04_scale_bilinear", lambda s, d: scaling.bilinear(tiles(s, d), 8, 13),
+    _add("z04_scale_bilinear", lambda s, d: by_place(planes(s, d), scaling.bilinear("l", 8, 8, 13, 13), 13, "l"),
          f"""WITH {carriers.TILES},
          g AS (SELECT vec_id, tx, ty, CAST({at('x')} AS BIGINT) AS x0, CAST({at('y')} AS BIGINT) AS y0, CAST(sx - {at('x')} AS FLOAT) AS fx, CAST(sy - {at('y')} AS FLOAT) AS fy
                FROM (SELECT vec_id, c % 13 AS tx, c // 13 AS ty, (c % 13)::FLOAT * (7::FLOAT / 12::FLOAT) AS sx, (c // 13)::FLOAT * (7::FLOAT / 12::FLOAT) AS sy
@@ -128,8 +137,13 @@ def _raster_queries() -> None:
     vertical = "SELECT a.vec_id, a.x, a.y, CAST((sum(b.l)) % 256 AS BIGINT) AS value FROM tiles a JOIN tiles b ON a.vec_id = b.vec_id AND ((b.x = a.x AND b.y <= a.y) OR (b.y = 0 AND b.x < a.x)) GROUP BY ALL"
     diagonal = """SELECT a.vec_id, a.x, a.y, CAST(sum(b.l) % 256 AS BIGINT) AS value FROM tiles a JOIN tiles b ON a.vec_id = b.vec_id AND (
         (b.x - b.y = a.x - a.y AND b.x <= a.x) OR (a.x >= a.y AND b.y = 0 AND b.x < a.x - a.y) OR (a.x < a.y AND b.x = 0 AND b.y < a.y - a.x)) GROUP BY ALL"""
-    for name, f, sql in (("f04_l17_horizontal", prediction.horizontal, horizontal), ("f05_l18_vertical", prediction.vertical, vertical), ("l20_diagonal", prediction.diagonal, diagonal)):
-        _add(name, lambda s, d, f=f: f(tiles(s, d)), f"WITH {carriers.TILES} {sql}")
+    undone = {
+        "f04_l17_horizontal": (lambda: prediction.alpha("l", 8, 1), horizontal), "f05_l18_vertical": (lambda: prediction.alpha("l", 8, 2), vertical),
+        # as the green of pixels
+        "l20_diagonal": (lambda: F.transform(prediction.predicted(F.transform("l", lambda v: v * 256), 8, 4), px.green), diagonal),
+    }
+    for name, (values, sql) in undone.items():
+        _add(name, lambda s, d, v=values: by_place(planes(s, d), v(), 8, "value").withColumnsRenamed({"tx": "x", "ty": "y"}), f"WITH {carriers.TILES} {sql}")
     _add("c12_c13_rollup", lambda s, d: animation.rollup(carriers.timeline(s, d)),
          f"WITH {carriers.TIMELINE} SELECT image_id, count(*) AS frame_count, bool_or(NOT lossless OR has_alpha) AS lossy, CAST(CASE WHEN count(*) > 1 THEN sum(duration_ms) ELSE 0 END AS BIGINT) AS loop_duration_ms FROM timeline GROUP BY image_id")
     _add("g03_timeline", lambda s, d: animation.playback(carriers.timeline(s, d)),
@@ -141,8 +155,8 @@ _raster_queries()
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | image_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _sql | image_queries.SQL

@@ -1,4 +1,8 @@
-"""Read image files: headers and metadata, encoded frames, and frames as shown.
+"""Read image files as relations: chunks, images (headers and metadata), encoded frames, frames as shown, pixels.
+
+A small helper a row parses a container or decodes one frame; the rest is DataFrame work. Frames of one
+animation are decoded side by side, composed by strips of the canvas, each strip in the order of its frames,
+and scaled one by one. Batches that go to Python hold at most spark.sql.execution.arrow.maxBytesPerBatch.
 
 mode: PERMISSIVE keeps a malformed file as a row with _corrupt, DROPMALFORMED leaves it out, FAILFAST raises.
 """
@@ -6,18 +10,27 @@ mode: PERMISSIVE keeps a malformed file as a row with _corrupt, DROPMALFORMED le
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import asdict
+from types import SimpleNamespace
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumaframe.functions import pixels as px
 from lumaframe.kernels import compose, container, vp8
+from lumaframe.operators import scaling
 
+#: Chunk types that are known; any other is UNKNOWN.
+CHUNK_TYPES = ("ALPH", "ANIM", "ANMF", "EXIF", "FRGM", "ICCP", "RIFF", "VP8 ", "VP8L", "VP8X", "XMP ")
 HEADER = (
-    "image_id string, source_width int, source_height int, has_alpha boolean, animated boolean, lossy boolean, loop_count int, "
-    "loop_duration_ms bigint, frame_count int, background_hint binary, metadata struct<icc:binary, exif:binary, xmp:binary>, _corrupt string"
+    "source_width int, source_height int, has_alpha boolean, animated boolean, lossy boolean, loop_count int, loop_duration_ms bigint, "
+    "frame_count int, background_hint binary, metadata struct<icc:binary, exif:binary, xmp:binary>"
 )
-SHOWN = "image_id string, frame_no int, width int, height int, duration_ms int, argb array<int>, _corrupt string"
+ENCODED = "x int, y int, width int, height int, duration_ms int, blend boolean, dispose boolean, lossless boolean, alpha binary, payload binary"
+#: Pixels of all frames of a strip that is composed in one task.
+STRIP_PIXELS = 1 << 22
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -45,48 +58,259 @@ def _checked(mode: str, out: DataFrame) -> DataFrame:
     return out
 
 
-def headers(raw: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.itertuples(index=False):
-                try:
-                    i = container.parse(bytes(r.content or b""))
-                    meta = {k: i.metadata.get(k) for k in ("icc", "exif", "xmp")}
-                    rows.append((r.image_id, i.width, i.height, i.has_alpha, i.animated, i.lossy, i.loop_count, i.loop_duration_ms, len(i.frames), i.background, meta, None))
-                except ValueError as e:
-                    rows.append((r.image_id, *[None] * 10, str(e)))
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in HEADER.split(", ") if not x.startswith(("exif", "xmp"))])
-
-    return _checked(mode, raw.select("image_id", "content").mapInPandas(run, HEADER))
-
-
-def frames(raw: DataFrame, width: float = 0, height: float = 0, preserve_ratio: bool = False, smooth: bool = True, mode: str = "PERMISSIVE", lossy: vp8.Tables | None = None) -> DataFrame:
-    """Frames as shown, scaled to the wanted size (0: unset). One image's frames are composed in order.
-
-    lossy: the probabilities that lossy payloads need, see lossy_tables; without them such images are _corrupt."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for r in part.itertuples(index=False):
-                rows = []
-                try:
-                    i = container.parse(bytes(r.content or b""))
-                    w, h = target_size(i.width, i.height, width, height, preserve_ratio)
-                    for k, p in enumerate(compose.composed(i, [compose.decode_frame(f, lossy) for f in i.frames])):
-                        if p.shape != (h, w):
-                            p = (compose.bilinear if smooth else compose.nearest)(p, w, h)
-                        rows.append((r.image_id, k, w, h, i.frames[k].duration_ms, p.ravel().view("int32").tolist(), None))
-                except ValueError as e:
-                    rows = [(r.image_id, None, None, None, None, None, str(e))]
-                yield pd.DataFrame(rows, columns=["image_id", "frame_no", "width", "height", "duration_ms", "argb", "_corrupt"])
-
-    return _checked(mode, raw.select("image_id", "content").mapInPandas(run, SHOWN))
-
-
-def target_size(w: int, h: int, want_w: float, want_h: float, preserve_ratio: bool) -> tuple[int, int]:
-    size = lambda v: max(1, int(v + 0.5))
-    if preserve_ratio and (want_w > 0 or want_h > 0):
-        ratio = min(x for x in (want_w / w if want_w > 0 else None, want_h / h if want_h > 0 else None) if x is not None)
-        return size(w * ratio), size(h * ratio)
-    return size(want_w) if want_w > 0 else w, size(want_h) if want_h > 0 else h
+def little_endian(content: Column, at, size: int, signed: bool = False) -> Column:
+    """`size` bytes of a binary from place `at` (0: the first), as a number; null beyond its end. Eight
+    bytes are signed."""
+    part = F.substring(content, F.lit(at) + 1 if isinstance(at, int) else at + 1, F.lit(size))
+    bytes_ = [F.conv(F.hex(F.substring(part, F.lit(k + 1), F.lit(1))), 16, 10).cast("long") for k in range(size)]
+    value = bytes_[-1]
+    if signed or size == 8:
+        value = F.when(value > 127, value - 256).otherwise(value)
+    for b in reversed(bytes_[:-1]):
+        value = value * 256 + b
+    return F.when(F.octet_length(part) == size, value)
+
+
+def fourcc(content: Column, at: int) -> Column:
+    """Four bytes as text; its order is that of the code."""
+    return F.decode(F.substring(content, at + 1, 4), "ISO-8859-1")
+
+
+def chunk_type(code: Column) -> Column:
+    """The known type, or UNKNOWN."""
+    return F.when(code.isin(*CHUNK_TYPES), F.rtrim(code)).otherwise(F.lit("UNKNOWN"))
+
+
+def chunk_code(kind: Column) -> Column:
+    """The code of a known type; an error for any other."""
+    code = F.rpad(kind, 4, " ")
+    return F.when(code.isin(*CHUNK_TYPES), code).otherwise(F.raise_error(F.concat(F.lit("no code: "), kind)).cast("string"))
+
+
+def chunks(raw: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """(image_id, seq, fourcc, type, size, payload, _corrupt) of each top-level chunk, as far as the walk comes."""
+
+    @F.arrow_udf("array<struct<fourcc:string, at:int, size:int, error:string>>")
+    def walk(contents: pa.Array) -> pa.Array:
+        out = []
+        for data in contents.to_pylist():
+            found, at = [], 12
+            try:
+                for code, payload in container.chunks(data or b"", 12, container.riff_end(data or b"")):
+                    found.append({"fourcc": code, "at": at + 8, "size": len(payload), "error": None})
+                    at += 8 + len(payload) + (len(payload) & 1)
+            except ValueError as e:
+                found.append({"fourcc": None, "at": None, "size": None, "error": str(e)})
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct({"fourcc": pa.string(), "at": pa.int32(), "size": pa.int32(), "error": pa.string()})))
+
+    rows = raw.select("image_id", "content", F.posexplode(walk("content")).alias("seq", "c"))
+    payload = F.substring("content", F.col("c.at") + 1, F.col("c.size"))
+    kind = F.when(F.col("c.error").isNull(), chunk_type(F.col("c.fourcc")))
+    return _checked(mode, rows.select("image_id", "seq", "c.fourcc", kind.alias("type"), F.col("c.size").cast("long").alias("size"), payload.alias("payload"), F.col("c.error").alias("_corrupt")))
+
+
+def _parsed(with_frames: bool, most_pixels: int):
+    """A struct of the header and, if wanted, the encoded frames; or the error."""
+    blob = pa.struct({k: pa.binary() for k in ("icc", "exif", "xmp")})
+    head = pa.struct({
+        "source_width": pa.int32(), "source_height": pa.int32(), "has_alpha": pa.bool_(), "animated": pa.bool_(), "lossy": pa.bool_(), "loop_count": pa.int32(),
+        "loop_duration_ms": pa.int64(), "frame_count": pa.int32(), "background_hint": pa.binary(), "metadata": blob,
+    })
+    frame = pa.struct({
+        "x": pa.int32(), "y": pa.int32(), "width": pa.int32(), "height": pa.int32(), "duration_ms": pa.int32(), "blend": pa.bool_(), "dispose": pa.bool_(),
+        "lossless": pa.bool_(), "alpha": pa.binary(), "payload": pa.binary(),
+    })
+    kind = pa.struct({"head": head, "frames": pa.list_(frame), "_corrupt": pa.string()})
+
+    @F.arrow_udf(f"struct<head:struct<{HEADER}>, frames:array<struct<{ENCODED}>>, _corrupt:string>")
+    def parse(contents: pa.Array) -> pa.Array:
+        out = []
+        for data in contents.to_pylist():
+            try:
+                i = container.parse(data or b"", most_pixels)
+                meta = {k: i.metadata.get(k) for k in ("icc", "exif", "xmp")}
+                known = {
+                    "source_width": i.width, "source_height": i.height, "has_alpha": i.has_alpha, "animated": i.animated, "lossy": i.lossy, "loop_count": i.loop_count,
+                    "loop_duration_ms": i.loop_duration_ms, "frame_count": len(i.frames), "background_hint": i.background, "metadata": meta,
+                }
+                out.append({"head": known, "frames": [asdict(f) for f in i.frames] if with_frames else [], "_corrupt": None})
+            except ValueError as e:
+                out.append({"head": None, "frames": None, "_corrupt": str(e)})
+        return pa.array(out, kind)
+
+    return parse
+
+
+def images(raw: DataFrame, mode: str = "PERMISSIVE", most_pixels: int = container.MOST_PIXELS) -> DataFrame:
+    """One row a file: image_id, the header's fields and _corrupt."""
+    rows = raw.select("image_id", _parsed(False, most_pixels)("content").alias("p"))
+    return _checked(mode, rows.select("image_id", "p.head.*", "p._corrupt"))
+
+
+headers = images
+
+
+def frames_encoded(raw: DataFrame, mode: str = "PERMISSIVE", most_pixels: int = container.MOST_PIXELS) -> DataFrame:
+    """One row a frame as it is stored, with its image's canvas and whether that is animated; a malformed file
+    is one row with _corrupt."""
+    rows = raw.select("image_id", _parsed(True, most_pixels)("content").alias("p"))
+    rows = rows.select("image_id", "p.head", "p._corrupt", F.posexplode_outer("p.frames").alias("frame_no", "f"))
+    return _checked(mode, rows.select("image_id", "frame_no", "head.source_width", "head.source_height", "head.animated", "head.frame_count", "f.*", "_corrupt"))
+
+
+PLACED = "image_id string, frame_no int, source_width int, source_height int, animated boolean, frame_count int, x int, y int, width int, height int, duration_ms int, blend boolean, dispose boolean, argb array<int>, _corrupt string"
+
+
+def _int_lists(arrays: list[np.ndarray | None]) -> pa.Array:
+    """Lists of 32-bit numbers without a Python object a pixel; None is null."""
+    ends = np.cumsum([0, *(0 if a is None else a.size for a in arrays)]).astype(np.int32)
+    values = np.concatenate([a.ravel().view(np.int32) for a in arrays if a is not None] or [np.zeros(0, np.int32)])
+    null = pa.array([a is None for a in arrays] + [False])
+    return pa.ListArray.from_arrays(pa.array(ends, mask=np.array(null.to_numpy(zero_copy_only=False), bool)), pa.array(values))
+
+
+def decode(encoded: DataFrame, lossy: vp8.Tables | None = None) -> DataFrame:
+    """Encoded frames with their pixels (argb, at the frame's own size) instead of payload and alpha; a frame
+    that can't be decoded has _corrupt."""
+    names = [x.split()[0] for x in PLACED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                r = {n: row.column(n)[0].as_py() for n in ("width", "height", "lossless", "alpha", "payload", "_corrupt")}
+                picture, error = None, r["_corrupt"]
+                if error is None:
+                    try:
+                        f = container.Frame(0, 0, r["width"], r["height"], 0, False, False, r["lossless"], r["alpha"], r["payload"])
+                        picture = compose.decode_frame(f, lossy)
+                    except (ValueError, IndexError, MemoryError) as e:
+                        error = str(e) or type(e).__name__
+                own = {"argb": _int_lists([picture]), "_corrupt": pa.array([error], pa.string())}
+                yield pa.RecordBatch.from_arrays([own.get(n, row.column(n) if n in row.schema.names else None) for n in names], names)
+
+    spread = encoded.repartition("image_id", "frame_no")
+    return spread.mapInArrow(run, PLACED)
+
+
+def _fold(group: pa.Table) -> pa.Table:
+    """The frames' rows of one strip of a canvas to the strip as shown after each frame, up to a corrupt one."""
+    first = group.column("strip")[0].as_py() * group.column("rows")[0].as_py()
+    width, height, rows = (group.column(c)[0].as_py() for c in ("source_width", "source_height", "rows"))
+    canvas = np.zeros((min(rows, height - first), width), np.uint32)
+    before, numbers, strips, errors = None, [], [], []
+    for i in np.argsort(group.column("frame_no").to_numpy(), kind="stable").tolist():
+        f = SimpleNamespace(**{c: group.column(c)[i].as_py() for c in ("x", "y", "width", "height", "blend", "dispose", "frame_no", "_corrupt")})
+        numbers.append(f.frame_no)
+        errors.append(f._corrupt)
+        if f._corrupt is not None:
+            strips.append(None)
+            break
+        part = group.column("part").combine_chunks().slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)
+        canvas = compose.paint(canvas, (width, height), first, f, before, part.reshape(-1, f.width))
+        before = f
+        strips.append(canvas.copy())
+    n = len(numbers)
+    keep = [group.column(c).slice(0, 1).combine_chunks().take(pa.array([0] * n)) for c in ("image_id", "strip", "source_width", "source_height")]
+    keep += [pa.array(numbers, pa.int32()), _int_lists(strips), pa.array(errors, pa.string())]
+    return pa.Table.from_arrays(keep, ["image_id", "strip", "source_width", "source_height", "frame_no", "argb", "_corrupt"])
+
+
+def compose_frames(placed: DataFrame, strip_pixels: int = STRIP_PIXELS) -> DataFrame:
+    """(image_id, frame_no, source_width, source_height, argb, _corrupt): decoded frames of animations as shown.
+
+    A canvas is cut into strips of rows, so that a strip has at most about strip_pixels in all its frames, and
+    a strip is composed in one task. A frame that is corrupt is the last of its image."""
+    rows = F.least(F.col("source_height"), F.greatest(F.lit(1), F.floor(F.lit(strip_pixels) / (F.col("source_width") * F.col("frame_count"))).cast("int")))
+    cut = placed.withColumn("rows", rows).withColumn("strip", F.explode(F.expr("sequence(0, cast(ceil(source_height / rows) as int) - 1)")))
+    top, bottom = F.greatest("y", F.col("strip") * F.col("rows")), F.least(F.col("y") + F.col("height"), (F.col("strip") + 1) * F.col("rows"))
+    part = F.when(bottom > top, F.slice("argb", (top - F.col("y")) * F.col("width") + 1, F.greatest(bottom - top, F.lit(0)) * F.col("width")))
+    part = F.coalesce(part, F.expr("cast(array() as array<int>)"))
+    cut = cut.select("image_id", "frame_no", "source_width", "source_height", "x", "y", "width", "height", "blend", "dispose", "_corrupt", "rows", "strip", part.alias("part"))
+    schema = "image_id string, strip int, source_width int, source_height int, frame_no int, argb array<int>, _corrupt string"
+    strips = cut.groupBy("image_id", "strip").applyInArrow(_fold, schema)
+    whole = strips.groupBy("image_id", "frame_no").agg(
+        F.first("source_width").alias("source_width"), F.first("source_height").alias("source_height"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("strip", "argb"))), lambda s: s["argb"])).alias("argb"), F.max("_corrupt").alias("_corrupt"),
+    )
+    return whole.withColumn("argb", F.when(F.col("_corrupt").isNull(), F.col("argb")))
+
+
+def _resized(smooth: bool):
+    @F.arrow_udf("array<int>")
+    def of(argb: pa.Array, width: pa.Array, height: pa.Array, target_width: pa.Array, target_height: pa.Array) -> pa.Array:
+        out = []
+        for i, (w, h, tw, th) in enumerate(zip(*(c.to_pylist() for c in (width, height, target_width, target_height)), strict=True)):
+            if not argb[i].is_valid:
+                out.append(None)
+                continue
+            p = argb.slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+            if (w, h) != (tw, th):
+                p = (compose.bilinear if smooth else compose.nearest)(p.view(np.uint32).reshape(h, w), tw, th)
+            out.append(p)
+        return _int_lists(out)
+
+    return of
+
+
+def resize(frames: DataFrame, width: float = 0, height: float = 0, preserve_ratio: bool = False, smooth: bool = True) -> DataFrame:
+    """frames (width, height, argb; source_width, source_height: the canvas) at the wanted size (0: unset)."""
+    tw, th = scaling.target_size("source_width", "source_height", F.lit(float(width)), F.lit(float(height)), preserve_ratio)
+    out = frames.withColumn("tw", tw.cast("int")).withColumn("th", th.cast("int"))
+    out = out.withColumn("argb", _resized(smooth)("argb", "width", "height", "tw", "th"))
+    return out.withColumn("width", F.col("tw")).withColumn("height", F.col("th")).drop("tw", "th")
+
+
+def frames(raw: DataFrame, width: float = 0, height: float = 0, preserve_ratio: bool = False, smooth: bool = True, mode: str = "PERMISSIVE", lossy: vp8.Tables | None = None, most_pixels: int = container.MOST_PIXELS) -> DataFrame:
+    """image_id, frame_no, width, height, duration_ms, argb, _corrupt: frames as shown, scaled to the wanted size
+    (0: unset). A still image's frames are each scaled to the size of the canvas.
+
+    lossy: the probabilities that lossy payloads need, see lossy_tables; without them such frames are _corrupt.
+    Of an animation with a corrupt frame those before it are shown. Files are read twice, for stills and for
+    animations, as only the latter are shuffled by image."""
+    encoded = frames_encoded(raw, most_pixels=most_pixels)
+    moving = F.coalesce("animated", F.lit(False))
+    columns = ["image_id", "frame_no", "source_width", "source_height", "width", "height", "duration_ms", "argb", "_corrupt"]
+    stills = decode(encoded.where(~moving), lossy).select(*columns)
+    placed = decode(encoded.where(moving), lossy)
+    times = encoded.where(moving).select("image_id", "frame_no", "duration_ms")
+    moved = compose_frames(placed).join(times, ["image_id", "frame_no"]).withColumns({"width": F.col("source_width"), "height": F.col("source_height")})
+    out = resize(stills.union(moved.select(*columns)), width, height, preserve_ratio, smooth).drop("source_width", "source_height")
+    bad = F.col("_corrupt").isNotNull()
+    out = out.withColumns({c: F.when(~bad, F.col(c)) for c in ("width", "height", "duration_ms", "argb")})
+    return _checked(mode, out.select("image_id", "frame_no", "width", "height", "duration_ms", "argb", "_corrupt"))
+
+
+def read_frames(content: bytes, lossy: vp8.Tables | None = None, most_pixels: int = container.MOST_PIXELS) -> Iterator[tuple[int, np.ndarray]]:
+    """A3: (duration, pixels) of one file's frames, each decoded when it is asked for."""
+    image = container.parse(content, most_pixels)
+    yield from zip((f.duration_ms for f in image.frames), compose.shown(image, lossy), strict=True)
+
+
+def collected(shown: DataFrame) -> DataFrame:
+    """A2, A5: one row an image with its frames in order, the first of them, and their number."""
+    frame = F.struct("frame_no", "width", "height", F.col("width").alias("stride"), "duration_ms", "argb")
+    out = shown.where("_corrupt is null").groupBy("image_id").agg(F.array_sort(F.collect_list(frame)).alias("frames"))
+    return out.select("image_id", F.size("frames").alias("frame_count"), F.col("frames")[0].alias("first_frame"), "frames")
+
+
+def pixels(shown: DataFrame) -> DataFrame:
+    """(image_id, frame_no, x, y, a, r, g, b), one row a pixel."""
+    one = shown.where("_corrupt is null").select("image_id", "frame_no", "width", F.posexplode("argb").alias("at", "p"))
+    channels = {n: f(F.col("p")).cast("int") for n, f in (("a", px.alpha), ("r", px.red), ("g", px.green), ("b", px.blue))}
+    return one.select("image_id", "frame_no", (F.col("at") % F.col("width")).alias("x"), F.floor(F.col("at") / F.col("width")).cast("int").alias("y"), *[c.alias(n) for n, c in channels.items()])
+
+
+def pixel_at(x, y, strict: bool = True) -> Column:
+    """The pixel of a frame's row at (x, y); outside it an error or, if not strict, null."""
+    x, y = (v if isinstance(v, Column) else F.lit(v) for v in (x, y))
+    inside = (x >= 0) & (y >= 0) & (x < F.col("width")) & (y < F.col("height"))
+    out = F.when(inside, F.get("argb", y * F.col("width") + x))
+    return F.when(inside, out).otherwise(F.raise_error(F.lit("a place outside the frame")).cast("int")) if strict else out
+
+
+def metadata_lengths(image_rows: DataFrame) -> DataFrame:
+    """image_id and the bytes of each kind of metadata, 0 if there is none."""
+    size = [F.coalesce(F.octet_length(f"metadata.{k}"), F.lit(0)).alias(f"{k}_bytes") for k in ("icc", "exif", "xmp")]
+    return image_rows.select("image_id", *size)
