@@ -18,12 +18,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, release, staged, table
 
 LENGTH, Q = 400, 64
+#: Words of a passage, and of the strings inside it that are looked up.
+PASSAGE, GRAM = 50, 25
 #: Offsets in a range of each round.
 WIDTHS = (48, 8, 1)
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -40,11 +43,10 @@ def _power(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def gram_hashes(text: bytes, q: int) -> np.ndarray:
-    """A 64-bit hash of each q-gram."""
-    n = len(text)
-    values = (np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)) * _power(_MULTIPLIER, n)
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
+def gram_hashes(symbols: np.ndarray, q: int) -> np.ndarray:
+    """A 64-bit hash of each q-gram of unsigned 64-bit symbols."""
+    n = len(symbols)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(symbols * _power(_MULTIPLIER, n), dtype=np.uint64)))
     h = (sums[q:] - sums[:-q]) * _power(_INVERSE, n - q + 1)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -53,6 +55,10 @@ def gram_hashes(text: bytes, q: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def byte_symbols(text: bytes) -> np.ndarray:
+    return np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
+
+
 def anchors(h: np.ndarray, window: int) -> list[tuple[int, int, int]]:
     """(position, first, last): the leftmost smallest hash of each window of that many hashes, and the first
     and last window that it belongs to."""
@@ -94,7 +100,7 @@ def _anchor_rows(length: int, q: int):
                 if text is None or len(text) < length:
                     continue
                 named, name = -1, b""
-                for at, first, last in anchors(gram_hashes(text, q), length - q + 1):
+                for at, first, last in anchors(gram_hashes(byte_symbols(text), q), length - q + 1):
                     if at != named:
                         named, name = at, pointer(text[at : at + q])
                     uid.append(u)
@@ -195,6 +201,40 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
     return covered.select("uid", (F.col("pos") - F.col("hi")).alias("start"), (F.col("pos") - F.col("lo") + length).alias("end"))
 
 
+def _passage_rows(words: int, gram: int):
+    """Rows (uid, text) to the hashes of their content-chosen strings of `gram` words: every string of `words`
+    words holds one."""
+
+    def run(batches):
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            uid, found = [], []
+            for u, text in zip(batch.column("uid").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                w = text.split() if text else []
+                if len(w) < words:
+                    continue
+                h = gram_hashes(np.fromiter(map(digest, w), np.uint64, len(w)), gram)
+                at = np.array([x[0] for x in anchors(h, words - gram + 1)])
+                found.append(np.unique(h[at]))
+                uid.append(np.full(len(found[-1]), u, np.int64))
+            if uid:
+                columns = [pa.array(np.concatenate(uid)), pa.array(np.concatenate(found).view(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, ["uid", "gram"])
+
+    return run
+
+
+def shared_passages(rows: DataFrame, words: int = PASSAGE, gram: int = GRAM) -> DataFrame:
+    """rows: (uid long, unique; text). (uid, n) of texts that share passages with other texts: n of the strings of
+    `gram` words that are looked up, by 64-bit hashes, occur elsewhere. A passage of at least `words` words (runs
+    of anything but white space) in two texts always shows; texts that share less than `gram` words never do."""
+    found = staged(rows.mapInArrow(_passage_rows(words, gram), "uid bigint, gram bigint"), "passages")
+    shared = found.groupBy("gram").agg(F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high").select("gram")
+    out = staged(found.join(shared.hint("merge"), "gram").groupBy("uid").agg(F.count("*").alias("n")), "counted")
+    forget(found)
+    return out
+
+
 def _merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, e in sorted((max(0, x["start"]), min(size, x["end"])) for x in spans or []):
@@ -207,7 +247,8 @@ def _merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True) -> DataFrame:
     """docs with `repeats`: n_bytes, removed (merged spans of UTF-8 bytes, end exclusive), sha256 of the bytes
-    that stay and, with keep_text, those bytes (kept).
+    that stay, n_passages (see shared_passages; they may be shorter than `length` bytes and are only counted)
+    and, with keep_text, those bytes (kept).
 
     Every byte inside a string of `length` bytes that also starts elsewhere goes, copies in the same text
     and overlapping ones included; strings are judged on the input. Null is empty; texts shorter than length
@@ -215,8 +256,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
     own = [c for c in docs.columns if c != "repeats"]
     # written once: uid must mean the same row in every job, whatever executors come and go
     rows = staged(docs.select(F.struct(*own).alias("row"), F.monotonically_increasing_id().alias("uid")), "rows")
-    spans = repeated_spans(rows.select("uid", F.col("row.text").alias("text")), length)
-    spans = spans.distinct().groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    texts = rows.select("uid", F.col("row.text").alias("text"))
+    spans = repeated_spans(texts, length).distinct().select("uid", F.struct("start", "end").alias("s"), F.lit(None).cast("long").alias("n"))
+    passages = shared_passages(texts).select("uid", F.lit(None).cast("struct<start:int, end:int>").alias("s"), "n")
+    spans = spans.union(passages).groupBy("uid").agg(F.collect_list("s").alias("spans"), F.sum("n").alias("n"))
     kind = {"n_bytes": pa.int64(), "removed": pa.list_(pa.struct({"start": pa.int64(), "end": pa.int64()})), "sha256": pa.string()}
     spark_kind = "n_bytes:bigint, removed:array<struct<start:bigint, end:bigint>>, sha256:string"
     if keep_text:
@@ -233,7 +276,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, keep_text: bool = True
             out.append(row | {"kept": kept} if keep_text else row)
         return pa.array(out, pa.struct(kind))
 
-    return rows.join(spans.hint("merge"), "uid", "left").withColumn("repeats", cut("row.text", "spans")).select("row.*", "repeats")
+    out = rows.join(spans.hint("merge"), "uid", "left").withColumn("repeats", cut("row.text", "spans"))
+    return out.select("row.*", F.col("repeats").withField("n_passages", F.coalesce("n", F.lit(0).cast("long"))).alias("repeats"))
 
 
 def op9_substrings(spark, sf_dir: str) -> DataFrame:
@@ -241,5 +285,5 @@ def op9_substrings(spark, sf_dir: str) -> DataFrame:
     removed = F.aggregate("repeats.removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select(
         "doc_id", "repeats.n_bytes", removed.alias("n_removed"), F.size("repeats.removed").cast("long").alias("n_spans"),
-        F.col("repeats.sha256").alias("kept_sha256"),
+        F.col("repeats.sha256").alias("kept_sha256"), "repeats.n_passages",
     )
