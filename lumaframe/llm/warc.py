@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import new_path, staged, table
+from .common import forget, new_path, staged, table
 
 MAGIC = "WARC/1.0\r\n"
 #: Ends every record; the writer puts it after each row.
@@ -59,6 +59,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST) -> None:
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(END), body,
     )
     rows.select(head.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    forget(kept)
 
 
 HEAD = "file string, block bigint, place bigint, size bigint, step bigint, whole boolean, page_id bigint, url string, kind string, refers_to bigint, bytes bigint, digest string, said string"
@@ -125,18 +126,26 @@ def reachable(found: DataFrame) -> DataFrame:
     """found: (file, at, step). The (file, at) that the chain of steps reaches from each file's offset 0.
 
     Round k knows all records within 2**k steps of the start and each record's pointer 2**k steps on."""
-    jump = staged(found.where("step is not null").select("file", "at", (F.col("at") + F.col("step")).alias("to")), "pointers")
-    jump = staged(jump.join(jump.select("file", F.col("at").alias("to")), ["file", "to"], "left_semi").select("file", "at", "to"), "pointers")
+    every = staged(found.where("step is not null").select("file", "at", (F.col("at") + F.col("step")).alias("to")), "pointers")
+    ends = every.select("file", F.col("at").alias("to"))
+    jump = staged(every.join(ends, ["file", "to"], "left_semi").select("file", "at", "to"), "pointers")
+    forget(every)
     reached = found.where("at = 0").select("file", "at").distinct()
-    before = -1
+    before, last = -1, None
     while True:
         more = reached.join(jump, ["file", "at"]).select("file", F.col("to").alias("at"))
         reached = staged(reached.union(more).distinct(), "reached")
-        n = reached.count()
+        if last is not None:
+            forget(last)
+        last, n = reached, reached.count()
         if n == before:
+            forget(jump)
             return reached
         before = n
-        jump = staged(jump.join(jump.select("file", F.col("at").alias("to"), F.col("to").alias("far")), ["file", "to"]).select("file", "at", F.col("far").alias("to")), "pointers")
+        far = jump.select("file", F.col("at").alias("to"), F.col("to").alias("far"))
+        twice = staged(jump.join(far, ["file", "to"]).select("file", "at", F.col("far").alias("to")), "pointers")
+        forget(jump)
+        jump = twice
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
