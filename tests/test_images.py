@@ -199,3 +199,112 @@ def test_reader_and_stream(spark, tmp_path):
     q = images.headers(images.stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("arrived").count() == 2
+
+
+def test_a_header_of_a_huge_canvas_is_an_error_not_an_allocation(spark):
+    x = chunk(b"VP8X", bytes([container.ANIMATED, 0, 0, 0]) + b"\xff" * 6)
+    data = riff(x, anmf(0, 0, 4, 4, 40, 1, payload(4, 4, [1] * 16)))
+    assert len(data) < 2000
+    with pytest.raises(vp8l.ImageError):
+        container.parse(data)
+    raw = spark.createDataFrame([("huge", data), ("none", None)], "image_id string, content binary")
+    assert all(r._corrupt for r in images.frames(raw).collect()) and images.frames(raw, mode="DROPMALFORMED").count() == 0
+
+
+def test_alpha_chunk_of_a_lossless_frame_counts_as_lossy():
+    x = chunk(b"VP8X", bytes([0, 0, 0, 0, 3, 0, 0, 3, 0, 0]))
+    head = b"".join(v.to_bytes(3, "little") for v in (0, 0, 3, 3, 10)) + b"\0"
+    data = riff(x, chunk(b"ANMF", head + chunk(b"ALPH", b"\0" * 17) + chunk(b"VP8L", payload(4, 4, [1] * 16))))
+    assert container.parse(data).lossy and container.parse(data).loop_duration_ms == 0
+
+
+def test_two_symbol_codes_and_cache_sizes():
+    out = Out()
+    for v, n in ((1, 1), (1, 1), (1, 1), (200, 8), (3, 8)):
+        out.put(v, n)
+    out.put(0b10, 2)
+    bits = vp8l.Bits(out.bytes())
+    code = vp8l._read_code(bits, 256)
+    assert [code.read(bits), code.read(bits)] == [200, 3]
+    out = Out()
+    for v, n in ((1, 1), (1, 1), (1, 1), (9, 8), (9, 8), (1, 1)):
+        out.put(v, n)
+    bits = vp8l.Bits(out.bytes())
+    code = vp8l._read_code(bits, 256)
+    assert code.read(bits) == 9 and bits.read(1) == 0  # equal symbols take a bit too
+    out = Out()
+    for v, n in ((0x2F, 8), (0, 14), (0, 14), (0, 1), (0, 3), (0, 1), (1, 1), (0, 4)):
+        out.put(v, n)
+    with pytest.raises(vp8l.ImageError, match="cache"):
+        vp8l.decode(out.bytes() + b"\0" * 8, 1, 1)
+
+
+def test_unpredict_by_rows_is_unpredict_by_pixels():
+    for width, height, bits in ((1, 1, 2), (9, 7, 2), (33, 20, 3), (5, 40, 2)):
+        rest = RNG.integers(0, 1 << 32, (height, width), dtype=np.uint64).astype(np.uint32)
+        modes = (RNG.integers(0, 16, (vp8l.subsample(height, bits), vp8l.subsample(width, bits))) << 8).astype(np.uint32)
+        p = rest.ravel().tolist()
+        for at in range(width * height):
+            y, x = divmod(at, width)
+            mode = int(modes[y >> bits, x >> bits]) >> 8
+            if at == 0:
+                guess = vp8l.OPAQUE
+            elif y == 0 or x == 0:
+                guess = p[at - 1] if y == 0 else p[at - width]
+            elif mode > 13:
+                continue
+            else:
+                guess = vp8l.PREDICTORS[mode](p[at - 1], p[at - width], p[at - width + 1], p[at - width - 1])
+            p[at] = vp8l._sum(p[at], guess)
+        vp8l.unpredict(rest, bits, modes)
+        assert rest.ravel().tolist() == p
+
+
+@pytest.mark.parametrize("strip", [1, 16, 1 << 22])
+def test_strips_give_what_whole_canvases_give(spark, strip):
+    from lumaframe.plans import encode
+
+    pictures = [RNG.integers(0, 1 << 32, 64, dtype=np.uint64).tolist() for _ in range(12)]
+    files = [(str(i), encode.composed_file(i, p)) for i, p in enumerate(pictures)]
+    raw = spark.createDataFrame(files, "image_id string, content binary")
+    placed = images.decode(images.frames_encoded(raw))
+    got = {(r.image_id, r.frame_no): [v & 0xFFFFFFFF for v in r.argb] for r in images.compose_frames(placed, strip).collect()}
+    assert len(got) == 36
+    for i, data in files:
+        for k, (ms, picture) in enumerate(images.read_frames(data)):
+            assert got[i, k] == picture.ravel().tolist() and ms == 10 * (k + 1)
+
+
+def test_an_animation_is_shown_up_to_its_corrupt_frame(spark):
+    from lumaframe.plans import encode
+
+    x = encode.extended(8, 8, container.ANIMATED)
+    good, bad = (chunk(b"VP8L", encode.lossless([1 << 24] * 64, 8, 8)[:n]) for n in (None, 12))
+    data = riff(x, *(encode.frame(0, 0, 8, 8, 10, True, False, part) for part in (good, bad, good)))
+    rows = images.frames(spark.createDataFrame([("a", data)], "image_id string, content binary")).orderBy("frame_no").collect()
+    assert [r.frame_no for r in rows] == [0, 1] and rows[0]._corrupt is None and rows[1]._corrupt and rows[1].argb is None
+
+
+def test_frames_come_one_at_a_time():
+    from lumaframe.plans import encode
+
+    frames = [encode.frame(0, 0, 8, 8, 10, True, False, chunk(b"VP8L", encode.lossless([k << 24 | k] * 64, 8, 8))) for k in range(3)]
+    broken = encode.frame(0, 0, 8, 8, 10, True, False, chunk(b"VP8L", encode.lossless([0] * 64, 8, 8)[:9]))
+    left = images.read_frames(riff(encode.extended(8, 8, container.ANIMATED), *frames, broken))
+    assert [next(left)[0] for _ in range(3)] == [10] * 3
+    with pytest.raises(vp8l.ImageError):
+        next(left)
+    assert list(images.read_frames(riff(chunk(b"VP8L", payload(1, 1, [7])))))[0][1].tolist() == [[7]]
+
+
+def test_chunk_types_and_numbers(spark):
+    rows = spark.createDataFrame([(b"\xff\xfe\x80\x00\x01\x00\x00\xff",)], "c binary")
+    from pyspark.sql import functions as F
+
+    n = lambda *a: images.little_endian(F.col("c"), *a)
+    got = rows.select(n(0, 2), n(0, 2, True), n(1, 3), n(0, 8), n(7, 2), images.chunk_type(F.lit("VP8 ")), images.chunk_type(F.lit("abcd")), images.chunk_code(F.lit("XMP"))).first()
+    assert list(got) == [0xFEFF, -257, 0x80FE, int.from_bytes(b"\xff\xfe\x80\x00\x01\x00\x00\xff", "little", signed=True), None, "VP8", "UNKNOWN", "XMP "]
+    with pytest.raises(Exception, match="no code"):
+        rows.select(images.chunk_code(F.lit("UNKNOWN"))).collect()
+    with pytest.raises(Exception, match="outside the frame"):
+        spark.createDataFrame([(1, 1, [5])], "width int, height int, argb array<int>").select(images.pixel_at(1, 0)).collect()
