@@ -478,6 +478,11 @@ def to_argb(y: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     return (255 << 24 | r << 16 | g << 8 | b).astype(np.uint32)
 
 
+def rgb_bytes(argb: np.ndarray) -> bytes:
+    """Three bytes a pixel, red first."""
+    return np.stack([argb >> 16 & 255, argb >> 8 & 255, argb & 255], axis=-1).astype(np.uint8).tobytes()
+
+
 def decode(payload: bytes, tables: Tables, fancy: bool = False) -> np.ndarray:
     """Pixels (height, width), 0xAARRGGBB."""
     h, (y, u, v) = decode_planes(payload, tables)

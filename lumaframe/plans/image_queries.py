@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumaframe.functions import pixels as px
 from lumaframe.kernels import vp8
-from lumaframe.operators import animation, prediction, scaling
-from lumaframe.plans import carriers, encode
+from lumaframe.operators import animation, lossy, prediction, scaling
+from lumaframe.plans import carriers, encode, encode_lossy
 from lumaframe.sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -216,7 +214,156 @@ def _raster_queries() -> None:
          SELECT image_id, frame_no, start_ms, CASE WHEN image_id % 3 > 0 THEN CAST(image_id % 3 AS BIGINT) END AS cycles FROM starts""")
 
 
+def clamp(x: str, low: int = 0, high: int = 255) -> str:
+    return f"least(greatest({x}, {low}), {high})"
+
+
+def _lossy_queries() -> None:
+    levels = lambda s, d: carriers.pictures(s, d).select("vec_id", F.transform("argb", px.red).alias("l"))
+    lists = f"{carriers.TILES}, lists AS (SELECT vec_id, list(l ORDER BY y, x) AS l FROM tiles GROUP BY vec_id)"
+
+    def flat(spark: SparkSession, sf: str) -> DataFrame:
+        files = carriers.encoded(carriers.pictures(spark, sf), lambda i, p: encode.riff(encode.chunk(b"VP8 ", encode_lossy.flat_frame(i))))
+        one = _pixels(images.frames(files, lossy=encode_lossy.made_up_tables()))
+        return one.groupBy("vec_id", F.floor(F.col("x") / 16).alias("block"), *ARGB).agg(F.count("*").alias("n"))
+
+    luma = lambda t: f"((((({t}) * 42 + 3) >> 3) + 4) >> 3)"
+    chroma = lambda t: f"((({t}) * 21 + 4) >> 3)"
+    part = lambda x, k: f"((({x}) * {k}) >> 8)"
+    r, g, b = (clamp(f"({x}) >> 6") for x in (f"{part('yy', 19077)} + {part('vv', 26149)} - 14234", f"{part('yy', 19077)} - {part('uu', 6419)} - {part('vv', 13320)} + 8708", f"{part('yy', 19077)} + {part('uu', 33050)} - 17685"))
+    _add("v01_v18_v33_v49_flat_frames", flat,
+         f"""WITH n AS (SELECT vec_id, vec_id % 4 AS ml, vec_id // 4 % 4 AS mc, {clamp('128 + ' + luma('vec_id * 7 % 121 - 60'))} AS y0, {clamp('128 + ' + chroma('vec_id * 3 % 31 - 15'))} AS u0, {clamp('128 + ' + chroma('vec_id * 5 % 71 - 35'))} AS v0 FROM embeddings),
+         two AS (SELECT vec_id, 0 AS block, y0 AS yy, u0 AS uu, v0 AS vv FROM n UNION ALL SELECT vec_id, 1,
+           {clamp('CASE ml WHEN 1 THEN 127 ELSE y0 END + ' + luma('vec_id % 41 - 20'))}, {clamp('CASE mc WHEN 1 THEN 127 ELSE u0 END + ' + chroma('vec_id % 7 - 3'))}, {clamp('CASE mc WHEN 1 THEN 127 ELSE v0 END + ' + chroma('4 - vec_id % 9'))} FROM n)
+         SELECT vec_id, CAST(block AS BIGINT) AS block, CAST(255 AS INTEGER) AS a, CAST({r} AS INTEGER) AS r, CAST({g} AS INTEGER) AS g, CAST({b} AS INTEGER) AS b, CAST(256 AS BIGINT) AS n FROM two""")
+
+    quarters = lambda s, d: levels(s, d).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "l")
+    coefficients = lambda: F.transform(F.slice("l", F.col("k") * 16 + 1, F.lit(16)), lambda v: (v - 128) * 9)
+
+    def blocks(op) -> Query:
+        def query(spark: SparkSession, sf: str) -> DataFrame:
+            one = quarters(spark, sf).select("vec_id", F.col("k").cast("long").alias("k"), F.posexplode(op(coefficients())).alias("at", "value"))
+            return one.withColumn("at", F.col("at").cast("long"))
+
+        return query
+
+    def passes(low_high, last: str) -> str:
+        """Two passes over 4 x 4 values in columns c0 to c15: down, then across."""
+        down, across = [""] * 16, [""] * 16
+        for k in range(4):
+            for i, x in enumerate(low_high(*(f"c{4 * j + k}" for j in range(4)))):
+                down[4 * i + k] = f"{x} AS d{4 * i + k}"
+            for i, x in enumerate(low_high(*(f"d{4 * k + j}" for j in range(4)))):
+                across[4 * k + i] = last.format(x)
+        return f"""WITH {lists}, c AS (SELECT vec_id, k, {', '.join(f'(l[k * 16 + {i + 1}] - 128) * 9 AS c{i}' for i in range(16))} FROM (SELECT vec_id, l, unnest(range(4)) AS k FROM lists)),
+          d AS (SELECT vec_id, k, {', '.join(down)} FROM c), o AS (SELECT vec_id, k, [{', '.join(across)}] AS v FROM d)
+          SELECT vec_id, CAST(k AS BIGINT) AS k, CAST(i AS BIGINT) AS at, CAST(v[i + 1] AS BIGINT) AS value FROM (SELECT *, unnest(range(16)) AS i FROM o)"""
+
+    def dct(a: str, b: str, c: str, d: str) -> list[str]:
+        low, high = f"((({b} * 35468) >> 16) - {d} - (({d} * 20091) >> 16))", f"({b} + (({b} * 20091) >> 16) + (({d} * 35468) >> 16))"
+        return [f"({a} + {c} + {high})", f"({a} - {c} + {low})", f"({a} - {c} - {low})", f"({a} + {c} - {high})"]
+
+    _add("v14_inverse_dct", blocks(lossy.inverse_dct), passes(dct, "(({} + 4) >> 3)"))
+    _add("v15_inverse_wht", blocks(lossy.inverse_wht), passes(lambda a, b, c, d: [f"({a} + {b} + {c} + {d})", f"({a} + {b} - {c} - {d})", f"({a} - {b} - {c} + {d})", f"({a} - {b} + {c} - {d})"], "(({} + 3) >> 3)"))
+
+    def around(spark: SparkSession, sf: str) -> DataFrame:
+        rows = quarters(spark, sf).withColumn("mode", ((F.col("vec_id") + F.col("k")) % 10).cast("int"))
+        one = rows.select("vec_id", F.col("k").cast("long").alias("k"), F.posexplode(lossy.predicted_block(F.col("mode"), F.slice("l", F.col("k") * 16 + 1, F.lit(13)))).alias("at", "value"))
+        return one.withColumn("at", F.col("at").cast("long"))
+
+    e = [f"e[{i + 1}]" for i in range(13)]
+    left, corner, above = e[3::-1], e[4], e[5:]
+    two = lambda x, y: f"(({x} + {y} + 1) >> 1)"
+    three = lambda x, y, z: f"(({x} + 2 * {y} + {z} + 2) >> 2)"
+    t, w = (lambda i: three(*e[i : i + 3])), (lambda i: two(*e[i : i + 2]))  # of the edge from left, low, to above, right
+    u, x2 = (lambda i: three(*(above + above[-1:])[i : i + 3])), (lambda i: two(*above[i : i + 2]))
+    m, h2 = (lambda i: three(*(left + left[-1:])[i : i + 3])), (lambda i: two(*left[i : i + 2]))
+    by_mode = [
+        [f"(({' + '.join(above[:4] + left)} + 4) >> 3)"] * 16,
+        [clamp(f"{left[r]} + {above[c]} - {corner}") for r in range(4) for c in range(4)],
+        [three(*([corner] + above)[c : c + 3]) for r in range(4) for c in range(4)],
+        [three(*([corner] + left + left[-1:])[r : r + 3]) for r in range(4) for c in range(4)],
+        [u(r + c) for r in range(4) for c in range(4)],
+        [t(3 - r + c) for r in range(4) for c in range(4)],
+        [w(4), w(5), w(6), w(7), t(3), t(4), t(5), t(6), t(2), w(4), w(5), w(6), t(1), t(3), t(4), t(5)],
+        [x2(0), x2(1), x2(2), x2(3), u(0), u(1), u(2), u(3), x2(1), x2(2), x2(3), u(4), u(1), u(2), u(3), u(5)],
+        [w(3), t(3), t(4), t(5), w(2), t(2), w(3), t(3), w(1), t(1), w(2), t(2), w(0), t(0), w(1), t(1)],
+        [h2(0), m(0), h2(1), m(1), h2(1), m(1), h2(2), m(2), h2(2), m(2), left[3], left[3], *left[3:4] * 4],
+    ]
+    chosen = "CASE (vec_id + k) % 10 " + " ".join(f"WHEN {i} THEN [{', '.join(v)}]" for i, v in enumerate(by_mode)) + " END"
+    _add("v19_v32_predicted_blocks", around,
+         f"""WITH {lists}, o AS (SELECT vec_id, k, {chosen} AS v FROM (SELECT vec_id, k, list_slice(l, k * 16 + 1, k * 16 + 13) AS e FROM (SELECT vec_id, l, unnest(range(4)) AS k FROM lists)))
+         SELECT vec_id, CAST(k AS BIGINT) AS k, CAST(i AS BIGINT) AS at, CAST(v[i + 1] AS BIGINT) AS value FROM (SELECT *, unnest(range(16)) AS i FROM o)""")
+
+    def edges(spark: SparkSession, sf: str) -> DataFrame:
+        rows = levels(spark, sf).select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k"), "l")
+        line = F.transform(F.slice("l", F.col("k") * 8 + 1, F.lit(8)), lambda v: F.least(F.lit(255), F.floor(v / (1 + F.col("k") * 4)) + 100))
+        kind = F.element_at(F.array(*map(F.lit, ("simple", "block", "macro"))), (F.col("vec_id") % 3 + 1).cast("int"))
+        one = rows.select("vec_id", "k", F.posexplode(lossy.filtered(kind, line, 40, 12, 2)).alias("at", "value"))
+        return one.withColumns({"k": F.col("k").cast("long"), "at": F.col("at").cast("long")})
+
+    p3, p2, p1, p0, q0, q1, q2, q3 = (f"(v[{i}] - 128)" for i in range(1, 9))
+    c8 = lambda x: clamp(x, -128, 127)
+    passed = f"(abs({p0} - {q0}) * 2 + (abs({p1} - {q1}) >> 1) <= 40 AND (kind = 0 OR greatest(" + ", ".join(f"abs({x} - {y})" for x, y in ((p3, p2), (p2, p1), (p1, p0), (q3, q2), (q2, q1), (q1, q0))) + ") <= 12))"
+    varied = f"(abs({p1} - {p0}) > 2 OR abs({q1} - {q0}) > 2)"
+    moved = [
+        "v[1]", f"CASE WHEN ok AND kind = 2 AND NOT varied THEN {c8(f'{p2} + {c8("(9 * w + 63) >> 7")}')} + 128 ELSE v[2] END",
+        f"CASE WHEN ok AND kind = 2 AND NOT varied THEN {c8(f'{p1} + {c8("(18 * w + 63) >> 7")}')} + 128 WHEN ok AND kind = 1 AND NOT varied THEN {c8(f'{p1} + ((f + 1) >> 1)')} + 128 ELSE v[3] END",
+        f"CASE WHEN ok AND kind = 2 AND NOT varied THEN {c8(f'{p0} + {c8("(27 * w + 63) >> 7")}')} + 128 WHEN ok THEN {c8(f'{p0} + g')} + 128 ELSE v[4] END",
+        f"CASE WHEN ok AND kind = 2 AND NOT varied THEN {c8(f'{q0} - {c8("(27 * w + 63) >> 7")}')} + 128 WHEN ok THEN {c8(f'{q0} - f')} + 128 ELSE v[5] END",
+        f"CASE WHEN ok AND kind = 2 AND NOT varied THEN {c8(f'{q1} - {c8("(18 * w + 63) >> 7")}')} + 128 WHEN ok AND kind = 1 AND NOT varied THEN {c8(f'{q1} - ((f + 1) >> 1)')} + 128 ELSE v[6] END",
+        f"CASE WHEN ok AND kind = 2 AND NOT varied THEN {c8(f'{q2} - {c8("(9 * w + 63) >> 7")}')} + 128 ELSE v[7] END", "v[8]",
+    ]
+    _add("v37_v40_filtered_edges", edges,
+         f"""WITH {lists}, a AS (SELECT vec_id, k, vec_id % 3 AS kind, list_transform(list_slice(l, k * 8 + 1, k * 8 + 8), lambda x: least(255, x // (1 + k * 4) + 100)) AS v FROM (SELECT vec_id, l, unnest(range(8)) AS k FROM lists)),
+         b AS (SELECT *, {passed} AS ok, {varied} AS varied FROM a),
+         c AS (SELECT *, {c8(f'CASE WHEN kind = 1 AND NOT varied THEN 0 ELSE {c8(f"{p1} - {q1}")} END + 3 * ({q0} - {p0})')} AS w FROM b),
+         d AS (SELECT *, {c8('w + 4')} >> 3 AS f, {c8('w + 3')} >> 3 AS g FROM c), o AS (SELECT vec_id, k, [{', '.join(moved)}] AS v FROM d)
+         SELECT vec_id, CAST(k AS BIGINT) AS k, CAST(i AS BIGINT) AS at, CAST(v[i + 1] AS BIGINT) AS value FROM (SELECT *, unnest(range(8)) AS i FROM o)""")
+
+    def coloured(fancy: bool, as_bytes: bool) -> Query:
+        def query(spark: SparkSession, sf: str) -> DataFrame:
+            rows = levels(spark, sf).select("vec_id", "l", F.slice("l", 1, 16).alias("u"), F.slice("l", 17, 16).alias("v"))
+            if as_bytes:
+                rows = rows.select("vec_id", lossy.rgb_bytes("l", "u", "v", 8, fancy).alias("b"))
+                one = rows.select("vec_id", "b", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("at"))
+                value = [F.conv(F.hex(F.substring(F.col("b"), F.col("at") * 3 + k, F.lit(1))), 16, 10).cast("int").alias(c) for k, c in ((1, "r"), (2, "g"), (3, "b"))]
+                return one.select("vec_id", (F.col("at") % 8).cast("long").alias("x"), F.floor(F.col("at") / 8).alias("y"), *value)
+            one = scaling.by_place(rows.select("vec_id", lossy.pixels("l", "u", "v", 8, fancy).alias("p")), "vec_id", "p", 8)
+            return one.select("vec_id", "x", "y", *[f(F.col("value")).cast("int").alias(c) for c, f in (("r", px.red), ("g", px.green), ("b", px.blue))])
+
+        return query
+
+    def planes(fancy: bool) -> str:
+        near = "l[{o} + (y // 2) * 4 + x // 2 + 1]"
+        if fancy:
+            ny, nx = "least(greatest(y // 2 + 2 * (y % 2) - 1, 0), 3)", "least(greatest(x // 2 + 2 * (x % 2) - 1, 0), 3)"
+            near = "((9 * " + near + " + 3 * l[{o} + " + ny + " * 4 + x // 2 + 1] + 3 * l[{o} + (y // 2) * 4 + " + nx + " + 1] + l[{o} + " + ny + " * 4 + " + nx + " + 1] + 8) >> 4)"
+        return f"""WITH {lists}, q AS (SELECT vec_id, l, unnest(range(64)) AS i FROM lists), p AS (SELECT vec_id, l, i % 8 AS x, i // 8 AS y FROM q),
+          o AS (SELECT vec_id, x, y, l[y * 8 + x + 1] AS yy, {near.format(o=0)} AS uu, {near.format(o=16)} AS vv FROM p)
+          SELECT vec_id, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, CAST({r} AS INTEGER) AS r, CAST({g} AS INTEGER) AS g, CAST({b} AS INTEGER) AS b FROM o"""
+
+    _add("v42_v45_simple_pixels", coloured(False, False), planes(False))
+    _add("v43_fancy_pixels", coloured(True, False), planes(True))
+    _add("v44_rgb_bytes", coloured(True, True), planes(True))
+
+    def limits(spark: SparkSession, sf: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_partkey") % 64).cast("int").alias("level"), (F.col("p_size") % 8).cast("int").alias("sharp"))
+        v = lossy.filter_limits("level", "sharp")
+        q = lossy.quantizer_steps((F.col("p_partkey") % 128).cast("int"))
+        rows = rows.select("p_partkey", v.alias("v"), q.alias("q"))
+        return rows.select("p_partkey", F.col("v")[0].alias("level"), F.col("v")[1].alias("inner_limit"), F.col("v")[2].alias("high"), *[F.col("q")[k].alias(f"step{k}") for k in range(6)])
+
+    inner = "greatest(1, CASE WHEN s = 0 THEN v ELSE least(9 - s, CASE WHEN s > 4 THEN v >> 2 ELSE v >> 1 END) END)"
+    dc, ac = (f"[{', '.join(map(str, x))}][q + 1]" for x in (vp8.DC_STEP, vp8.AC_STEP))
+    _add("v07_v35_steps_and_limits", limits,
+         f"""SELECT p_partkey, CAST(v AS BIGINT) AS level, CAST({inner} AS BIGINT) AS inner_limit, CAST(CASE WHEN v >= 40 THEN 2 WHEN v >= 15 THEN 1 ELSE 0 END AS BIGINT) AS high,
+         CAST({dc} AS BIGINT) AS step0, CAST({ac} AS BIGINT) AS step1, CAST(2 * {dc} AS BIGINT) AS step2, CAST(greatest(8, {ac} * 155 // 100) AS BIGINT) AS step3, CAST(least(132, {dc}) AS BIGINT) AS step4, CAST({ac} AS BIGINT) AS step5
+         FROM (SELECT p_partkey, p_partkey % 64 AS v, p_size % 8 AS s, p_partkey % 128 AS q FROM part)""")
+
+
 _lossless_queries()
 _container_queries()
 _frame_queries()
 _raster_queries()
+_lossy_queries()
