@@ -109,6 +109,14 @@ def _container_queries() -> None:
 
     _add("s07_s08_numbers", numbers, f"SELECT vec_id, 'RIFF' AS code, CAST(82 AS BIGINT) AS u8, CAST(18770 AS BIGINT) AS u16, CAST(4606290 AS BIGINT) AS u24, CAST(1179011410 AS BIGINT) AS u32, CAST(18770 AS BIGINT) AS i16, {pick(*(int.from_bytes(b'WEBP' + c, 'little') for c in (b'VP8L', b'VP8 ', b'VP8X', b'VP8X', b'VP8X', b'VP8X')))} AS i64, CAST(NULL AS BIGINT) AS beyond FROM embeddings")
 
+    def wished(spark: SparkSession, sf: str) -> DataFrame:
+        return images.target_sizes(images.images(files(spark, sf), "DROPMALFORMED"), 40.5, 24, True).select(key(), "target_width", "target_height")
+
+    ratio = "least(40.5::DOUBLE / w, 24::DOUBLE / h)"
+    _add("a04_z01_target_sizes", wished,
+         f"""SELECT vec_id, CAST(greatest(1, floor(w * {ratio} + 0.5)) AS INTEGER) AS target_width, CAST(greatest(1, floor(h * {ratio} + 0.5)) AS INTEGER) AS target_height
+         FROM (SELECT vec_id, {image['source_width']} AS w, {image['source_height']} AS h FROM embeddings WHERE {kind} <> 5)""")
+
     def line(spark: SparkSession, sf: str) -> DataFrame:
         return images.images(files(spark, sf), "DROPMALFORMED").select(key(), animation.status(F.concat(F.lit("i"), F.col("image_id")), F.lit(7)).alias("status"))
 
@@ -117,6 +125,18 @@ def _container_queries() -> None:
         CASE WHEN {image['has_alpha']} THEN 'alpha' END, CASE WHEN {image['lossy']} THEN 'lossy' ELSE 'lossless' END, 'load=7ms') AS status FROM embeddings WHERE {kind} <> 5""")
 
 
+def _raster_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = carriers.pictures(spark, sf).withColumn("argb", F.transform("argb", lambda p: F.when(F.col("vec_id") % 2 == 0, p % (1 << 24) + (255 << 24)).otherwise(p)))
+    shown = images.frames(carriers.encoded(rows, lambda i, p: encode.riff(encode.chunk(b"VP8L", encode.lossless(p, 8, 8)))))
+    return images.rasters(shown).select(F.col("image_id").cast("long").alias("vec_id"), "kind", F.hex("raster").alias("raster"))
+
+
+_add("g01_rasters", _raster_bytes,
+     f"""WITH {carriers.PICTURES} SELECT vec_id, CASE WHEN vec_id % 2 = 0 OR bool_and(p >> 24 = 255) THEN 'RGB' ELSE 'ARGB' END AS kind,
+     CASE WHEN vec_id % 2 = 0 OR bool_and(p >> 24 = 255) THEN string_agg(printf('%06X', p % 16777216), '' ORDER BY y, x) ELSE string_agg(printf('%08X', p), '' ORDER BY y, x) END AS raster
+     FROM pictures GROUP BY vec_id""")
+
+
 def over(s: str, d: str) -> str:
     """SQL of F8."""
     ch = lambda p, k: f"(({p} >> {k}) & 255)"

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from lumaframe.functions import pixels as px
 from lumaframe.kernels import compose, container, vp8
@@ -39,10 +40,8 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return read.load(path).select(F.col("path").alias("image_id"), "content")
 
 
-def stream(spark: SparkSession, path: str) -> DataFrame:
-    """The same, of files as they arrive."""
-    read = spark.readStream.format("binaryFile").option("pathGlobFilter", "*.[wW][eE][bB][pP]")
-    return read.load(path).select(F.col("path").alias("image_id"), "content")
+#: Session setting that names the text file of the lossy format's probabilities.
+LOSSY_TABLES = "spark.lumaframe.lossyTables"
 
 
 def lossy_tables(spark: SparkSession, path: str) -> vp8.Tables:
@@ -266,9 +265,13 @@ def frames(raw: DataFrame, width: float = 0, height: float = 0, preserve_ratio:
     """image_id, frame_no, width, height, duration_ms, argb, _corrupt: frames as shown, scaled to the wanted size
     (0: unset). A still image's frames are each scaled to the size of the canvas.
 
-    lossy: the probabilities that lossy payloads need, see lossy_tables; without them such frames are _corrupt.
+    lossy: the probabilities that lossy payloads need, see lossy_tables; if not given, those of the file that the
+    session setting LOSSY_TABLES names, and without that such frames are _corrupt.
     Of an animation with a corrupt frame those before it are shown. Files are read twice, for stills and for
     animations, as only the latter are shuffled by image."""
+    spark = raw.sparkSession
+    if lossy is None and (path := spark.conf.get(LOSSY_TABLES, None)):
+        lossy = lossy_tables(spark, path)
     encoded = frames_encoded(raw, most_pixels=most_pixels)
     moving = F.coalesce("animated", F.lit(False))
     columns = ["image_id", "frame_no", "source_width", "source_height", "width", "height", "duration_ms", "argb", "_corrupt"]
@@ -310,7 +313,30 @@ def pixel_at(x, y, strict: bool = True) -> Column:
     return F.when(inside, out).otherwise(F.raise_error(F.lit("a place outside the frame")).cast("int")) if strict else out
 
 
+def target_sizes(image_rows: DataFrame, width: float = 0, height: float = 0, preserve_ratio: bool = False) -> DataFrame:
+    """A4: image rows with target_width and target_height, the size that `frames` gives for these wishes."""
+    tw, th = scaling.target_size("source_width", "source_height", F.lit(float(width)), F.lit(float(height)), preserve_ratio)
+    return image_rows.withColumns({"target_width": tw.cast("int"), "target_height": th.cast("int")})
+
+
 def metadata_lengths(image_rows: DataFrame) -> DataFrame:
     """image_id and the bytes of each kind of metadata, 0 if there is none."""
     size = [F.coalesce(F.octet_length(f"metadata.{k}"), F.lit(0)).alias(f"{k}_bytes") for k in ("icc", "exif", "xmp")]
     return image_rows.select("image_id", *size)
+
+
+@F.arrow_udf(BinaryType())
+def _raster(argb: pa.Array, opaque: pa.Array) -> pa.Array:
+    out = []
+    for v, solid in zip(argb, opaque.to_pylist(), strict=True):
+        p = None if not v.is_valid else v.values.to_numpy(zero_copy_only=False).astype(np.int64)
+        out.append(None if p is None else np.stack([p >> k & 255 for k in ((16, 8, 0) if solid else (24, 16, 8, 0))], axis=-1).astype(np.uint8).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def rasters(shown: DataFrame) -> DataFrame:
+    """G1, its data: image_id, frame_no, width, height, kind and the raster's bytes, row by row from the top. A frame
+    without a transparent pixel is RGB, any other ARGB, not premultiplied."""
+    opaque = F.forall("argb", lambda p: px.alpha(p) == 255)
+    rows = shown.where("_corrupt is null").select("image_id", "frame_no", "width", "height", F.when(opaque, "RGB").otherwise("ARGB").alias("kind"), _raster("argb", opaque).alias("raster"))
+    return rows

@@ -1 +1 @@
-
+"""Structured Streaming over image files."""

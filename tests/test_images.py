@@ -5,6 +5,7 @@ import pytest
 
 from lumaframe.kernels import compose, container, vp8l
 from lumaframe.sources import images
+from lumaframe.streaming import arrivals
 
 
 class Out:
@@ -195,10 +196,24 @@ def test_reader_and_stream(spark, tmp_path):
     assert [v & 0xFFFFFFFF for v in shown[0].argb] == PICTURE and len(shown) == 1
     small = images.frames(raw, width=3, smooth=False, mode="DROPMALFORMED").first()
     assert (small.width, small.height) == (3, H)
-    spark.conf.set("spark.sql.streaming.schemaInference", "true")
-    q = images.headers(images.stream(spark, str(tmp_path / "in"))).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert spark.table("arrived").count() == 2
+
+
+def test_files_that_arrive(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    folders = [str(tmp_path / x) for x in ("in", "table", "checkpoint")]
+
+    def run():
+        arrivals.keep_images(arrivals.arriving(spark, folders[0]), *folders[1:]).awaitTermination(60)
+        return spark.read.parquet(folders[1])
+
+    (tmp_path / "in" / "a.webp").write_bytes(riff(chunk(b"VP8L", payload(W, H, PICTURE))))
+    assert [r.source_width for r in run().collect()] == [W]
+    (tmp_path / "in" / "b.WEBP").write_bytes(b"RIFFnot an image")
+    (tmp_path / "in" / "c.txt").write_bytes(b"")
+    assert sorted(r._corrupt is None for r in run().collect()) == [False, True]  # the first file isn't read again
+    totals = arrivals.totals_by_window(arrivals.arriving(spark, folders[0]), "1 day")
+    totals.writeStream.format("memory").queryName("totals").outputMode("complete").trigger(availableNow=True).start().awaitTermination(60)
+    assert spark.table("totals").selectExpr("sum(files)", "sum(malformed)", "sum(frames)").first()[:] == (2, 1, 1)
 
 
 def test_a_header_of_a_huge_canvas_is_an_error_not_an_allocation(spark):

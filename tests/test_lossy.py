@@ -177,3 +177,9 @@ def test_reader_of_lossy_files_with_alpha(spark, tmp_path):
     assert row._corrupt is None and row.argb == want.ravel().view("int32").tolist()
     (row,) = images.frames(raw).collect()
     assert "tables" in row._corrupt
+    spark.conf.set(images.LOSSY_TABLES, str(tmp_path / "tables.txt"))
+    try:
+        (row,) = images.frames(raw).collect()
+    finally:
+        spark.conf.unset(images.LOSSY_TABLES)
+    assert row.argb == want.ravel().view("int32").tolist()
