@@ -69,6 +69,7 @@ class Code:
         if not used:
             raise ImageError("a prefix code without symbols")
         if self.only is not None:
+            self.bits, self.table = 0, [(self.only, 0)]
             return
         if sum(1 << (15 - lengths[s]) for s in used) != 1 << 15:
             raise ImageError("a prefix code that isn't complete")
@@ -150,32 +151,71 @@ def _pixels(bits: Bits, width: int, height: int, top: bool) -> list[int]:
         groups = max(blocks) + 1
     sizes = (280 + len(cache), 256, 256, 256, 40)
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
+    out = _entropy_coded(bits, [[(c.table, (1 << c.bits) - 1) for c in g] for g in codes], width, width * height, cache, cache_bits, blocks, block, per_row)
+    bits.skip(0)
+    return out
+
+
+def _entropy_coded(bits: Bits, codes: list, width: int, total: int, cache: list[int], cache_bits: int, blocks: list[int], block: int, per_row: int) -> list[int]:
+    """The pixels themselves. The bit buffer lives in local names here: this loop is most of the time that a
+    lossless image takes."""
+    data, pos, have, count = bits.data, bits.at, bits.have, bits.count
     out: list[int] = []
-    total, entered = width * height, 0
-    while len(out) < total:
-        at = len(out)
-        group = codes[blocks[(at // width >> block) * per_row + (at % width >> block)] if block else 0]
-        s = group[0].read(bits)
+    n, entered = 0, 0
+    group, change = codes[blocks[0]], total if not block else 0
+    (green, green_mask), (red, red_mask), (blue, blue_mask), (alpha, alpha_mask), (far_code, far_mask) = group
+    if not green_mask | red_mask | blue_mask | alpha_mask and not block and green[0][0] < 256:
+        return [alpha[0][0] << 24 | red[0][0] << 16 | green[0][0] << 8 | blue[0][0]] * total  # one pixel, no bits
+    while n < total:
+        if n >= change:
+            y, x = divmod(n, width)
+            (green, green_mask), (red, red_mask), (blue, blue_mask), (alpha, alpha_mask), (far_code, far_mask) = codes[blocks[(y >> block) * per_row + (x >> block)]]
+            change = min(n - x + width, n + (1 << block) - (x & (1 << block) - 1))
+        if count < 64:
+            have |= int.from_bytes(data[pos : pos + 8], "little") << count
+            pos, count = pos + 8, count + 64
+        s, used = green[have & green_mask]
+        have >>= used
+        count -= used
         if s < 256:
-            red, blue, alpha = group[1].read(bits), group[2].read(bits), group[3].read(bits)
-            out.append(alpha << 24 | red << 16 | s << 8 | blue)
+            r, used = red[have & red_mask]
+            have >>= used
+            count -= used
+            b, used = blue[have & blue_mask]
+            have >>= used
+            count -= used
+            a, used = alpha[have & alpha_mask]
+            have >>= used
+            count -= used
+            out.append(a << 24 | r << 16 | s << 8 | b)
+            n += 1
         elif s < 280:
+            bits.have, bits.count, bits.at = have, count, pos
             length = _extended(bits, s - 256)
-            far = _extended(bits, group[4].read(bits))
+            s, used = far_code[bits.peek(15) & far_mask]
+            bits.skip(used)
+            far = _extended(bits, s)
+            have, count, pos = bits.have, bits.count, bits.at
             if far > 120:
                 far -= 120
             else:
                 dx, dy = NEAR[far - 1]
                 far = max(1, dx + dy * width)
-            if far > at or at + length > total:
+            if far > n or n + length > total:
                 raise ImageError("a copy from outside the image")
-            for _ in range(length):
-                out.append(out[-far])
+            start = n - far
+            if far >= length:
+                out += out[start : start + length]
+            else:
+                out += (out[start:] * (length // far + 1))[:length]
+            n += length
         else:
             for p in out[entered:]:
                 cache[(0x1E35A7BD * p & 0xFFFFFFFF) >> (32 - cache_bits)] = p
-            entered = at
+            entered = n
             out.append(cache[s - 280])
+            n += 1
+    bits.have, bits.count, bits.at = have, count, pos
     return out
 
 
