@@ -32,6 +32,8 @@ HEADER = (
 ENCODED = "x int, y int, width int, height int, duration_ms int, blend boolean, dispose boolean, lossless boolean, alpha binary, payload binary"
 #: Pixels of all frames of a strip that is composed in one task.
 STRIP_PIXELS = 1 << 22
+#: Pixels that a task decodes before it hands them on, or a single frame of more.
+DECODED_PIXELS = 1 << 21
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -169,16 +171,17 @@ def _int_lists(arrays: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, mask=np.array(null.to_numpy(zero_copy_only=False), bool)), pa.array(values))
 
 
-def decode(encoded: DataFrame, lossy: vp8.Tables | None = None) -> DataFrame:
+def decode(encoded: DataFrame, lossy: vp8.Tables | None = None, deal: bool = False) -> DataFrame:
     """Encoded frames with their pixels (argb, at the frame's own size) instead of payload and alpha; a frame
-    that can't be decoded has _corrupt."""
+    that can't be decoded has _corrupt. deal: shuffle the encoded frames first, so that many frames of one file
+    aren't decoded by one task."""
     names = [x.split()[0] for x in PLACED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            first, pictures, errors, held = 0, [], [], 0
             for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                r = {n: row.column(n)[0].as_py() for n in ("width", "height", "lossless", "alpha", "payload", "_corrupt")}
+                r = {n: batch.column(n)[i].as_py() for n in ("width", "height", "lossless", "alpha", "payload", "_corrupt")}
                 picture, error = None, r["_corrupt"]
                 if error is None:
                     try:
@@ -186,11 +189,16 @@ def decode(encoded: DataFrame, lossy: vp8.Tables | None = None) -> DataFrame:
                         picture = compose.decode_frame(f, lossy)
                     except (ValueError, IndexError, MemoryError) as e:
                         error = str(e) or type(e).__name__
-                own = {"argb": _int_lists([picture]), "_corrupt": pa.array([error], pa.string())}
-                yield pa.RecordBatch.from_arrays([own.get(n, row.column(n) if n in row.schema.names else None) for n in names], names)
+                pictures.append(picture)
+                errors.append(error)
+                held += 0 if picture is None else picture.size
+                if held >= DECODED_PIXELS or i == batch.num_rows - 1:
+                    rows = batch.slice(first, i + 1 - first)
+                    own = {"argb": _int_lists(pictures), "_corrupt": pa.array(errors, pa.string())}
+                    yield pa.RecordBatch.from_arrays([own[n] if n in own else rows.column(n) for n in names], names)
+                    first, pictures, errors, held = i + 1, [], [], 0
 
-    spread = encoded.repartition("image_id", "frame_no")
-    return spread.mapInArrow(run, PLACED)
+    return (encoded.repartition("image_id", "frame_no") if deal else encoded).mapInArrow(run, PLACED)
 
 
 def _fold(group: pa.Table) -> pa.Table:
@@ -198,10 +206,11 @@ def _fold(group: pa.Table) -> pa.Table:
     first = group.column("strip")[0].as_py() * group.column("rows")[0].as_py()
     width, height, rows = (group.column(c)[0].as_py() for c in ("source_width", "source_height", "rows"))
     canvas = np.zeros((min(rows, height - first), width), np.uint32)
-    before, numbers, strips, errors = None, [], [], []
+    before, numbers, times, strips, errors = None, [], [], [], []
     for i in np.argsort(group.column("frame_no").to_numpy(), kind="stable").tolist():
-        f = SimpleNamespace(**{c: group.column(c)[i].as_py() for c in ("x", "y", "width", "height", "blend", "dispose", "frame_no", "_corrupt")})
+        f = SimpleNamespace(**{c: group.column(c)[i].as_py() for c in ("x", "y", "width", "height", "blend", "dispose", "frame_no", "duration_ms", "_corrupt")})
         numbers.append(f.frame_no)
+        times.append(f.duration_ms)
         errors.append(f._corrupt)
         if f._corrupt is not None:
             strips.append(None)
@@ -212,12 +221,13 @@ def _fold(group: pa.Table) -> pa.Table:
         strips.append(canvas.copy())
     n = len(numbers)
     keep = [group.column(c).slice(0, 1).combine_chunks().take(pa.array([0] * n)) for c in ("image_id", "strip", "source_width", "source_height")]
-    keep += [pa.array(numbers, pa.int32()), _int_lists(strips), pa.array(errors, pa.string())]
-    return pa.Table.from_arrays(keep, ["image_id", "strip", "source_width", "source_height", "frame_no", "argb", "_corrupt"])
+    keep += [pa.array(numbers, pa.int32()), pa.array(times, pa.int32()), _int_lists(strips), pa.array(errors, pa.string())]
+    return pa.Table.from_arrays(keep, ["image_id", "strip", "source_width", "source_height", "frame_no", "duration_ms", "argb", "_corrupt"])
 
 
 def compose_frames(placed: DataFrame, strip_pixels: int = STRIP_PIXELS) -> DataFrame:
-    """(image_id, frame_no, source_width, source_height, argb, _corrupt): decoded frames of animations as shown.
+    """(image_id, frame_no, duration_ms, source_width, source_height, argb, _corrupt): decoded frames of animations as
+    shown.
 
     A canvas is cut into strips of rows, so that a strip has at most about strip_pixels in all its frames, and
     a strip is composed in one task. A frame that is corrupt is the last of its image."""
@@ -226,11 +236,11 @@ def compose_frames(placed: DataFrame, strip_pixels: int = STRIP_PIXELS) -> DataF
     top, bottom = F.greatest("y", F.col("strip") * F.col("rows")), F.least(F.col("y") + F.col("height"), (F.col("strip") + 1) * F.col("rows"))
     part = F.when(bottom > top, F.slice("argb", (top - F.col("y")) * F.col("width") + 1, F.greatest(bottom - top, F.lit(0)) * F.col("width")))
     part = F.coalesce(part, F.expr("cast(array() as array<int>)"))
-    cut = cut.select("image_id", "frame_no", "source_width", "source_height", "x", "y", "width", "height", "blend", "dispose", "_corrupt", "rows", "strip", part.alias("part"))
-    schema = "image_id string, strip int, source_width int, source_height int, frame_no int, argb array<int>, _corrupt string"
+    cut = cut.select("image_id", "frame_no", "source_width", "source_height", "x", "y", "width", "height", "blend", "dispose", "duration_ms", "_corrupt", "rows", "strip", part.alias("part"))
+    schema = "image_id string, strip int, source_width int, source_height int, frame_no int, duration_ms int, argb array<int>, _corrupt string"
     strips = cut.groupBy("image_id", "strip").applyInArrow(_fold, schema)
     whole = strips.groupBy("image_id", "frame_no").agg(
-        F.first("source_width").alias("source_width"), F.first("source_height").alias("source_height"),
+        *[F.first(c).alias(c) for c in ("source_width", "source_height", "duration_ms")],
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("strip", "argb"))), lambda s: s["argb"])).alias("argb"), F.max("_corrupt").alias("_corrupt"),
     )
     return whole.withColumn("argb", F.when(F.col("_corrupt").isNull(), F.col("argb")))
@@ -276,9 +286,8 @@ def frames(raw: DataFrame, width: float = 0, height: float = 0, preserve_ratio:
     moving = F.coalesce("animated", F.lit(False))
     columns = ["image_id", "frame_no", "source_width", "source_height", "width", "height", "duration_ms", "argb", "_corrupt"]
     stills = decode(encoded.where(~moving), lossy).select(*columns)
-    placed = decode(encoded.where(moving), lossy)
-    times = encoded.where(moving).select("image_id", "frame_no", "duration_ms")
-    moved = compose_frames(placed).join(times, ["image_id", "frame_no"]).withColumns({"width": F.col("source_width"), "height": F.col("source_height")})
+    moved = compose_frames(decode(encoded.where(moving), lossy, deal=True))
+    moved = moved.withColumns({"width": F.col("source_width"), "height": F.col("source_height")})
     out = resize(stills.union(moved.select(*columns)), width, height, preserve_ratio, smooth).drop("source_width", "source_height")
     bad = F.col("_corrupt").isNotNull()
     out = out.withColumns({c: F.when(~bad, F.col(c)) for c in ("width", "height", "duration_ms", "argb")})
