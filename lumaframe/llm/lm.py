@@ -26,12 +26,12 @@ from pyspark.sql import functions as F
 from .common import ASCII_LOWER, crc_mod, staged, table
 
 TOP = 200_000  #: words broadcast with their counts, at most
-LEAST_KEPT, MOST_KEPT = 1000, 100_000  #: bounds of the number of words with vectors of their own
+LEAST_KEPT, MOST_KEPT = 2000, 100_000  #: bounds of the number of words with vectors of their own
 OWN = 63  #: words that are a class of their own, beside the end
 HASHED = 256  #: context vectors that the other words share by hash
 DIM, ORDER = 12, 3  #: size of a vector; words of context
-NOISE, INNER = 32, 4  #: noise classes of a step, shared by its positions; noise words of a position
-RATE, CHUNK, HELD = 0.15, 2048, 65_536
+NOISE, INNER = 32, 2  #: noise classes of a step, shared by its positions; noise words of a position
+RATE, CHUNK, HELD = 0.15, 4096, 65_536
 END = b" "  #: no word holds a space
 
 
@@ -136,8 +136,8 @@ class Vocabulary:
 
 
 def kept_words(total: int) -> int:
-    """Words with vectors of their own: the square root of the training tokens, within bounds."""
-    return int(min(max(total**0.5, LEAST_KEPT), MOST_KEPT))
+    """Words with vectors of their own: half the square root of the training tokens, within bounds."""
+    return int(min(max(0.5 * total**0.5, LEAST_KEPT), MOST_KEPT))
 
 
 def group_count(kept: int) -> int:
@@ -189,14 +189,19 @@ class Learner:
         self.squares, self.used = np.zeros_like(self.p), np.zeros(vocab.rows, np.int64)
 
     def _change(self, rows: np.ndarray, gradients: np.ndarray) -> None:
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows)
         rows = rows[order]
-        first = np.flatnonzero(np.r_[True, np.diff(rows) > 0])
+        first = np.concatenate(([0], np.flatnonzero(rows[1:] != rows[:-1]) + 1))
         g, at = np.add.reduceat(gradients[order], first, axis=0), rows[first]
-        self.used[at] += np.diff(np.r_[first, len(rows)])
-        s = self.squares[at] + g * g
+        self.used[at] += np.diff(first, append=len(rows))
+        s = self.squares[at]
+        s += g * g
         self.squares[at] = s
-        self.p[at] -= RATE * g / np.sqrt(s + 1.0)
+        s += 1
+        np.sqrt(s, out=s)
+        g *= RATE
+        g /= s
+        self.p[at] -= g
 
     def step(self, context: np.ndarray, cls: np.ndarray, out: np.ndarray) -> None:
         """One step of noise-contrastive estimation. Noise classes go by their share and serve all positions;
@@ -276,36 +281,33 @@ def train(coded: DataFrame, vocab_blob, seed: int = 42) -> np.ndarray:
     return p
 
 
-def _log_normaliser(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(1)
-    logits -= top[:, None]
-    np.exp(logits, out=logits)
-    return top + np.log(logits.sum(1))
+def _log_softmax(hidden: np.ndarray, words: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Natural log of the softmax over all rows of `words`, at the chosen ones; in blocks that fit a core's cache."""
+    out, turned = np.empty(len(chosen), np.float32), np.ascontiguousarray(words.T)
+    size = np.sqrt((hidden * hidden).sum(1).max(initial=0) * (words * words).sum(1).max(initial=0))
+    block = max(64, 200_000 // max(1, len(words)))
+    for at in range(0, len(chosen), block):
+        logits = hidden[at : at + block] @ turned
+        if size > 60:  # else no exponential can overflow
+            logits -= logits.max(1, keepdims=True)
+        named = logits[np.arange(len(logits)), chosen[at : at + block]]
+        np.exp(logits, out=logits)
+        out[at : at + block] = named - np.log(logits.sum(1))
+    return out
 
 
 def log_words(p: np.ndarray, vocab: Vocabulary, context: np.ndarray, cls: np.ndarray, out: np.ndarray) -> np.ndarray:
     """log10 P(class | context) P(word | class, context), both normalised; a word that isn't kept counts as its
     group's rest."""
-    total = np.empty(len(cls))
-    hidden = np.empty((len(cls), DIM + 1), np.float32)
-    classes = np.ascontiguousarray(p[vocab.q : vocab.w].T)
-    for at in range(0, len(cls), 4096):
-        h = hidden_of(p, context[at : at + 4096])
-        hidden[at : at + 4096] = h
-        logits = h @ classes
-        chosen = logits[np.arange(len(h)), cls[at : at + 4096]]
-        total[at : at + 4096] = chosen - _log_normaliser(logits)
+    hidden = hidden_of(p, context)
+    total = _log_softmax(hidden, p[vocab.q : vocab.w], cls).astype(np.float64)
     inside = np.flatnonzero(out >= 0)
     order = inside[np.argsort(cls[inside], kind="stable")]
     group = cls[order] - vocab.own - 1
     ends = np.searchsorted(group, np.arange(vocab.groups + 1))
-    for g in np.unique(group).tolist():
-        words = p[vocab.w + vocab.first[g] : vocab.w + vocab.first[g + 1]].T
-        for at in range(ends[g], ends[g + 1], 4096):
-            own = order[at : min(at + 4096, ends[g + 1])]
-            logits = hidden[own] @ words
-            chosen = logits[np.arange(len(own)), out[own] - vocab.first[g]]
-            total[own] += chosen - _log_normaliser(logits)
+    for g in np.flatnonzero(np.diff(ends)).tolist():
+        own = order[ends[g] : ends[g + 1]]
+        total[own] += _log_softmax(hidden[own], p[vocab.w + vocab.first[g] : vocab.w + vocab.first[g + 1]], out[own] - vocab.first[g])
     return total / np.log(10)
 
 
