@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +36,16 @@ RATE, CHUNK, HELD = 0.15, 4096, 65_536
 END = b" "  #: no word holds a space
 
 
+def short(word: bytes) -> bytes:
+    """The word, or a 128-bit hash after a space if it has over 24 bytes."""
+    return word if len(word) <= 24 else b" " + xxhash.xxh3_128_digest(word)
+
+
 def keys(text: bytes | None) -> list[bytes]:
-    """Words and the end; words of over 24 bytes by a 128-bit hash after a space."""
+    """Words, long ones by their hash, and the end."""
     w = (text or b"").translate(ASCII_LOWER).split()
-    if len(text or b"") > 24 * (len(w) + 1) or max(map(len, w), default=0) > 24:
-        w = [x if len(x) <= 24 else b" " + xxhash.xxh3_128_digest(x) for x in w]
+    if max(map(len, w), default=0) > 24:
+        w = [short(x) for x in w]
     w.append(END)
     return w
 
@@ -145,14 +151,17 @@ def group_count(kept: int) -> int:
 
 
 def encode(vocab: Vocabulary, text: bytes | None) -> tuple[np.ndarray, list[bytes]]:
-    """Codes of the words and the end, and the words that aren't broadcast."""
-    w = keys(text)
+    """Codes of the words and the end, and the keys of words that aren't broadcast."""
+    w = (text or b"").translate(ASCII_LOWER).split()
+    w.append(END)
     get = vocab.index.get
-    code, rare = np.fromiter((get(x, -1) for x in w), np.int32, len(w)), []
+    code, rare = np.fromiter(map(get, w, repeat(-1)), np.int32, len(w)), []
     for at in np.flatnonzero(code < 0).tolist():
-        x = w[at]
-        rare.append(x)
-        code[at] = -1 - (vocab.hashed * (zlib.crc32(x[:3]) % vocab.groups) + zlib.crc32(x) % vocab.hashed)
+        x = short(w[at])
+        code[at] = get(x, -1)
+        if code[at] < 0:
+            rare.append(x)
+            code[at] = -1 - (vocab.hashed * (zlib.crc32(x[:3]) % vocab.groups) + zlib.crc32(x) % vocab.hashed)
     return code, rare
 
 
