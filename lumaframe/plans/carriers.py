@@ -73,4 +73,5 @@ def encoded(rows: DataFrame, write) -> DataFrame:
     def of(ids: pa.Array, argb: pa.Array) -> pa.Array:
         return pa.array([write(i, p) for i, p in zip(ids.to_pylist(), argb.to_pylist(), strict=True)], pa.binary())
 
-    return rows.select(F.col("vec_id").cast("string").alias("image_id"), of("vec_id", "argb").alias("content"))
+    dealt = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "vec_id")  # small tables have one part
+    return dealt.select(F.col("vec_id").cast("string").alias("image_id"), of("vec_id", "argb").alias("content"))
