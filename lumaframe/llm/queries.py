@@ -1,4 +1,4 @@
-"""The ten operators as queries, and the SQL of those that SQL can express."""
+"""The operators as queries, and the SQL of those that SQL can express."""
 
 from .chat import OP4_SQL, op4_chat
 from .decontaminate import OP1_SQL, op1_decontaminate
@@ -8,6 +8,7 @@ from .packing import op10_pack
 from .pii import OP6_SQL, op6_pii
 from .simhash import op5_simhash
 from .substrings import op9_substrings
+from .tokencount import op11_tokens
 from .topk import OP8_SQL, op8_topk
 from .warc import OP2_SQL, op2_warc
 
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_substrings": op9_substrings,
     "op10_pack": op10_pack,
+    "op11_tokens": op11_tokens,
 }
 SQL = {
     "op1_decontaminate": OP1_SQL,
