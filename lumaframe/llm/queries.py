@@ -1,5 +1,6 @@
 """The operators as queries, and the SQL of those that SQL can express."""
 
+from .centroids import OP12_SQL, op12_clusters
 from .chat import OP4_SQL, op4_chat
 from .decontaminate import OP1_SQL, op1_decontaminate
 from .langid import op3_langid
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_substrings": op9_substrings,
     "op10_pack": op10_pack,
     "op11_tokens": op11_tokens,
+    "op12_clusters": op12_clusters,
 }
 SQL = {
     "op1_decontaminate": OP1_SQL,
@@ -31,4 +33,5 @@ SQL = {
     "op4_chat": OP4_SQL,
     "op6_pii": OP6_SQL,
     "op8_topk": OP8_SQL,
+    "op12_clusters": OP12_SQL,
 }
