@@ -6,6 +6,7 @@ from .decontaminate import OP1_SQL, op1_decontaminate
 from .langid import op3_langid
 from .lm import op7_lm
 from .packing import op10_pack
+from .phrases import OP13_SQL, op13_phrases
 from .pii import OP6_SQL, op6_pii
 from .simhash import op5_simhash
 from .substrings import op9_substrings
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_pack": op10_pack,
     "op11_tokens": op11_tokens,
     "op12_clusters": op12_clusters,
+    "op13_phrases": op13_phrases,
 }
 SQL = {
     "op1_decontaminate": OP1_SQL,
@@ -34,4 +36,5 @@ SQL = {
     "op6_pii": OP6_SQL,
     "op8_topk": OP8_SQL,
     "op12_clusters": OP12_SQL,
+    "op13_phrases": OP13_SQL,
 }
