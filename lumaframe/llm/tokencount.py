@@ -99,7 +99,7 @@ def frequent(docs: DataFrame) -> list[str]:
     """Up to KEEP frequent pre-tokens of all texts, most frequent first."""
     kind = "words array<string>, counts array<bigint>"
     parts = docs.select("text").where("text is not null").mapInArrow(_summarise, kind)
-    merged = parts.repartition(FAN).mapInArrow(_merge, kind).coalesce(1).mapInArrow(_merge, kind).collect()
+    merged = parts.repartition(FAN).mapInArrow(_merge, kind).repartition(1).mapInArrow(_merge, kind).collect()
     counts = Counter({w: n for r in merged for w, n in zip(r.words, r.counts, strict=True)})
     return sorted(counts, key=lambda w: (-counts[w], w))
 
