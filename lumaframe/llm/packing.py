@@ -28,13 +28,22 @@ CUT = re.compile(r" (?=\S)")
 UNEVEN = re.compile(r" (?:\s|\Z)")
 #: Characters of which both libraries surely know the same class.
 PLAIN = re.compile(r"[\x00-ɏ]*")
+#: A run of white space that tiktoken's pattern may not survive: it looks back from the run's end, on the stack.
+LONG_RUN = 20_000
+RUN = re.compile(rf"\s{{{LONG_RUN}}}")
+
+
+def quick(text: str) -> bool:
+    """May the text go through tiktoken?"""
+    return bool(PLAIN.fullmatch(text)) and not (len(text) >= LONG_RUN and RUN.search(text))
 
 
 class Words:
     """Token ids as bytes. A plain text goes through tiktoken (the same vocabulary, less than half the time). Of
     any other text, words go through a cache and then one by one through tiktoken or tokenizers: words are those
     of the vocabulary's own pattern or runs of them, so joining their ids gives the ids of the whole text. A text
-    that holds a special token's string goes through tokenizers as a whole, which gives that token's id."""
+    that holds a special token's string goes through tokenizers as a whole, which gives that token's id; so do very
+    long runs of white space."""
 
     def __init__(self, tokenizer: str, ranks: str, pattern: str):
         import base64
@@ -51,7 +60,7 @@ class Words:
         self.old: dict[str, bytes] = {}
 
     def _ids(self, word: str) -> bytes:
-        if PLAIN.fullmatch(word):
+        if quick(word):
             found = self.quick.encode_ordinary(word)
         else:
             found = self.full.encode(word, add_special_tokens=False).ids
@@ -71,7 +80,7 @@ class Words:
         """The ids as unsigned little-endian 32-bit numbers."""
         if any(x in text for x in self.special):
             return np.asarray(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if PLAIN.fullmatch(text):
+        if quick(text):
             return np.array(self.quick.encode_ordinary(text), dtype="<u4").tobytes()
         first, *rest = CUT.split(text) if UNEVEN.search(text) else text.split(" ")
         out = list(map(self.young.get, rest))
