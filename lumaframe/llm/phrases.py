@@ -1,14 +1,14 @@
 """Phrases whose words stand together more often than chance would have it, mined by hashing and pruning.
 
-Pass k counts the phrases of k words exactly, and hashes those of k + 1 words into buckets that are only counted. Buckets
-that reach the threshold become a bitmap; so do the hashes of the phrases of k words that reach it. Pass k + 1 counts a
-phrase only if its bucket is set and both its phrases of k words may be frequent. Both bitmaps have a fixed bound
-and only ever let too much through: counts are of whole phrases, compared as strings, so nothing hangs on a hash.
+Texts are first turned into blocks of word numbers, each with its own dictionary. Pass k counts a block's phrases of k
+words exactly, and hashes those of k + 1 words into buckets that are only counted. Buckets that reach the threshold
+become a bitmap; so do the hashes of the phrases of k words that reach it. Pass k + 1 counts a phrase only if its bucket is
+set and both its phrases of k words may be frequent. Both bitmaps have a fixed bound and only ever let too much
+through: counts are of whole phrases, compared as strings, so nothing hangs on a hash.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,35 +17,37 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, staged, table
+from .common import forget, new_path, staged, table
 
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: Lower-case A-Z; every separator becomes a full stop, which no word holds.
 CLEAN = bytes(46 if b in SEPARATORS else b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Words of a block, within which equal phrases are counted before anything leaves the task; bytes of a slice of a text.
+#: Words that a task holds before it hands on its blocks; bytes of a slice of a text.
 BLOCK, SLICE = 2_000_000, 1 << 22
-#: Words of which a task keeps a number and a hash.
+#: Words of which a task keeps a number.
 KNOWN_WORDS = 1_000_000
-#: Bits of a bitmap, as a power of two: at most 32 MB.
-LEAST_BITS, MOST_BITS = 16, 28
+#: Bits of a bitmap, as a power of two: at most 32 MB. Buckets of a range, that are counted together.
+LEAST_BITS, MOST_BITS, RANGE = 16, 28, 1 << 16
+#: Ranges that a task counts on average.
+RANGES = 64
 #: A part that very many phrases begin or end with is dealt over so many keys.
 SALTS = 8
 TOTAL, PHRASE, BUCKET = 0, 1, 2
-COUNTS = "kind int, lang string, phrase string, h bigint, n bigint"
+BLOCKS = "lang string, ids binary, words binary"
+COUNTS = "kind int, lang string, phrase string, h bigint, n bigint, counts binary"
 ODD, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
 class Numbers(dict):
-    """Words to numbers from 1; the full stop is 0. hashes: of the words, by number."""
+    """Words to numbers from 1; the full stop is 0."""
 
     def __init__(self):
         super().__init__({b".": 0})
-        self.words, self.hashes = [b"."], [0]
+        self.words = [b"."]
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self.words)
         self.words.append(word)
-        self.hashes.append(xxhash.xxh64_intdigest(word, 42))
         return n
 
 
@@ -94,63 +96,107 @@ def may_be_frequent(ids: np.ndarray, hashes: np.ndarray, k: int, salt: int, bitm
 
 
 def counted(ids: np.ndarray, places: np.ndarray, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(a place, how often) of each phrase of k words that begins at some of the places. Equal hashes are confirmed."""
-    _, first, same, n = np.unique(h[places], return_index=True, return_inverse=True, return_counts=True)
-    for j in range(k):
-        own = ids[places + j]
-        if (own != own[first][same]).any():
-            grams = np.stack([ids[places + i] for i in range(k)], 1)
-            _, first, n = np.unique(grams, axis=0, return_index=True, return_counts=True)
-            break
-    return places[first], n
-
-
-def _pass(k: int, longest: int, bits: int, bitmaps):
-    """Rows (lang, text) to the counts of a task's blocks: phrases of k words, buckets of k + 1, words in pass 1."""
-
-    def block(lang: str, parts: list[np.ndarray], numbers: Numbers, hashes: np.ndarray) -> pa.RecordBatch:
-        ids = np.concatenate(parts)
-        salt, own = xxhash.xxh64_intdigest(lang, 42), hashes[ids]
-        maps = bitmaps.value if bitmaps else None
-        good = may_be_frequent(ids, own, k, salt, maps) if len(ids) >= k else np.zeros(0, bool)
-        rolls = rolled(own, k, salt) if len(ids) >= k else own[:0]
+    """(a place, how often) of each phrase of k words that begins at some of the places. Equal hashes are confirmed
+    word by word."""
+    order = np.argsort(h[places])
+    places = places[order]
+    same = np.diff(h[places]) == 0
+    if any((same & (ids[places[1:] + j] != ids[places[:-1] + j])).any() for j in range(k)):
+        grams = np.stack([ids[places + j] for j in range(k)], 1)
+        _, first, n = np.unique(grams, axis=0, return_index=True, return_counts=True)
+        return places[first], n
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(places)), bool), ~same]))
+    return places[first], np.diff(np.append(first, len(places)))
+
+
+def _blocks(batches):
+    """Rows (lang, text) to blocks of one lang: word numbers, 0 after each piece, and the words from 1 on."""
+
+    def out(waiting: dict[str, list], numbers: Numbers) -> pa.RecordBatch:
+        ids, words = [], []
+        for parts in waiting.values():
+            used, own = np.unique(np.concatenate(parts), return_inverse=True)  # 0 is always used and stays 0
+            ids.append(own.astype("<i4").tobytes())
+            words.append(b".".join([numbers.words[i] for i in used[1:].tolist()]))
+        return pa.RecordBatch.from_arrays([pa.array(list(waiting), pa.string()), pa.array(ids, pa.binary()), pa.array(words, pa.binary())], ["lang", "ids", "words"])
+
+    numbers, waiting, held = Numbers(), {}, 0
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for part in numbered(text, numbers):
+                waiting.setdefault(lang, []).append(part)
+                held += len(part)
+                if held >= BLOCK:
+                    yield out(waiting, numbers)
+                    waiting, held = {}, 0
+                    numbers = numbers if len(numbers) < KNOWN_WORDS else Numbers()
+    yield out(waiting, numbers)
+
+
+def _pass(k: int, least: int, longest: int, bits: int, bitmaps):
+    """Blocks to their counts: phrases of k words, buckets of those of k + 1, and in pass 1 all words. The counts of a
+    range of buckets are one row; a count above `least` says no more than `least`."""
+    wide = "<u1" if least < 256 else "<u8"
+
+    def block(lang: str, ids: np.ndarray, words: list[bytes]) -> pa.RecordBatch:
+        salt, own = xxhash.xxh64_intdigest(lang, 42), np.array([0, *(xxhash.xxh64_intdigest(w, 42) for w in words)], np.uint64)[ids]
+        enough = len(ids) >= k
+        good = may_be_frequent(ids, own, k, salt, bitmaps.value if bitmaps else None) if enough else np.zeros(0, bool)
+        rolls = rolled(own, k, salt) if enough else own[:0]
         at, n = counted(ids, np.flatnonzero(good), rolls, k)
-        words = numbers.words
-        phrases = [b" ".join([words[i] for i in gram]) for gram in np.stack([ids[at + j] for j in range(k)], 1).tolist()]
-        kinds, h, n = [np.full(len(at), PHRASE)], [rolls[at].astype(np.int64)], [n]
+        phrases = [b" ".join([words[i - 1] for i in gram]) for gram in np.stack([ids[at + j] for j in range(k)], 1).tolist()]
+        rows = [(PHRASE, lang, p, h, c, None) for p, h, c in zip(phrases, rolls[at].astype(np.int64).tolist(), n.tolist(), strict=True)]
         if k < longest and len(good) > 1:
             longer = np.flatnonzero(good[:-1] & good[1:])
             bucket, times = np.unique(rolled(own, k + 1, salt)[longer] & np.uint64((1 << bits) - 1), return_counts=True)
-            kinds, h, n = [*kinds, np.full(len(bucket), BUCKET)], [*h, bucket.astype(np.int64)], [*n, times]
+            part, first = np.unique(bucket // np.uint64(RANGE), return_index=True)
+            places, times = (bucket % np.uint64(RANGE)).astype("<u2"), np.minimum(times, least).astype(wide)
+            for r, a, b in zip(part.tolist(), first.tolist(), np.append(first, len(bucket))[1:].tolist(), strict=True):
+                rows.append((BUCKET, None, None, r, b - a, places[a:b].tobytes() + times[a:b].tobytes()))
         if k == 1:
-            kinds, h, n = [*kinds, np.array([TOTAL])], [*h, np.zeros(1, np.int64)], [*n, np.array([good.sum()])]
-        kinds = np.concatenate(kinds)
-        rest = pa.nulls(len(kinds) - len(at), pa.string())
-        of_lang = pa.array(np.full(len(kinds), lang, object), pa.string(), mask=kinds == BUCKET)
-        columns = [pa.array(kinds, pa.int32()), of_lang, pa.concat_arrays([pa.array(phrases, pa.binary()).cast(pa.string()), rest]), pa.array(np.concatenate(h)), pa.array(np.concatenate(n), pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, ["kind", "lang", "phrase", "h", "n"])
+            rows.append((TOTAL, lang, None, 0, int(good.sum()), None))
+        kind, of_lang, phrase, h, n, counts = zip(*rows, strict=True) if rows else [()] * 6
+        columns = [pa.array(kind, pa.int32()), pa.array(of_lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), pa.array(counts, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "lang", "phrase", "h", "n", "counts"])
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = batch.column("words")[i].as_py()
+                yield block(batch.column("lang")[i].as_py(), np.frombuffer(batch.column("ids")[i].as_py(), "<i4"), words.split(b".") if words else [])
+
+    return run
+
+
+def _frequent_buckets(least: int):
+    """Rows (h: a range, n, counts) to (h, bits): which buckets of a range are frequent. Rows are added as they come; a
+    task holds one number a bucket of its own ranges."""
+    wide = "<u1" if least < 256 else "<u8"
 
     def run(batches):
-        numbers, hashes, waiting, held = Numbers(), np.zeros(0, np.uint64), {}, 0
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                for part in numbered(text, numbers):
-                    waiting.setdefault(lang, []).append(part)
-                    held += len(part)
-                    if held >= BLOCK:
-                        hashes = np.array(numbers.hashes, np.uint64)
-                        for own, parts in waiting.items():
-                            yield block(own, parts, numbers, hashes)
-                        waiting, held = {}, 0
-                        numbers = numbers if len(numbers) < KNOWN_WORDS else Numbers()
-        hashes = np.array(numbers.hashes, np.uint64)
-        for own, parts in waiting.items():
-            yield block(own, parts, numbers, hashes)
+            for h, n, counts in zip(*(batch.column(c).to_pylist() for c in ("h", "n", "counts")), strict=True):
+                own = sums.setdefault(h, np.zeros(RANGE, "<u2" if least < 1 << 15 else "<u8"))
+                at = np.frombuffer(counts, "<u2", n)
+                own[at] = np.minimum(own[at] + np.frombuffer(counts, wide, n, 2 * n).astype(own.dtype), least)
+        found = {h: np.packbits(own >= least, bitorder="little").tobytes() for h, own in sums.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], ["h", "bits"])
 
     return run
 
 
-def bitmap(rows: DataFrame, bits: int) -> np.ndarray:
+def bucket_bitmap(rows: DataFrame, least: int, bits: int) -> np.ndarray:
+    """The bitmap of frequent buckets: at most 2**bits / 8 bytes come to the driver."""
+    ranges = max(1, (1 << bits) // RANGE)
+    found = rows.select("h", "n", "counts").repartition(-(-ranges // RANGES), "h").mapInArrow(_frequent_buckets(least), "h bigint, bits binary")
+    out = np.zeros(ranges * RANGE // 8, np.uint8)
+    for h, own in found.collect():
+        out[h * RANGE // 8 : (h + 1) * RANGE // 8] = np.frombuffer(own, np.uint8)
+    return out[: (1 << bits) // 8]
+
+
+def phrase_bitmap(rows: DataFrame, bits: int) -> np.ndarray:
     """Bits h of the rows set, modulo 2**bits. Words of 64 bits come to the driver: at most 2**bits / 64."""
     at = F.col("h").bitwiseAND((1 << bits) - 1)
     words = rows.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast((h & {(1 << bits) - 1}) % 64 as int))")).alias("b")).toArrow()
@@ -159,6 +205,13 @@ def bitmap(rows: DataFrame, bits: int) -> np.ndarray:
     return out.view(np.uint8)
 
 
+def _kept(df: DataFrame, label: str) -> DataFrame:
+    """Staged, more tightly packed than by default."""
+    path = new_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, bits: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Of each lang: (lang, n), n being all word occurrences, and (lang, k, phrase, f) of every phrase of 1 to
     `longest` words with f >= least, f being all its occurrences within pieces, overlaps included.
@@ -170,19 +223,22 @@ def frequent_phrases(docs: DataFrame, least: int = 100, longest: int = 5, bits:
     if bits is None:
         size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         bits = min(MOST_BITS, max(LEAST_BITS, (size // 64).bit_length()))
+    blocks = _kept(rows.mapInArrow(_blocks, BLOCKS), "blocks")
     maps, found, totals = None, [], None
     for k in range(1, longest + 1):
-        counts = rows.mapInArrow(_pass(k, longest, bits, maps), COUNTS).groupBy("kind", "lang", "phrase", "h").agg(F.sum("n").alias("n"))
-        kept = staged(counts.where((F.col("kind") == TOTAL) | (F.col("n") >= least)).select("kind", "lang", "phrase", "h", "n"), f"phrases{k}")
+        counts = _kept(blocks.mapInArrow(_pass(k, least, longest, bits, maps), COUNTS), "counts")
+        exact = counts.where(F.col("kind") < BUCKET).groupBy("kind", "lang", "phrase", "h").agg(F.sum("n").alias("n"))
+        kept = staged(exact.where((F.col("kind") == TOTAL) | (F.col("n") >= least)), f"phrases{k}")
         phrases = kept.where(F.col("kind") == PHRASE)
         found.append(phrases.select("lang", F.lit(k).alias("k"), "phrase", F.col("n").alias("f")))
         if k == 1:
             totals = kept.where(F.col("kind") == TOTAL).select("lang", "n")
-        if k < longest:
-            buckets = bitmap(kept.where(F.col("kind") == BUCKET), bits)
-            if not buckets.any():
-                break
-            maps = spark.sparkContext.broadcast((buckets, bitmap(phrases, bits)))
+        buckets = bucket_bitmap(counts.where(F.col("kind") == BUCKET), least, bits) if k < longest else np.zeros(0)
+        forget(counts)
+        if not buckets.any():
+            break
+        maps = spark.sparkContext.broadcast((buckets, phrase_bitmap(phrases, bits)))
+    forget(blocks)
     out = found[0]
     for more in found[1:]:
         out = out.union(more)

@@ -37,7 +37,7 @@ def texts():
     return [*rows, ("en", None), ("xx", ""), (None, " . \n"), ("en", "a a a a a a " * 40), ("en", "a" * 5000), ("und", "new york city"), *[("en", "New York, new york")] * 9]
 
 
-@pytest.mark.parametrize("bits, block", [(None, P.BLOCK), (6, 100), (8, 1)])
+@pytest.mark.parametrize("bits, block", [(None, P.BLOCK), (6, 100), (17, 1)])
 def test_like_plain_counting(spark, monkeypatch, bits, block):
     """Saturated bitmaps (64 bits) let more through and change nothing; nor do small blocks."""
     monkeypatch.setattr(P, "BLOCK", block)
