@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 from . import vp8, vp8l
@@ -46,16 +48,16 @@ def unfilter(d: np.ndarray, kind: int) -> np.ndarray:
     return (d & 255).astype(np.uint32)
 
 
-def decode_frame(f: Frame, tables: vp8.Tables | None = None) -> np.ndarray:
-    """tables: the probabilities that lossy payloads need."""
+def decode_frame(f: Frame, tables: vp8.Tables | None = None, fancy: bool = False) -> np.ndarray:
+    """tables: the probabilities that lossy payloads need; fancy: their chroma is made larger smoothly."""
     if f.lossless:
-        return vp8l.decode(f.payload, f.width, f.height)
+        return vp8l.decode(bytes(f.payload), f.width, f.height)
     if tables is None:
         raise ImageError("a lossy payload, and no probability tables given")
-    out = vp8.decode(f.payload, tables)
+    out = vp8.decode(bytes(f.payload), tables, fancy)
     if f.alpha is None:
         return out
-    return out & np.uint32(0xFFFFFF) | alpha_plane(f.alpha, f.width, f.height) << np.uint32(24)
+    return out & np.uint32(0xFFFFFF) | alpha_plane(bytes(f.alpha), f.width, f.height) << np.uint32(24)
 
 
 def blend(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
@@ -90,16 +92,44 @@ def paint(canvas: np.ndarray, size: tuple[int, int], first: int, f, before, pict
     return canvas
 
 
-def shown(image: Image, tables: vp8.Tables | None = None):
-    """Each frame as shown, decoded when it is asked for; one canvas is all that is held."""
-    if not image.animated:
-        yield from (decode_frame(f, tables) for f in image.frames)
-        return
-    canvas, before = np.zeros((image.height, image.width), np.uint32), None
+class Canvas:
+    """What an animation shows; holds one canvas and the frame that was added last."""
+
+    def __init__(self, width: int, height: int):
+        self.size, self.before, self.pixels = (width, height), None, np.zeros((height, width), np.uint32)
+
+    def add(self, f, picture: np.ndarray) -> np.ndarray:
+        """The canvas with frame f, of these pixels, on it; the next frame may write into the array."""
+        self.pixels = paint(self.pixels, self.size, 0, f, self.before, picture)
+        self.before = f
+        return self.pixels
+
+
+def shown(image: Image, tables: vp8.Tables | None = None, fancy: bool = False):
+    """(frame, pixels as shown or None, error or None), decoded when they are asked for. An animation ends with its
+    first corrupt frame; a still image's frames are each on their own."""
+    canvas = Canvas(image.width, image.height) if image.animated else None
     for f in image.frames:
-        canvas = paint(canvas, (image.width, image.height), 0, f, before, decode_frame(f, tables))
-        before = f
-        yield canvas.copy()
+        try:
+            picture = decode_frame(f, tables, fancy)
+            yield f, canvas.add(f, picture).copy() if canvas else picture, None
+        except (ValueError, IndexError, MemoryError) as e:
+            yield f, None, str(e) or type(e).__name__
+            if canvas:
+                return
+
+
+def target_size(width: int, height: int, want_width: float, want_height: float, preserve_ratio: bool) -> tuple[int, int]:
+    """Z1 for one image; a wanted size of 0 or less is unset."""
+    whole = lambda v: max(1, math.floor(v + 0.5))
+    by_w, by_h = want_width / width, want_height / height
+    if not preserve_ratio:
+        return whole(want_width) if want_width > 0 else width, whole(want_height) if want_height > 0 else height
+    if want_width > 0 and want_height > 0:
+        return whole(width * min(by_w, by_h)), whole(height * min(by_w, by_h))
+    if want_width > 0:
+        return whole(want_width), whole(height * by_w)
+    return (whole(width * by_h), whole(want_height)) if want_height > 0 else (width, height)
 
 
 def nearest(p: np.ndarray, width: int, height: int) -> np.ndarray:

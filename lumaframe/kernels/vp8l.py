@@ -159,7 +159,7 @@ def _pixels(bits: Bits, width: int, height: int, top: bool) -> list[int]:
 def _entropy_coded(bits: Bits, codes: list, width: int, total: int, cache: list[int], cache_bits: int, blocks: list[int], block: int, per_row: int) -> list[int]:
     """The pixels themselves. The bit buffer lives in local names here: this loop is most of the time that a
     lossless image takes."""
-    data, pos, have, count = bits.data, bits.at, bits.have, bits.count
+    data, pos, have, count, end = bits.data, bits.at, bits.have, bits.count, 8 * len(bits.data)
     out: list[int] = []
     n, entered = 0, 0
     group, change = codes[blocks[0]], total if not block else 0
@@ -172,6 +172,8 @@ def _entropy_coded(bits: Bits, codes: list, width: int, total: int, cache: list[
             (green, green_mask), (red, red_mask), (blue, blue_mask), (alpha, alpha_mask), (far_code, far_mask) = codes[blocks[(y >> block) * per_row + (x >> block)]]
             change = min(n - x + width, n + (1 << block) - (x & (1 << block) - 1))
         if count < 64:
+            if 8 * pos - count > end:
+                raise ImageError("the data ends early")
             have |= int.from_bytes(data[pos : pos + 8], "little") << count
             pos, count = pos + 8, count + 64
         s, used = green[have & green_mask]

@@ -14,6 +14,21 @@ def rollup(frames: DataFrame) -> DataFrame:
     )
 
 
+def segments(frames: DataFrame) -> DataFrame:
+    """frames with `segment`, the number of the nearest frame at or before each that needs no earlier one.
+
+    Such is the first; one that covers the canvas and isn't blended; one that covers it, or follows one that does, after
+    a frame that is cleared away. frames: image_id, frame_no, x, y, width, height, blend, dispose, source_width,
+    source_height; further columns stay. A window by image over its frames in order; an image is one file, which the
+    format bounds to 4 GB, and a window without look-ahead holds one row at a time."""
+    order = Window.partitionBy("image_id").orderBy("frame_no")
+    whole = (F.col("width") == F.col("source_width")) & (F.col("height") == F.col("source_height"))
+    cleared = F.lag("dispose").over(order) & (whole | F.lag(whole).over(order))
+    anew = F.lag("frame_no").over(order).isNull() | (whole & ~F.col("blend")) | cleared
+    rows = frames.withColumn("segment", F.when(anew, F.col("frame_no")))
+    return rows.withColumn("segment", F.last("segment", True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def _shown() -> Column:
     return F.greatest(F.lit(1), F.col("duration_ms"))
 

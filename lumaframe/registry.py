@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import pixels as px
 from lumaframe.operators import animation, prediction, scaling
-from lumaframe.plans import carriers, image_queries
+from lumaframe.plans import carriers, file_queries, image_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -155,8 +155,8 @@ _raster_queries()
 
 
 def queries() -> dict[str, Query]:
-    return _queries | image_queries.QUERIES
+    return _queries | image_queries.QUERIES | file_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql | image_queries.SQL
+    return _sql | image_queries.SQL | file_queries.SQL

@@ -1,8 +1,9 @@
 """Read image files as relations: chunks, images (headers and metadata), encoded frames, frames as shown, pixels.
 
-A small helper a row parses a container or decodes one frame; the rest is DataFrame work. Frames of one
-animation are decoded side by side, composed by strips of the canvas, each strip in the order of its frames,
-and scaled one by one. Batches that go to Python hold at most spark.sql.execution.arrow.maxBytesPerBatch.
+A small helper a row parses a container or decodes one frame; the rest is DataFrame work. A file is read once, by a
+task that shows its frames one by one. Long animations are composed by segments, each from a frame that needs no
+earlier one, or by strips of the canvas. Batches that go to Python hold at most
+spark.sql.execution.arrow.maxBytesPerBatch.
 
 mode: PERMISSIVE keeps a malformed file as a row with _corrupt, DROPMALFORMED leaves it out, FAILFAST raises.
 """
@@ -10,7 +11,7 @@ mode: PERMISSIVE keeps a malformed file as a row with _corrupt, DROPMALFORMED le
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import asdict
+from dataclasses import dataclass
 from types import SimpleNamespace
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql.types import BinaryType
 
 from lumaframe.functions import pixels as px
 from lumaframe.kernels import compose, container, vp8
-from lumaframe.operators import scaling
+from lumaframe.operators import animation, scaling
 
 #: Chunk types that are known; any other is UNKNOWN.
 CHUNK_TYPES = ("ALPH", "ANIM", "ANMF", "EXIF", "FRGM", "ICCP", "RIFF", "VP8 ", "VP8L", "VP8X", "XMP ")
@@ -111,18 +112,38 @@ def chunks(raw: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     return _checked(mode, rows.select("image_id", "seq", "c.fourcc", kind.alias("type"), F.col("c.size").cast("long").alias("size"), payload.alias("payload"), F.col("c.error").alias("_corrupt")))
 
 
+HEADER_KINDS = {
+    "source_width": pa.int32(), "source_height": pa.int32(), "has_alpha": pa.bool_(), "animated": pa.bool_(), "lossy": pa.bool_(), "loop_count": pa.int32(),
+    "loop_duration_ms": pa.int64(), "frame_count": pa.int32(), "background_hint": pa.binary(), "metadata": pa.struct({k: pa.binary() for k in ("icc", "exif", "xmp")}),
+}
+OF_IMAGE_KINDS = {"frame_no": pa.int32(), "source_width": pa.int32(), "source_height": pa.int32(), "animated": pa.bool_(), "frame_count": pa.int32()}
+FRAME_KINDS = {
+    "x": pa.int32(), "y": pa.int32(), "width": pa.int32(), "height": pa.int32(), "duration_ms": pa.int32(), "blend": pa.bool_(), "dispose": pa.bool_(),
+    "lossless": pa.bool_(), "alpha": pa.binary(), "payload": pa.binary(),
+}
+
+
+def _own_bytes(part: bytes | container.Part | None) -> bytes | None:
+    return None if part is None else bytes(part)
+
+
+def header(i: container.Image, with_metadata: bool = True) -> dict:
+    """The values of HEADER."""
+    meta = {k: _own_bytes(i.metadata.get(k)) if with_metadata else None for k in ("icc", "exif", "xmp")}
+    return {
+        "source_width": i.width, "source_height": i.height, "has_alpha": i.has_alpha, "animated": i.animated, "lossy": i.lossy, "loop_count": i.loop_count,
+        "loop_duration_ms": i.loop_duration_ms, "frame_count": len(i.frames), "background_hint": i.background, "metadata": meta,
+    }
+
+
+def stored(f: container.Frame) -> dict:
+    """The values of ENCODED."""
+    return {k: getattr(f, k) for k in FRAME_KINDS} | {"alpha": _own_bytes(f.alpha), "payload": bytes(f.payload)}
+
+
 def _parsed(with_frames: bool, most_pixels: int):
     """A struct of the header and, if wanted, the encoded frames; or the error."""
-    blob = pa.struct({k: pa.binary() for k in ("icc", "exif", "xmp")})
-    head = pa.struct({
-        "source_width": pa.int32(), "source_height": pa.int32(), "has_alpha": pa.bool_(), "animated": pa.bool_(), "lossy": pa.bool_(), "loop_count": pa.int32(),
-        "loop_duration_ms": pa.int64(), "frame_count": pa.int32(), "background_hint": pa.binary(), "metadata": blob,
-    })
-    frame = pa.struct({
-        "x": pa.int32(), "y": pa.int32(), "width": pa.int32(), "height": pa.int32(), "duration_ms": pa.int32(), "blend": pa.bool_(), "dispose": pa.bool_(),
-        "lossless": pa.bool_(), "alpha": pa.binary(), "payload": pa.binary(),
-    })
-    kind = pa.struct({"head": head, "frames": pa.list_(frame), "_corrupt": pa.string()})
+    kind = pa.struct({"head": pa.struct(HEADER_KINDS), "frames": pa.list_(pa.struct(FRAME_KINDS)), "_corrupt": pa.string()})
 
     @F.arrow_udf(f"struct<head:struct<{HEADER}>, frames:array<struct<{ENCODED}>>, _corrupt:string>")
     def parse(contents: pa.Array) -> pa.Array:
@@ -130,12 +151,7 @@ def _parsed(with_frames: bool, most_pixels: int):
         for data in contents.to_pylist():
             try:
                 i = container.parse(data or b"", most_pixels)
-                meta = {k: i.metadata.get(k) for k in ("icc", "exif", "xmp")}
-                known = {
-                    "source_width": i.width, "source_height": i.height, "has_alpha": i.has_alpha, "animated": i.animated, "lossy": i.lossy, "loop_count": i.loop_count,
-                    "loop_duration_ms": i.loop_duration_ms, "frame_count": len(i.frames), "background_hint": i.background, "metadata": meta,
-                }
-                out.append({"head": known, "frames": [asdict(f) for f in i.frames] if with_frames else [], "_corrupt": None})
+                out.append({"head": header(i), "frames": [stored(f) for f in i.frames] if with_frames else [], "_corrupt": None})
             except ValueError as e:
                 out.append({"head": None, "frames": None, "_corrupt": str(e)})
         return pa.array(out, kind)
@@ -164,8 +180,11 @@ PLACED = "image_id string, frame_no int, source_width int, source_height int, an
 
 
 def _int_lists(arrays: list[np.ndarray | None]) -> pa.Array:
-    """Lists of 32-bit numbers without a Python object a pixel; None is null."""
-    ends = np.cumsum([0, *(0 if a is None else a.size for a in arrays)]).astype(np.int32)
+    """Lists of 32-bit numbers without a Python object a pixel; None is null. All together below 2**31."""
+    ends = np.cumsum([0, *(0 if a is None else a.size for a in arrays)])
+    if ends[-1] >= 1 << 31:
+        raise OverflowError("too many pixels for one batch")
+    ends = ends.astype(np.int32)
     values = np.concatenate([a.ravel().view(np.int32) for a in arrays if a is not None] or [np.zeros(0, np.int32)])
     null = pa.array([a is None for a in arrays] + [False])
     return pa.ListArray.from_arrays(pa.array(ends, mask=np.array(null.to_numpy(zero_copy_only=False), bool)), pa.array(values))
@@ -246,58 +265,180 @@ def compose_frames(placed: DataFrame, strip_pixels: int = STRIP_PIXELS) -> DataF
     return whole.withColumn("argb", F.when(F.col("_corrupt").isNull(), F.col("argb")))
 
 
-def _resized(smooth: bool):
-    @F.arrow_udf("array<int>")
-    def of(argb: pa.Array, width: pa.Array, height: pa.Array, target_width: pa.Array, target_height: pa.Array) -> pa.Array:
-        out = []
-        for i, (w, h, tw, th) in enumerate(zip(*(c.to_pylist() for c in (width, height, target_width, target_height)), strict=True)):
-            if not argb[i].is_valid:
-                out.append(None)
-                continue
-            p = argb.slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-            if (w, h) != (tw, th):
-                p = (compose.bilinear if smooth else compose.nearest)(p.view(np.uint32).reshape(h, w), tw, th)
-            out.append(p)
-        return _int_lists(out)
-
-    return of
-
-
-def resize(frames: DataFrame, width: float = 0, height: float = 0, preserve_ratio: bool = False, smooth: bool = True) -> DataFrame:
-    """frames (width, height, argb; source_width, source_height: the canvas) at the wanted size (0: unset)."""
-    tw, th = scaling.target_size("source_width", "source_height", F.lit(float(width)), F.lit(float(height)), preserve_ratio)
-    out = frames.withColumn("tw", tw.cast("int")).withColumn("th", th.cast("int"))
-    out = out.withColumn("argb", _resized(smooth)("argb", "width", "height", "tw", "th"))
-    return out.withColumn("width", F.col("tw")).withColumn("height", F.col("th")).drop("tw", "th")
+@dataclass(frozen=True)
+class Wishes:
+    """How frames are to come out. width, height: 0 is unset; lossy: the probabilities that lossy payloads need; fancy:
+    chroma of lossy frames is made larger smoothly."""
+
+    width: float = 0
+    height: float = 0
+    preserve_ratio: bool = False
+    smooth: bool = True
+    fancy: bool = False
+    lossy: vp8.Tables | None = None
+    most_pixels: int = container.MOST_PIXELS
+
+    def scaled(self, picture: np.ndarray, canvas: tuple[int, int]) -> np.ndarray:
+        size = compose.target_size(*canvas, self.width, self.height, self.preserve_ratio)
+        if (picture.shape[1], picture.shape[0]) == size:
+            return picture
+        return (compose.bilinear if self.smooth else compose.nearest)(picture, *size)
+
+
+SHOWN = "image_id string, frame_no int, width int, height int, duration_ms int, argb array<int>, _corrupt string"
+
+
+def shown_rows(image_id: str, content: bytes | container.Part | None, wishes: Wishes) -> Iterator[tuple]:
+    """Rows of SHOWN, pixels as an array, of one file, each made when it is asked for: one canvas is held."""
+    try:
+        image = container.parse(content or b"", wishes.most_pixels)
+    except ValueError as e:
+        yield image_id, None, None, None, None, None, str(e)
+        return
+    for n, (f, picture, error) in enumerate(compose.shown(image, wishes.lossy, wishes.fancy)):
+        if picture is None:
+            yield image_id, n, None, None, None, None, error
+            continue
+        picture = wishes.scaled(picture, (image.width, image.height))
+        yield image_id, n, picture.shape[1], picture.shape[0], f.duration_ms, picture, None
+
+
+def shown_batches(rows: Iterator[tuple], held_pixels: int = DECODED_PIXELS) -> Iterator[pa.RecordBatch]:
+    """Rows of SHOWN as batches of about held_pixels pixels at most, or of one larger frame."""
+    waiting, held = [], 0
+    for row in rows:
+        waiting.append(row)
+        held += 0 if row[5] is None else row[5].size
+        if held >= held_pixels or len(waiting) == 10_000:
+            yield _shown_batch(waiting)
+            waiting, held = [], 0
+    if waiting:
+        yield _shown_batch(waiting)
+
+
+def _shown_batch(rows: list[tuple]) -> pa.RecordBatch:
+    ids, numbers, widths, heights, times, pictures, errors = zip(*rows, strict=True)
+    columns = [pa.array(ids, pa.string()), *(pa.array(c, pa.int32()) for c in (numbers, widths, heights, times)), _int_lists(pictures), pa.array(errors, pa.string())]
+    return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SHOWN.split(", ")])
+
+
+def _tables(spark: SparkSession, lossy: vp8.Tables | None) -> vp8.Tables | None:
+    if lossy is None and (path := spark.conf.get(LOSSY_TABLES, None)):
+        return lossy_tables(spark, path)
+    return lossy
 
 
-def frames(raw: DataFrame, width: float = 0, height: float = 0, preserve_ratio: bool = False, smooth: bool = True, mode: str = "PERMISSIVE", lossy: vp8.Tables | None = None, most_pixels: int = container.MOST_PIXELS) -> DataFrame:
+def frames(
+    raw: DataFrame, width: float = 0, height: float = 0, preserve_ratio: bool = False, smooth: bool = True, mode: str = "PERMISSIVE",
+    lossy: vp8.Tables | None = None, most_pixels: int = container.MOST_PIXELS, fancy: bool = False,
+) -> DataFrame:
     """image_id, frame_no, width, height, duration_ms, argb, _corrupt: frames as shown, scaled to the wanted size
     (0: unset). A still image's frames are each scaled to the size of the canvas.
 
     lossy: the probabilities that lossy payloads need, see lossy_tables; if not given, those of the file that the
     session setting LOSSY_TABLES names, and without that such frames are _corrupt.
-    Of an animation with a corrupt frame those before it are shown. Files are read twice, for stills and for
-    animations, as only the latter are shuffled by image."""
-    spark = raw.sparkSession
-    if lossy is None and (path := spark.conf.get(LOSSY_TABLES, None)):
-        lossy = lossy_tables(spark, path)
-    encoded = frames_encoded(raw, most_pixels=most_pixels)
-    moving = F.coalesce("animated", F.lit(False))
-    columns = ["image_id", "frame_no", "source_width", "source_height", "width", "height", "duration_ms", "argb", "_corrupt"]
-    stills = decode(encoded.where(~moving), lossy).select(*columns)
-    moved = compose_frames(decode(encoded.where(moving), lossy, deal=True))
-    moved = moved.withColumns({"width": F.col("source_width"), "height": F.col("source_height")})
-    out = resize(stills.union(moved.select(*columns)), width, height, preserve_ratio, smooth).drop("source_width", "source_height")
-    bad = F.col("_corrupt").isNotNull()
-    out = out.withColumns({c: F.when(~bad, F.col(c)) for c in ("width", "height", "duration_ms", "argb")})
-    return _checked(mode, out.select("image_id", "frame_no", "width", "height", "duration_ms", "argb", "_corrupt"))
-
-
-def read_frames(content: bytes, lossy: vp8.Tables | None = None, most_pixels: int = container.MOST_PIXELS) -> Iterator[tuple[int, np.ndarray]]:
+    Of an animation with a corrupt frame those before it are shown. Every file is read once, by one task that decodes,
+    composes and scales frame by frame: nothing is shuffled. See frames_by_segment for long animations."""
+    wishes = Wishes(width, height, preserve_ratio, smooth, fancy, _tables(raw.sparkSession, lossy), most_pixels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            files_ = ((batch.column("image_id")[i].as_py(), batch.column("content")[i].as_py()) for i in range(batch.num_rows))
+            yield from shown_batches(row for f in files_ for row in shown_rows(*f, wishes))
+
+    return _checked(mode, raw.select("image_id", "content").mapInArrow(run, SHOWN))
+
+
+#: What composition needs to know of a frame, besides its pixels.
+PLACE = "image_id, frame_no, source_width, source_height, x, y, width, height, duration_ms, blend, dispose".split(", ")
+
+
+def _in_order(group: str, wishes: Wishes, last_only: bool):
+    """Rows of frames, sorted by image, group and number, to the frames as shown; a group begins with an empty canvas
+    and ends with its first corrupt frame. last_only: of each group the last frame alone."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        key, canvas, last, broken = None, None, None, False
+        for batch in batches:
+            columns = {c: batch.column(c) for c in batch.schema.names}
+            for i in range(batch.num_rows):
+                f = SimpleNamespace(**{c: columns[c][i].as_py() for c in PLACE})
+                if (own := (f.image_id, columns[group][i].as_py())) != key:
+                    if last is not None:
+                        yield last
+                    key, canvas, last, broken = own, compose.Canvas(f.source_width, f.source_height), None, False
+                if broken:
+                    continue
+                try:
+                    if error := columns["_corrupt"][i].as_py() if "_corrupt" in columns else None:
+                        raise ValueError(error)
+                    if "argb" in columns:
+                        picture = columns["argb"].slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32).reshape(f.height, f.width)
+                    else:
+                        f.lossless, f.alpha, f.payload = (columns[c][i].as_py() for c in ("lossless", "alpha", "payload"))
+                        picture = compose.decode_frame(f, wishes.lossy, wishes.fancy)
+                    whole = canvas.add(f, picture)
+                    row = None if last_only else wishes.scaled(whole, canvas.size).copy()
+                    row = (f.image_id, f.frame_no, 0, 0, f.duration_ms, row, None)
+                except (ValueError, IndexError, MemoryError) as e:
+                    broken, row = True, (f.image_id, f.frame_no, None, None, None, None, str(e) or type(e).__name__)
+                if not last_only:
+                    yield _sized(row)
+                elif not broken:
+                    last = _sized((*row[:5], wishes.scaled(canvas.pixels, canvas.size).copy(), None)) if i + 1 == batch.num_rows or _next(columns, group, i) != key else None
+                else:
+                    last = row
+        if last is not None:
+            yield last
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from shown_batches(rows(batches))
+
+    return run
+
+
+def _next(columns: dict, group: str, i: int) -> tuple:
+    return columns["image_id"][i + 1].as_py(), columns[group][i + 1].as_py()
+
+
+def _sized(row: tuple) -> tuple:
+    return row if row[5] is None else (*row[:2], row[5].shape[1], row[5].shape[0], *row[4:])
+
+
+def frames_by_segment(encoded: DataFrame, wishes: Wishes = Wishes()) -> DataFrame:
+    """Rows of SHOWN of frames as frames_encoded gives them (or with argb in place of payload), composed by segments.
+
+    A segment begins with a frame that needs no earlier one (animation.segments), so the segments of one long animation
+    are composed side by side. Only encoded frames are shuffled, once by image for the index and once by segment.
+    A corrupt frame ends its segment; later ones are shown. Rows of malformed files come back as they are."""
+    bad = encoded.where("frame_no is null") if "_corrupt" in encoded.columns else None
+    rows = animation.segments(encoded.where("frame_no is not null"))
+    rows = rows.repartition("image_id", "segment").sortWithinPartitions("image_id", "segment", "frame_no")
+    out = rows.mapInArrow(_in_order("segment", wishes, False), SHOWN)
+    return out if bad is None else out.union(bad.select("image_id", "frame_no", "width", "height", "duration_ms", F.lit(None).cast("array<int>").alias("argb"), "_corrupt"))
+
+
+def frames_at(encoded: DataFrame, wanted: DataFrame, wishes: Wishes = Wishes()) -> DataFrame:
+    """Rows of SHOWN of the wanted frames (image_id, frame_no) alone: of their images only the frames from the nearest
+    one that needs no earlier one are decoded and composed.
+
+    Wanted frames that don't exist give no row, repeated ones one. The index is made of the frames' places without their
+    payloads; a wanted frame behind a corrupt one of its segment has that one's error."""
+    wanted = wanted.select("image_id", "frame_no").distinct()
+    own = encoded.where("frame_no is not null").join(wanted.select("image_id").distinct(), "image_id", "left_semi")
+    index = animation.segments(own.select(*PLACE)).select("image_id", "frame_no", "segment")
+    spans = index.join(wanted, ["image_id", "frame_no"]).select("image_id", F.col("segment").alias("first"), F.col("frame_no").alias("wanted"))
+    near = F.col("frame_no").between(F.col("first"), F.col("wanted"))
+    rows = own.join(spans, "image_id").where(near).repartition("image_id", "wanted").sortWithinPartitions("image_id", "wanted", "frame_no")
+    return rows.mapInArrow(_in_order("wanted", wishes, True), SHOWN)
+
+
+def read_frames(content: bytes, lossy: vp8.Tables | None = None, most_pixels: int = container.MOST_PIXELS, fancy: bool = False) -> Iterator[tuple[int, np.ndarray]]:
     """A3: (duration, pixels) of one file's frames, each decoded when it is asked for."""
-    image = container.parse(content, most_pixels)
-    yield from zip((f.duration_ms for f in image.frames), compose.shown(image, lossy), strict=True)
+    for f, picture, error in compose.shown(container.parse(content, most_pixels), lossy, fancy):
+        if picture is None:
+            raise container.ImageError(error)
+        yield f.duration_ms, picture
 
 
 def collected(shown: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def test_animation_container_and_composition():
     image = container.parse(data + b"trailing")
     assert (image.width, image.height, image.loop_count, image.loop_duration_ms, image.lossy) == (4, 4, 5, 290, False)
     assert image.metadata == {"exif": b"abc"} and [f.blend for f in image.frames] == [True, False, True]
-    shown = list(compose.shown(image))
+    shown = [p for _, p, _ in compose.shown(image)]
     assert (shown[0] == 0xFFFF0000).all()
     assert (shown[1][2:, 2:] == 0xFF0000FF).all() and (shown[1][:2] == 0).all()
     assert (shown[2] == shown[1]).all()
