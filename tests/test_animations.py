@@ -147,3 +147,100 @@ def test_data_that_ends_early_is_noticed_at_once():
         with pytest.raises(container.ImageError):
             vp8l.decode(head + whole[5:end], side, side)
     assert (time.perf_counter() - began) / (len(whole) - 30) < 0.01
+
+
+def stream(spark, tmp_path, batches, schema):
+    """The rows that come out when the batches arrive one by one, with a restart in between."""
+    from lumaframe.streaming import composing
+
+    source, table, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        shown = composing.compose_arriving(spark.readStream.schema(schema).parquet(source))
+        query = shown.writeStream.format("parquet").option("path", table).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        assert query.awaitTermination(100)
+    return spark.read.parquet(table).collect()
+
+
+STREAM = SCHEMA.replace("argb array<int>", "frame_count int, argb array<int>")
+
+
+def counted(rows):
+    n = {}
+    for r in rows:
+        n[r[0]] = n.get(r[0], 0) + 1
+    return [(*r[:11], n[r[0]], *r[11:]) for r in rows]
+
+
+@pytest.mark.parametrize("pieces", [1, 3])
+def test_frames_that_arrive_in_any_split(spark, tmp_path, pieces):
+    rows = counted(some_frames("a", 14) + some_frames("bb", 9, 0) + some_frames("ccc", 1))
+    order = np.random.default_rng(pieces).permutation(len(rows))
+    dealt = [[rows[i] for i in order[k::pieces]] for k in range(pieces)]
+    other = lambda r: (*r[:12], [1] * len(r[12]), None)
+    dealt[-1] += [dealt[0][0], dealt[0][0]]  # repeated: as they were
+    if pieces > 1:
+        dealt[-1] += [other(r) for r in dealt[0][:5]]  # repeated with other pixels: the first arrival counts
+    dealt[0] += [(None, *rows[0][1:]), (rows[0][0], None, *rows[0][2:])]
+    out = stream(spark, tmp_path, dealt, STREAM)
+    assert {(r.image_id, r.frame_no): r.argb for r in out} == in_order([(*r[:11], *r[12:]) for r in rows])
+    assert len(out) == 24 and all(r.duration_ms == 10 + r.frame_no and (r.width, r.height) == (W, H) for r in out)
+
+
+class State:
+    """What Spark hands to a group's function."""
+
+    def __init__(self):
+        self.value, self.hasTimedOut, self.patience = None, False, None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+    def remove(self):
+        self.value = None
+
+    def setTimeoutDuration(self, ms):
+        self.patience = ms
+
+
+def arrive(run, state, *rows):
+    import pandas as pd
+
+    names = [c.split()[0] for c in STREAM.split(", ")]
+    return [tuple(r) for part in run((rows[0][0] if rows else "a",), iter([pd.DataFrame(rows, columns=names)] if rows else []), state) for r in part.itertuples(index=False)]
+
+
+def test_missing_frames_are_given_up_and_corrupt_ones_end():
+    from lumaframe.streaming import composing
+
+    rows = counted(some_frames("a", 6, 0))
+    run, state = composing.arrivals(images.Wishes(), 50), State()
+    assert [r[1] for r in arrive(run, state, rows[0], rows[2], rows[4])] == [0] and state.patience == 50
+    assert arrive(run, state, rows[0], rows[2]) == []  # late and repeated
+    state.hasTimedOut = True
+    (row,) = arrive(run, state)
+    assert row[:2] == ("a", 1) and row[-1] == "frame 1 did not arrive; 2 later ones did" and not state.exists
+    state.hasTimedOut = False
+    broken = (*rows[1][:12], None, "broken")
+    assert [(r[1], r[-1]) for r in arrive(run, state, rows[2], broken, rows[0])] == [(0, None), (1, "broken")]
+    assert arrive(run, state, rows[1], rows[2]) == [] and state.get[1] is None and state.get[-1]
+    state.hasTimedOut = True
+    assert arrive(run, state) == [] and not state.exists
+
+
+def test_encoded_frames_arrive(spark, tmp_path):
+    from lumaframe.plans import encode
+
+    pictures = [RNG.integers(0, 1 << 32, 64, dtype=np.uint64).tolist() for _ in range(4)]
+    raw = spark.createDataFrame([(str(i), encode.composed_file(i, p)) for i, p in enumerate(pictures)], "image_id string, content binary")
+    encoded = images.frames_encoded(raw).drop("_corrupt")
+    rows = sorted((tuple(r) for r in encoded.collect()), key=lambda r: -r[1])
+    out = stream(spark, tmp_path, [rows[::2], rows[1::2]], encoded.schema)
+    assert got_rows(out) == got(images.frames(raw))
+
+
+def got_rows(rows):
+    return {(r.image_id, r.frame_no): r.argb for r in rows}
