@@ -137,22 +137,28 @@ def nearest(p: np.ndarray, width: int, height: int) -> np.ndarray:
     return p[np.minimum(h - 1, np.arange(height) * h // height)[:, None], np.minimum(w - 1, np.arange(width) * w // width)]
 
 
-def bilinear(p: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Corner to corner, in single precision, each channel by itself."""
+def places(n: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each of `target` places the two of n between which it lies, and how far, corner to corner in single precision."""
     one = np.float32
+    step = one(n - 1) / one(target - 1) if target > 1 else one(0)
+    at = np.arange(target, dtype=one) * step
+    low = np.minimum(n - 1, at.astype(np.int64))
+    return low, np.minimum(n - 1, low + 1), at - low.astype(one)
 
-    def places(n: int, target: int):
-        step = one(n - 1) / one(target - 1) if target > 1 else one(0)
-        at = np.arange(target, dtype=one) * step
-        low = np.minimum(n - 1, at.astype(np.int64))
-        return low, np.minimum(n - 1, low + 1), at - low.astype(one)
 
-    (y0, y1, fy), (x0, x1, fx) = places(p.shape[0], height), places(p.shape[1], width)
-    out = np.zeros((height, width), np.uint32)
+def between(p: np.ndarray, rows: tuple, columns: tuple) -> np.ndarray:
+    """Pixels between those of p at these places, each channel by itself."""
+    (y0, y1, fy), (x0, x1, fx) = rows, columns
+    out = np.zeros((len(y0), len(x0)), np.uint32)
     for shift in (24, 16, 8, 0):
-        c = (p >> np.uint32(shift) & np.uint32(255)).astype(one)
+        c = (p >> np.uint32(shift) & np.uint32(255)).astype(np.float32)
         top = c[y0][:, x0] + (c[y0][:, x1] - c[y0][:, x0]) * fx
         low = c[y1][:, x0] + (c[y1][:, x1] - c[y1][:, x0]) * fx
         value = top + (low - top) * fy[:, None]
         out |= np.floor(value.astype(np.float64) + 0.5).astype(np.uint32) << np.uint32(shift)
     return out
+
+
+def bilinear(p: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Corner to corner, in single precision, each channel by itself."""
+    return between(p, places(p.shape[0], height), places(p.shape[1], width))

@@ -57,3 +57,30 @@ def status(name: Column, load_ms: Column) -> Column:
     coding = F.when(F.col("lossy"), F.lit("lossy")).otherwise(F.lit("lossless"))
     parts = [name, size, F.when(F.col("animated"), moving).otherwise(F.lit("still")), F.when(F.col("has_alpha"), F.lit("alpha")), coding, F.concat(F.lit("load="), load_ms, F.lit("ms"))]
     return F.concat_ws(" | ", *parts)
+
+
+def on_screen(frames: DataFrame, moments: DataFrame, loops: DataFrame | None = None, parts: int = 64) -> DataFrame:
+    """moments (image_id, at_ms and further columns) with frame_no: which frame of the image is shown then.
+
+    An animation begins at 0 and each frame is shown for at least 1 ms; it begins again as often as its loop_count says
+    (loops: image_id, loop_count; 0 or none: for ever) and then stays at its last frame. Null before 0, for a null time and
+    for an image without frames. An image's loop is cut into `parts` stretches of equal length, each frame is in all
+    those it reaches into, and the last frame at or before a moment is found by a window over frames and moments of
+    one stretch: the moments of a hot image are dealt over its stretches."""
+    last = Window.partitionBy("image_id").orderBy("frame_no").rowsBetween(Window.unboundedPreceding, 0)
+    own = frames.select("image_id", "frame_no", F.sum(_shown()).over(last).cast("long").alias("end"), _shown().cast("long").alias("ms"))
+    about = own.groupBy("image_id").agg(F.max("end").alias("total"), F.max_by("frame_no", "end").alias("final"))
+    part = lambda at: F.floor(at * parts / F.col("total")).cast("int")
+    starts = own.join(about, "image_id").select("image_id", (F.col("end") - F.col("ms")).alias("at"), "end", "total", "frame_no")
+    starts = starts.select("image_id", F.explode(F.sequence(part(F.col("at")), part(F.col("end") - 1))).alias("part"), "at", "frame_no")
+    asked = moments.join(about, "image_id", "left")
+    asked = asked.join(loops.select("image_id", "loop_count"), "image_id", "left") if loops is not None else asked.withColumn("loop_count", F.lit(0))
+    over = (F.col("loop_count") > 0) & (F.col("at_ms") >= F.col("total") * F.col("loop_count"))
+    phase = F.when(~F.coalesce(over, F.lit(False)) & (F.col("at_ms") >= 0), F.col("at_ms") % F.col("total"))
+    row = F.struct(*moments.columns)
+    asked = asked.select("image_id", phase.cast("long").alias("at"), "total", F.when(over, F.col("final")).alias("frame_no"), row.alias("row"))
+    asked = asked.select("image_id", part(F.col("at")).alias("part"), "at", "frame_no", "row")
+    both = starts.withColumn("row", F.lit(None).cast(asked.schema["row"].dataType)).union(asked)
+    order = Window.partitionBy("image_id", "part").orderBy("at", F.asc_nulls_first("row")).rowsBetween(Window.unboundedPreceding, 0)
+    shown = F.coalesce("frame_no", F.when(F.col("at").isNotNull(), F.last("frame_no", True).over(order)))
+    return both.withColumn("frame_no", shown).where("row is not null").select("row.*", "frame_no")

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions import pixels as px
-from lumaframe.plans import carriers
+from lumaframe.operators import animation, entropy, tiled
+from lumaframe.plans import carriers, image_queries
 from lumaframe.plans.image_queries import ARGB, over
 from lumaframe.sources import datasource, files, images
+from lumaframe.sources.files import kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -103,3 +105,117 @@ def _some_frames(spark: SparkSession, sf: str) -> DataFrame:
 
 _add("f10_frames_at", _some_frames,
      f"WITH RECURSIVE {COMPOSED} SELECT image_id, CAST(k AS INTEGER) AS frame_no, x, y, {_CHANNELS} FROM st WHERE k >= 0 AND (k + image_id) % 7 = 3")
+
+
+def _tiles(spark: SparkSession, sf: str, argb: Column | None = None) -> DataFrame:
+    """Every vector's picture as 3 x 3 tiles."""
+    rows = carriers.pictures(spark, sf)
+    values = F.transform("argb", lambda p: px.signed(p).cast("int")) if argb is None else argb
+    frames = rows.select(F.col("vec_id").cast("string").alias("image_id"), F.lit(0).alias("frame_no"), F.lit(8).alias("width"), F.lit(8).alias("height"), values.alias("argb"))
+    return tiled.tiles(frames, 3)
+
+
+def _values(rows: DataFrame) -> DataFrame:
+    return tiled.pixels(rows).select(F.col("image_id").cast("long").alias("vec_id"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), px.wide(F.col("argb")).alias("value"))
+
+
+_add("z04_tiled_bilinear", lambda s, d: _values(tiled.scale(_tiles(s, d), 13, 6, side=4)), image_queries.SQL["z04_bilinear_argb"])
+_add("z03_tiled_nearest", lambda s, d: _values(tiled.scale(_tiles(s, d), 5, 11, smooth=False, side=4)), f"""
+    WITH {carriers.PICTURES}, g AS (SELECT CAST(c % 5 AS BIGINT) AS x, CAST(c // 5 AS BIGINT) AS y FROM (SELECT unnest(range(55)) AS c))
+    SELECT p.vec_id, g.x, g.y, p.p AS value FROM g JOIN pictures p ON p.x = least(7, g.x * 8 // 5) AND p.y = least(7, g.y * 8 // 11)""")
+_add("f08_tiled_blend", lambda s, d: _values(tiled.blend(_tiles(s, d), _tiles(s, d, F.reverse(F.transform("argb", lambda p: px.signed(p).cast("int")))))), f"""
+    WITH {carriers.PICTURES} SELECT p.vec_id, p.x, p.y, CAST({over('p.p', 'q.p')} AS BIGINT) AS value FROM pictures p JOIN pictures q ON q.vec_id = p.vec_id AND q.x = 7 - p.x AND q.y = 7 - p.y""")
+
+
+RANKED = f"{carriers.TILES}, ranked AS (SELECT vec_id, y * 8 + x AS symbol, row_number() OVER (PARTITION BY vec_id ORDER BY l, y, x) - 1 AS i, 2 + vec_id % 14 AS n FROM tiles)"
+
+
+def _lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """(code, symbol, i, n, length): of each vector a code over its n lowest components, words of 1, 2, 3 ... bits; one code
+    in five lacks its last symbol."""
+    rows = carriers.tiles(spark, sf).select("vec_id", (F.col("y") * 8 + F.col("x")).alias("symbol"), "l", (2 + F.col("vec_id") % 14).alias("n"))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("vec_id").orderBy("l", "symbol")) - 1)
+    wanted = F.when(F.col("vec_id") % 5 == 0, F.col("n") - 1).otherwise(F.col("n"))
+    return rows.where(F.col("i") < wanted).select(F.col("vec_id").alias("code"), "symbol", "i", "n", F.least(F.col("i") + 1, F.col("n") - 1).cast("int").alias("length"))
+
+
+def _codes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = entropy.canonical(_lengths(spark, sf))
+    return rows.select("code", F.col("symbol").cast("long").alias("symbol"), "length", "word", "complete")
+
+
+_add("l08_l09_canonical_codes", _codes, f"""
+    WITH {RANKED}, len AS (SELECT vec_id AS code, symbol, i, least(i + 1, n - 1) AS length FROM ranked WHERE i < n - CASE WHEN vec_id % 5 = 0 THEN 1 ELSE 0 END),
+    n AS (SELECT code, count(*) AS c, sum(pow(2, -length)) AS filled FROM len GROUP BY code),
+    w AS (SELECT a.code, a.symbol, a.length, CAST(floor(coalesce(sum(pow(2, -b.length)), 0) * pow(2, a.length)) AS BIGINT) AS word
+      FROM len a LEFT JOIN len b ON b.code = a.code AND (b.length < a.length OR (b.length = a.length AND b.symbol < a.symbol)) GROUP BY a.code, a.symbol, a.length)
+    SELECT code, symbol, CAST(CASE WHEN c = 1 THEN 0 ELSE length END AS INTEGER) AS length, CASE WHEN c = 1 THEN 0 ELSE word END AS word, c = 1 OR filled = 1 AS complete FROM w JOIN n USING (code)""")
+
+
+def _decoded_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty symbols of each code written as bits and read again from those bits and the lengths alone."""
+    lengths = _lengths(spark, sf)
+    codes = kept(entropy.canonical(lengths), "codes")
+    asked = lengths.select("code", "n").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    asked = asked.withColumn("i", (F.col("code") * 3 + F.col("j") * F.col("j")) % F.col("n")).join(lengths.select("code", "i", "symbol"), ["code", "i"]).join(codes.select("code", "symbol", "length", "word"), ["code", "symbol"])
+    word = F.when(F.col("length") > 0, F.lpad(F.bin("word"), F.col("length"), "0")).otherwise(F.lit(""))
+    written = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", word.alias("w")))), lambda x: x["w"]), "")
+    bits = asked.groupBy("code").agg(written.alias("bits"))
+    places = bits.where("bits <> ''").select("code", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.length("bits").cast("long") - 1)).alias("at"))
+    window = F.conv(F.rpad(F.substring("bits", F.col("at") + 1, F.lit(15)), 15, "0"), 2, 10).cast("long")
+    found = kept(entropy.symbols_at(places.select("code", F.col("code").cast("string").alias("stream"), "at", window.alias("window")), codes), "symbols")
+    real = entropy.reached(found.select("stream", "at", (F.col("at") + F.col("length")).alias("next")))
+    out = found.join(real, ["stream", "at"])
+    number = F.row_number().over(Window.partitionBy("code").orderBy("at")) - 1
+    return out.select("code", number.cast("long").alias("j"), F.col("symbol").cast("long").alias("symbol"))
+
+
+_add("l10_decoded_symbols", _decoded_symbols, f"""
+    WITH {RANKED} SELECT vec_id AS code, CAST(j AS BIGINT) AS j, symbol FROM ranked JOIN (SELECT unnest(range(20)) AS j) ON i = (vec_id * 3 + j * j) % n WHERE vec_id % 5 <> 0""")
+
+
+def _copy_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector as tokens: a component is a literal or, if its level is divisible by 3, a copy."""
+    rows = carriers.tiles(spark, sf).select(F.col("vec_id").alias("stream"), (F.col("y") * 8 + F.col("x")).alias("seq"), "l")
+    copy = (F.col("l") % 3 == 0) & (F.col("seq") > 0)
+    rows = rows.select("stream", "seq", "l", F.when(~copy, F.col("l") * 1000 + F.col("seq")).alias("value"), F.when(copy, 1 + F.col("l") % 7).alias("length"))
+    rows = entropy.placed(rows.withColumn("distance", F.lit(0)))
+    return rows.withColumn("distance", F.when(copy, 1 + (F.col("l") * 5) % F.least(F.col("start"), F.lit(40))))
+
+
+_add("l11_l13_resolved_copies", lambda s, d: entropy.resolve_copies(_copy_tokens(s, d)).withColumnRenamed("at", "place"), f"""
+    WITH RECURSIVE {carriers.TILES}, t AS (SELECT vec_id AS stream, y * 8 + x AS seq, l, l % 3 = 0 AND y * 8 + x > 0 AS copy FROM tiles),
+    p AS (SELECT *, CAST(coalesce(sum(CASE WHEN copy THEN 1 + l % 7 ELSE 1 END) OVER (PARTITION BY stream ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM t),
+    x AS (SELECT stream, start + k AS place, CASE WHEN copy THEN start + k - 1 - (l * 5) % least(start, 40) END AS source, CASE WHEN NOT copy THEN l * 1000 + seq END AS value
+      FROM (SELECT *, unnest(range(CASE WHEN copy THEN 1 + l % 7 ELSE 1 END)) AS k FROM p)),
+    r(stream, place, source, value) AS (SELECT * FROM x UNION ALL SELECT r.stream, r.place, x.source, x.value FROM r JOIN x ON x.stream = r.stream AND x.place = r.source WHERE r.value IS NULL)
+    SELECT stream, place, value FROM r WHERE value IS NOT NULL""")
+
+
+def _cached(spark: SparkSession, sf: str) -> DataFrame:
+    one = carriers.pictures(spark, sf).select(F.col("vec_id").alias("stream"), F.posexplode("argb").alias("at", "p"))
+    p = F.col("p").bitwiseAND(F.lit(0xFFF0F0F0))  # few colours, so that they come again
+    rows = one.select("stream", F.col("at").cast("long").alias("at"), F.when(F.col("at") % 3 != 2, p).alias("argb"), (F.col("p") % 16).cast("int").alias("slot"))
+    return entropy.resolve_cache(rows, 4)
+
+
+_add("l14_cache_lookups", _cached, f"""
+    WITH {carriers.PICTURES}, t AS (SELECT vec_id AS stream, y * 8 + x AS at, p & 4293980400 AS argb, (y * 8 + x) % 3 = 2 AS ref, p % 16 AS asked FROM pictures),
+    s AS (SELECT *, CASE WHEN ref THEN asked ELSE ((506832829::HUGEINT * argb) % 4294967296) // 268435456 END AS slot FROM t),
+    last AS (SELECT a.stream, a.at, max(b.at) AS seen FROM s a JOIN s b ON b.stream = a.stream AND NOT b.ref AND b.slot = a.slot AND b.at < a.at WHERE a.ref GROUP BY ALL)
+    SELECT s.stream, s.at, CAST(CASE WHEN NOT s.ref THEN s.argb ELSE coalesce(b.argb, 0) END AS BIGINT) AS argb FROM s LEFT JOIN last l ON l.stream = s.stream AND l.at = s.at LEFT JOIN s b ON b.stream = s.stream AND b.at = l.seen""")
+
+
+def _on_screen(spark: SparkSession, sf: str) -> DataFrame:
+    frames = carriers.timeline(spark, sf)
+    moments = spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.col("user_id").alias("image_id"), (F.col("event_id") * 7919 % 50_000 - 500).alias("at_ms"))
+    loops = frames.select("image_id", (F.col("image_id") % 3).alias("loop_count")).distinct()
+    return animation.on_screen(frames, moments, loops).select("event_id", "image_id", "frame_no")
+
+
+_add("g03_on_screen", _on_screen, f"""
+    WITH {carriers.TIMELINE}, f AS (SELECT image_id, frame_no, CAST(sum(greatest(1, duration_ms)) OVER (PARTITION BY image_id ORDER BY frame_no) AS BIGINT) AS stop, greatest(1, duration_ms) AS ms FROM timeline),
+    t AS (SELECT image_id, max(stop) AS total, arg_max(frame_no, stop) AS final FROM f GROUP BY image_id),
+    m AS (SELECT event_id, user_id AS image_id, event_id * 7919 % 50000 - 500 AS moment, total, final, user_id % 3 AS loops FROM events JOIN t ON t.image_id = user_id)
+    SELECT event_id, m.image_id, CASE WHEN loops > 0 AND moment >= total * loops THEN final ELSE f.frame_no END AS frame_no
+    FROM m LEFT JOIN f ON moment >= 0 AND f.image_id = m.image_id AND moment % total >= f.stop - f.ms AND moment % total < f.stop AND NOT (loops > 0 AND moment >= total * loops)""")

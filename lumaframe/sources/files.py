@@ -46,3 +46,11 @@ def write_files(rows: DataFrame, folder: str, suffix: str = ".webp") -> int:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     return rows.select("image_id", "content").mapInArrow(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """Write df once to the shared folder and read it back: what follows neither computes it again nor depends on the
+    executors that computed it."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
