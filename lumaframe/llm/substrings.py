@@ -3,13 +3,16 @@
 The suffixes of interest start a string of `length` bytes that also starts elsewhere. They are aligned at
 anchors: every string of that length has one q-gram with the smallest hash (the leftmost of equals), chosen
 by its content alone, so equal strings have equal q-grams at equal offsets. Neighbouring starts share their
-anchor; such a run of starts enters the bucket of its q-gram. Each round cuts the offsets of a bucket into
-ranges and refines the bucket: members go on together if the strings at the next later and earlier offsets,
-up to where all strings of the range still hold them (its core), are in equal buckets too. The pointer of a
-refined bucket is made of its parent's pointer and those strings, and the next round refines by it in turn,
-so no round looks at bytes that an earlier one has named. Buckets of one member end, and so do ranges whose
-whole surroundings (hull, named from the core's pointer) occur again. Spark groups by pointer; no bucket is
-gathered. Pointers are 128 bits of BLAKE2b: strings count as equal if their pointers are.
+anchor; such a run of starts enters the bucket of its q-gram.
+
+Every offset of a text has a bucket identifier, at first that of its q-gram. Identifiers are refined by those of later
+offsets: one for twice as many bytes is made of the one at the offset and the one at the offset where that ends, and
+these in turn make the next (Buckets); so no byte is looked at again after the q-grams. Each round cuts the offsets of
+a bucket into ranges and refines the bucket: members go on together if the identifiers at the offsets where the bytes
+begin and end that all strings of the range hold (its core) are equal too. The bucket's pointer and those identifiers
+make the pointer of the refined bucket, by which the next round refines. Buckets of one member end, and so do ranges
+whose whole surroundings (hull) occur again. Spark groups by pointer; no bucket is gathered. Identifiers and pointers have
+128 bits: strings count as equal if their pointers are.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,70 +84,125 @@ def anchors(h: np.ndarray, window: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def pointer(*parts: bytes) -> bytes:
-    """The name of a bucket: of a string, or of a parent's pointer with the strings that refine it."""
-    h = hashlib.blake2b(digest_size=16)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+#: Two numbers for each byte, so that the two halves of an identifier have nothing in common.
+_BYTES = _mixed(np.arange(1, 513, dtype=np.uint64) * np.uint64(_MULTIPLIER)).reshape(2, 256)
+
+
+def joined(*parts: np.ndarray) -> np.ndarray:
+    """Identifiers or numbers, one after the other, to one identifier of two 64-bit halves (2, n)."""
+    out = np.zeros((2, 1), np.uint64)
     for part in parts:
-        h.update(len(part).to_bytes(4, "little"))
-        h.update(part)
-    return h.digest()
+        out = _mixed(out * np.uint64(_MULTIPLIER) + part + np.uint64(1))
+    return out
+
+
+class Buckets:
+    """The bucket identifiers of a text's offsets, for strings of q, 2 q, 4 q ... bytes. Those of q-grams come from sums
+    over the text; those of a higher level are made where they are asked for."""
+
+    def __init__(self, text: bytes, q: int):
+        b, n = np.frombuffer(text, np.uint8), len(text)
+        self.q, self.size = q, n
+        self.sums = np.zeros((2, n + 1), np.uint64)
+        for half in (0, 1):
+            np.cumsum(_BYTES[half][b] * _power(_MULTIPLIER, n), dtype=np.uint64, out=self.sums[half, 1:])
+
+    def level(self, k: int, at: np.ndarray) -> np.ndarray:
+        """The identifiers of the strings of q << k bytes at these offsets: each made of the one of half as many bytes
+        there and the one at the offset where that ends."""
+        if k:
+            return joined(self.level(k - 1, at), self.level(k - 1, at + (self.q << (k - 1))))
+        return joined((self.sums[:, at + self.q] - self.sums[:, at]) * _power(_INVERSE, self.size + 1)[at])
+
+    def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The identifier of each string from first to end, of q bytes at least: by those of its first and its last
+        offset of the highest level that it has room for."""
+        size = end - first
+        out, top = np.zeros((2, len(first)), np.uint64), np.log2(size // self.q).astype(np.int64)
+        for k in np.unique(top).tolist():
+            at = np.flatnonzero(top == k)
+            out[:, at] = joined(self.level(k, first[at]), self.level(k, end[at] - (self.q << k)), size[at].astype(np.uint64))
+        return out
+
+
+def _binary(ids: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """Identifiers (2, n) as 16 bytes each."""
+    n = ids.shape[1]
+    data = pa.py_buffer(np.ascontiguousarray(ids.T).tobytes())
+    out = pa.Array.from_buffers(pa.binary(16), n, [None, data]).cast(pa.binary())
+    return out if null is None else pc.if_else(pa.array(null), pa.scalar(None, pa.binary()), out)
 
 
 def _anchor_rows(length: int, q: int):
-    """Rows (uid, text) to runs of starts at an anchor: the pointer of its q-gram's bucket and that of all that
+    """Rows (uid, text) to runs of starts at an anchor: the identifier of its q-gram's bucket and that of all that
     the run's strings hold."""
 
     def run(batches):
         for batch in batches:
-            uid, pos, lo, hi, gram, hull = [], [], [], [], [], []
+            uid, pos, lo, hi, gram, hull = [], [], [], [], [np.zeros((2, 0), np.uint64)], [np.zeros((2, 0), np.uint64)]
             for u, text in zip(batch.column("uid").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 if text is None or len(text) < length:
                     continue
-                named, name = -1, b""
-                for at, first, last in anchors(gram_hashes(byte_symbols(text), q), length - q + 1):
-                    if at != named:
-                        named, name = at, pointer(text[at : at + q])
-                    uid.append(u)
-                    pos.append(at)
-                    lo.append(at - last)
-                    hi.append(at - first)
-                    gram.append(name)
-                    hull.append(pointer(name, text[first:at], text[at + q : last + length]))
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-            columns = [uid, pos, lo, hi, gram, hull]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["uid", "pos", "lo", "hi", "gram", "hull"])
+                buckets = Buckets(text, q)
+                at, first, last = np.array(anchors(gram_hashes(byte_symbols(text), q), length - q + 1), np.int64).T
+                uid.append(np.full(len(at), u, np.int64))
+                pos.append(at)
+                lo.append(at - last)
+                hi.append(at - first)
+                gram.append(buckets.level(0, at))
+                hull.append(buckets.of(first, last + length))
+            numbers = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (uid, pos, lo, hi)]
+            columns = [pa.array(numbers[0]), *(pa.array(c.astype(np.int32)) for c in numbers[1:]), _binary(np.concatenate(gram, 1)), _binary(np.concatenate(hull, 1))]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "pos", "lo", "hi", "gram", "hull"])
 
     return run
 
 
-def _refine(width: int, length: int):
+def _refine(width: int, length: int, q: int):
     """Rows (uid, text, open: runs or ranges with their buckets) to their narrower ranges with the pointers of
     core and hull.
 
     A range is (a, b), the distances from starts to the anchor, on a grid that all texts share; lo and hi are
     the least and greatest distance in this run. The core of a range lies from a before the anchor to
-    length - b after it; the parent's pointer has named its middle part. The hull of a range that the run
-    fills in part is null, and of one offset core and hull are the same."""
+    length - b after it. The hull of a range that the run fills in part is null, and of one offset core and hull are the
+    same."""
 
     def run(batches):
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
+            rows: list[tuple] = []
+            cores, hulls = [np.zeros((2, 0), np.uint64)], [np.zeros((2, 0), np.uint64)]
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for u, text, ranges in zip(batch.column("uid").to_pylist(), texts, batch.column("open").to_pylist(), strict=True):
+                own, parents = [], []
                 for r in ranges:
-                    at, lo, hi = r["pos"], r["lo"], r["hi"]
-                    known, end = at - r["a"], at - r["b"] + length
+                    lo, hi = r["lo"], r["hi"]
                     for a in range(max(r["a"], lo // width * width), min(r["b"], hi) + 1, width):
-                        b = a + width - 1
-                        core = pointer(r["bucket"], a.to_bytes(4, "little"), text[at - a : known], text[end : at - b + length])
-                        hull = core
-                        if width > 1:
-                            hull = pointer(core, text[at - b : at - a], text[at - b + length : at - a + length]) if a >= lo and b <= hi else None
-                        for column, x in zip(out, (u, at, lo, hi, a, b, core, hull, r["shown"]), strict=True):
-                            column.append(x)
-            kinds = [pa.int64(), *[pa.int32()] * 5, pa.binary(), pa.binary(), pa.bool_()]
-            names = ["uid", "pos", "lo", "hi", "a", "b", "core", "hull", "shown"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names)
+                        own.append((u, r["pos"], lo, hi, a, a + width - 1, r["shown"]))
+                        parents.append(r["bucket"])
+                if not own:
+                    continue
+                rows += own
+                buckets = Buckets(text, q)
+                at, lo, hi, a, b = np.array([x[1:6] for x in own], np.int64).T
+                parent = np.frombuffer(b"".join(parents), np.uint64).reshape(-1, 2).T
+                core = joined(parent, a.astype(np.uint64), buckets.of(at - a, at - b + length))
+                cores.append(core)
+                if width > 1:
+                    whole = (a >= lo) & (b <= hi)
+                    hull = np.zeros_like(core)
+                    hull[:, whole] = joined(core[:, whole], buckets.of((at - b)[whole], (at - a)[whole] + length))
+                    hulls.append(hull)
+            uid, pos, lo, hi, a, b, shown = zip(*rows, strict=True) if rows else [()] * 7
+            core = np.concatenate(cores, 1)
+            null = None if width == 1 else np.array([x < y or v > w for x, y, v, w in zip(a, lo, b, hi, strict=True)], bool)
+            columns = [pa.array(uid, pa.int64()), *(pa.array(c, pa.int32()) for c in (pos, lo, hi, a, b)), _binary(core), _binary(core) if width == 1 else _binary(np.concatenate(hulls, 1), null), pa.array(shown, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, ["uid", "pos", "lo", "hi", "a", "b", "core", "hull", "shown"])
 
     return run
 
@@ -178,7 +237,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, q: int = Q) -> DataFra
             of_text = staged(of_text, "open")
             texts = staged(rows.join(of_text.select("uid").hint("merge"), "uid", "left_semi").select("uid", "text"), "texts")
             release(rows.sparkSession)
-        level = staged(texts.join(of_text.hint("merge"), "uid").mapInArrow(_refine(width, length), REFINED), "ranges")
+        level = staged(texts.join(of_text.hint("merge"), "uid").mapInArrow(_refine(width, length, q), REFINED), "ranges")
         cores = level.groupBy("core").agg(F.count("*").alias("n"), F.count_if(~F.col("shown")).alias("new")).where("n > 1 and new > 0")
         again = level.join(staged(cores.select("core"), "cores"), "core").withColumnRenamed("core", "bucket")
         if width == 1:
