@@ -40,11 +40,11 @@ def unfilter(d: np.ndarray, kind: int) -> np.ndarray:
     elif kind == 3:
         d[0] = np.cumsum(d[0]) & 255
         d[:, 0] = np.cumsum(d[:, 0]) & 255
-        for y in range(1, height):
-            above, row = d[y - 1].tolist(), d[y].tolist()
-            for x in range(1, width):
-                row[x] = (row[x] + min(max(row[x - 1] + above[x] - above[x - 1], 0), 255)) & 255
-            d[y] = row
+        flat = d.ravel()
+        for t in range(2, width + height - 1):  # places of one x + y need only those of smaller ones
+            y = np.arange(max(1, t - width + 1), min(height, t))
+            at = y * (width - 1) + t
+            flat[at] = flat[at] + np.clip(flat[at - 1] + flat[at - width] - flat[at - width - 1], 0, 255) & 255
     return (d & 255).astype(np.uint32)
 
 

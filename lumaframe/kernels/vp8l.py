@@ -288,14 +288,61 @@ def _halves(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 BY_ROW = {2: lambda tl, t, tr: t, 3: lambda tl, t, tr: tr, 4: lambda tl, t, tr: tl, 8: lambda tl, t, tr: _halves(tl, t), 9: lambda tl, t, tr: _halves(t, tr)}
 
 
+def _chosen(x: np.ndarray, t: np.ndarray, tl: np.ndarray) -> np.ndarray:
+    far = lambda a: np.abs(a.astype(np.int16) - tl).sum(1)
+    return np.where((far(t) < far(x))[:, None], x, t)
+
+
+def _half_of(m: np.ndarray, tl: np.ndarray) -> np.ndarray:
+    d = m.astype(np.int16) - tl
+    return np.clip(m + (d + (d < 0) >> 1), 0, 255).astype(np.uint8)
+
+
+#: Modes that need the pixel at the left, on rows of channels: from left, top, top right, top left.
+BY_WAVE = {
+    5: lambda x, t, tr, tl: _halves(_halves(x, tr), t), 6: lambda x, t, tr, tl: _halves(x, tl), 7: lambda x, t, tr, tl: _halves(x, t),
+    10: lambda x, t, tr, tl: _halves(_halves(x, tl), _halves(t, tr)), 11: lambda x, t, tr, tl: _chosen(x, t, tl),
+    12: lambda x, t, tr, tl: np.clip(x.astype(np.int16) + t - tl, 0, 255).astype(np.uint8), 13: lambda x, t, tr, tl: _half_of(_halves(x, t), tl),
+}
+#: Pixels from which on waves pay.
+WAVES_FROM = 1 << 14
+
+
+def _unpredict_by_waves(c: np.ndarray, bits: int, by_block: np.ndarray) -> None:
+    """Rows after the first: what a pixel needs lies at a smaller x + 2 y, so all of one sum are done at once."""
+    height, width = c.shape[:2]
+    c[:, 0] = np.cumsum(c[:, 0], axis=0, dtype=np.uint8)
+    flat, present = c.reshape(-1, 4), np.unique(by_block).tolist()
+    for wave in range(3, width + 2 * height - 2):
+        y = np.arange(max(1, (wave - width + 2) // 2), min(height - 1, (wave - 1) // 2) + 1)
+        x = wave - 2 * y
+        at, mode = y * width + x, by_block[y >> bits, x >> bits]
+        for m in present:
+            own = at if len(present) == 1 else at[mode == m]
+            if not len(own) or m > 13:
+                continue
+            if m == 0:
+                flat[own, 3] += np.uint8(255)
+            elif m == 1:
+                flat[own] += flat[own - 1]
+            elif m in BY_ROW:
+                flat[own] += BY_ROW[m](flat[own - width - 1], flat[own - width], flat[own - width + 1])
+            else:
+                flat[own] += BY_WAVE[m](flat[own - 1], flat[own - width], flat[own - width + 1], flat[own - width - 1])
+
+
 def unpredict(p: np.ndarray, bits: int, modes: np.ndarray) -> None:
     """In place. Row 0 adds the pixel at the left, column 0 the one above; then the block's mode rules, and modes
-    above 13 add nothing. Modes that don't need the row itself go by runs of equal blocks, mode 1 as a sum."""
+    above 13 add nothing. Modes that don't need the row itself go by runs of equal blocks, mode 1 as a sum; of large
+    pictures with other modes, all pixels of one x + 2 y go together."""
     height, width = p.shape
     c = p.view(np.uint8).reshape(height, width, 4)
     c[0, 0, 3] = (int(c[0, 0, 3]) + 255) & 255
     c[0] = np.cumsum(c[0], axis=0, dtype=np.uint8)
     by_row = (modes >> 8 & 255).astype(np.int64)
+    if p.size >= WAVES_FROM and np.isin(by_row, list(BY_WAVE)).any():
+        _unpredict_by_waves(c, bits, by_row)
+        return
     for y in range(1, height):
         c[y, 0] += c[y - 1, 0]
         of = by_row[y >> bits]

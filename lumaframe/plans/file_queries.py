@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions import pixels as px
-from lumaframe.operators import animation, entropy, tiled
+from lumaframe.operators import animation, entropy, sketches, tiled
 from lumaframe.plans import carriers, image_queries
 from lumaframe.plans.image_queries import ARGB, over
 from lumaframe.sources import datasource, files, images
@@ -219,3 +219,21 @@ _add("g03_on_screen", _on_screen, f"""
     m AS (SELECT event_id, user_id AS image_id, event_id * 7919 % 50000 - 500 AS moment, total, final, user_id % 3 AS loops FROM events JOIN t ON t.image_id = user_id)
     SELECT event_id, m.image_id, CASE WHEN loops > 0 AND moment >= total * loops THEN final ELSE f.frame_no END AS frame_no
     FROM m LEFT JOIN f ON moment >= 0 AND f.image_id = m.image_id AND moment % total >= f.stop - f.ms AND moment % total < f.stop AND NOT (loops > 0 AND moment >= total * loops)""")
+
+
+def _sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct colours and the median of green of fifty images, merged from summaries by image and window, each held
+    against the exact values by the bounds that sketches states."""
+    p = F.col("p")
+    rows = carriers.pixel_pairs(spark, sf).select((F.col("l_orderkey") % 50).alias("image_id"), "l_linenumber", px.signed(p).cast("int").alias("argb"), *[f(p).cast("int").alias(n) for n, f in zip("argb", (px.alpha, px.red, px.green, px.blue), strict=True)])
+    whole = sketches.merged(sketches.sketched(rows, "image_id", "l_linenumber"), "image_id")
+    found = whole.select("image_id", sketches.distinct_colours().alias("found"), sketches.quantile("g", 0.5).alias("median"))
+    exact = rows.join(found, "image_id").groupBy("image_id").agg(
+        F.count("*").alias("n"), F.countDistinct("argb").alias("colours"), F.first("found").alias("found"), F.count_if(F.col("g") < F.col("median")).alias("below"), F.count_if(F.col("g") <= F.col("median")).alias("upto")
+    )
+    near = F.abs(F.col("found") - F.col("colours")) <= F.col("colours") * sketches.COLOUR_ERROR + 1
+    middle = (F.col("below") <= F.col("n") * (0.5 + sketches.RANK_ERROR)) & (F.col("upto") >= F.col("n") * (0.5 - sketches.RANK_ERROR))
+    return exact.select("image_id", "n", "colours", near.alias("colours_within"), middle.alias("median_within"))
+
+
+_add("sketches_merged", _sketched, f"WITH {carriers.PAIRS} SELECT l_orderkey % 50 AS image_id, count(*) AS n, count(DISTINCT p) AS colours, true AS colours_within, true AS median_within FROM pairs GROUP BY ALL")
