@@ -12,14 +12,17 @@ class BitWriter:
     """From the least significant bit of each byte on."""
 
     def __init__(self):
-        self.value = self.count = 0
+        self.done, self.value, self.count = bytearray(), 0, 0
 
     def put(self, value: int, n: int) -> None:
         self.value |= value << self.count
         self.count += n
+        while self.count >= 64:
+            self.done += (self.value & (1 << 64) - 1).to_bytes(8, "little")
+            self.value, self.count = self.value >> 64, self.count - 64
 
     def bytes(self) -> bytes:
-        return self.value.to_bytes(self.count // 8 + 1, "little")
+        return bytes(self.done) + self.value.to_bytes(self.count // 8 + 1, "little")
 
 
 class FlatCode:

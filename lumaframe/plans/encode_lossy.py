@@ -3,11 +3,14 @@ probabilities are made up by a rule, as any tables do if writer and reader share
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 
 from lumaframe.kernels import vp8
 
 
+@functools.cache
 def made_up_tables() -> vp8.Tables:
     return vp8.Tables.parse(" ".join(str(1 + (97 * i + 13) % 254) for i in range(3012)))
 
