@@ -263,8 +263,15 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("uid <> pick").select(F.greatest("uid", "pick").alias("u"), F.least("uid", "pick").alias("v")).distinct()
 
 
+#: Tasks that first add up the counts of one part of the ranges.
+SPREAD = 64
+
+
 def commonness(texts: DataFrame, size: int, bits: int) -> np.ndarray:
-    """For each of 2**bits ranges of shingle hashes, about how many texts hold a shingle in it (8 log2, one byte)."""
+    """For each of 2**bits ranges of shingle hashes, about how many texts hold a shingle in it (8 log2, one byte).
+
+    Tasks' counts are added in two levels, as they arrive: SPREAD tasks share a part of the ranges at first, so what one
+    task reads grows with a SPREAD-th of the tasks, and it holds one sum a range."""
     part = 1 << min(bits, 13)
 
     def count(batches):
@@ -274,22 +281,28 @@ def commonness(texts: DataFrame, size: int, bits: int) -> np.ndarray:
                 n[shingle_hashes(t, size) >> np.uint64(64 - bits)] += 1
         for at in range(0, len(n), part):
             if n[at : at + part].any():
-                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([n[at : at + part].tobytes()], pa.binary())], ["at", "n"])
+                yield _sums({at: n[at : at + part].astype(np.int64)})
 
-    def add(group: pa.Table) -> pa.Table:
-        n = np.zeros(part, np.int64)
-        for x in group.column("n").to_pylist():
-            n += np.frombuffer(x, np.int32)
-        rank = np.minimum(255, np.round(8 * np.log2(n + 1.0))).astype(np.uint8)
-        return pa.table({"at": group.column("at").slice(0, 1), "n": pa.array([rank.tobytes()], pa.binary())})
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, x in zip(batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                sums.setdefault(at, np.zeros(part, np.int64))
+                sums[at] += np.frombuffer(x, np.int64)
+        yield _sums(sums)
 
-    tasks = texts.select("text").mapInArrow(count, "at int, n binary")
+    tasks = texts.select("text").mapInArrow(count, "at int, n binary").withColumn("share", F.spark_partition_id() % SPREAD)
+    some = tasks.repartition("at", "share").select("at", "n").mapInArrow(add, "at int, n binary")
     out = np.zeros(1 << bits, np.uint8)
-    for r in tasks.groupBy("at").applyInArrow(add, "at int, n binary").collect():
-        out[r.at : r.at + part] = np.frombuffer(r.n, np.uint8)
+    for r in some.repartition("at").mapInArrow(add, "at int, n binary").collect():
+        out[r.at : r.at + part] = np.minimum(255, np.round(8 * np.log2(np.frombuffer(r.n, np.int64) + 1.0))).astype(np.uint8)
     return out
 
 
+def _sums(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([n.tobytes() for n in sums.values()], pa.binary())], ["at", "n"])
+
+
 def prefixes(size: int, similarity: float, ranks):
     """Number n of distinct shingles and those of them that come first in one order for all texts, rare ones
     first: two texts as similar as that share at least one of these."""

@@ -77,3 +77,16 @@ def test_prefix_pairs_hold_every_similar_pair(spark, work):
     signed = docs.selectExpr("uid", "uid as component", "text").select("uid", "component", simhash.prefixes(5, 0.8, ranks)("text").alias("s"))
     got = {(r.u, r.v) for r in simhash.prefix_pairs(signed.select("uid", "component", "s.*"), 0.8, work).collect()}
     assert similar <= got and len(got) < 2 * len(similar)
+
+
+def test_commonness_is_the_number_of_texts_however_they_are_dealt(spark):
+    texts = [" ".join(f"w{(i * k) % 41}" for k in range(30)) for i in range(60)] + [None, "", "w1"]
+    rows = spark.createDataFrame([(t,) for t in texts if t is not None], "text string")
+    n = np.zeros(1 << 15, np.int64)
+    for t in texts:
+        if t is not None:
+            n[np.unique(simhash.shingle_hashes(t.encode(), 5) >> np.uint64(64 - 15))] += 1
+    want = np.minimum(255, np.round(8 * np.log2(n + 1.0))).astype(np.uint8)
+    for parts in (1, 7):
+        assert (simhash.commonness(rows.repartition(parts), 5, 15) == want).all()
+    assert not simhash.commonness(rows.limit(0), 5, 15).any()
