@@ -237,3 +237,18 @@ def _sketched(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _add("sketches_merged", _sketched, f"WITH {carriers.PAIRS} SELECT l_orderkey % 50 AS image_id, count(*) AS n, count(DISTINCT p) AS colours, true AS colours_within, true AS median_within FROM pairs GROUP BY ALL")
+
+
+def _text_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers and codes read from the bytes of every text, at places that some texts don't reach."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b"), (F.col("doc_id") % 200 * 11).cast("int").alias("at"))
+    le = lambda n, signed=False: images.little_endian(F.col("b"), F.col("at"), n, signed)
+    return rows.select("doc_id", le(1).alias("u8"), le(2).alias("u16"), le(3).alias("u24"), le(4).alias("u32"), le(2, True).alias("i16"), F.hex(F.encode(images.fourcc(F.col("b"), 7), "ISO-8859-1")).alias("code"))
+
+
+_BYTE = "CAST('0x' || substr(h, 2 * (start + {k}) + 1, 2) AS BIGINT)"
+_NUMBER = lambda n: f"CASE WHEN len(h) >= 2 * (start + {n}) THEN {' + '.join(f'{_BYTE.format(k=k)} * {256 ** k}' for k in range(n))} END"
+_add("s07_s09_text_numbers", _text_numbers, f"""
+    WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, doc_id % 200 * 11 AS start FROM documents)
+    SELECT doc_id, {_NUMBER(1)} AS u8, {_NUMBER(2)} AS u16, {_NUMBER(3)} AS u24, {_NUMBER(4)} AS u32,
+      CASE WHEN {_NUMBER(2)} > 32767 THEN {_NUMBER(2)} - 65536 ELSE {_NUMBER(2)} END AS i16, substr(h, 15, 8) AS code FROM b""")
