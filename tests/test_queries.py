@@ -7,7 +7,7 @@ import pytest
 from lumaframe import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "part lineitem events documents embeddings".split()
+TABLES = "part lineitem events documents embeddings pages".split()
 
 
 def rows(frame: pd.DataFrame) -> list:
