@@ -89,27 +89,52 @@ def chunk_code(kind: Column) -> Column:
     return F.when(code.isin(*CHUNK_TYPES), code).otherwise(F.raise_error(F.concat(F.lit("no code: "), kind)).cast("string"))
 
 
-def chunks(raw: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
-    """(image_id, seq, fourcc, type, size, payload, _corrupt) of each top-level chunk, as far as the walk comes."""
+def _walked(content: Column) -> Column:
+    """C2 in the JVM: struct<at, error, found: array<struct<fourcc, at, size>>> of one file's chunks.
 
-    @F.arrow_udf("array<struct<fourcc:string, at:int, size:int, error:string>>")
-    def walk(contents: pa.Array) -> pa.Array:
-        out = []
-        for data in contents.to_pylist():
-            found, at = [], 12
-            try:
-                for code, payload in container.chunks(data or b"", 12, container.riff_end(data or b"")):
-                    found.append({"fourcc": code, "at": at + 8, "size": len(payload), "error": None})
-                    at += 8 + len(payload) + (len(payload) & 1)
-            except ValueError as e:
-                found.append({"fourcc": None, "at": None, "size": None, "error": str(e)})
-            out.append(found)
-        return pa.array(out, pa.list_(pa.struct({"fourcc": pa.string(), "at": pa.int32(), "size": pa.int32(), "error": pa.string()})))
-
-    rows = raw.select("image_id", "content", F.posexplode(walk("content")).alias("seq", "c"))
-    payload = F.substring("content", F.col("c.at") + 1, F.col("c.size"))
-    kind = F.when(F.col("c.error").isNull(), chunk_type(F.col("c.fourcc")))
-    return _checked(mode, rows.select("image_id", "seq", "c.fourcc", kind.alias("type"), F.col("c.size").cast("long").alias("size"), payload.alias("payload"), F.col("c.error").alias("_corrupt")))
+    A fold over as many steps as the file may have chunks of 8 bytes, 64 * 64 of them in each outer step; once the walk
+    has ended, inner folds are over nothing."""
+    empty = F.expr("cast(array() as array<struct<fourcc:string, at:bigint, size:bigint>>)")
+
+    def state(at: Column, error: Column, found: Column) -> Column:
+        return F.struct(at.cast("long").alias("at"), error.cast("string").alias("error"), found.alias("found"))
+
+    def of(c: Column) -> Column:
+        length, riff = F.octet_length(c).cast("long"), little_endian(c, 4, 4)
+        end = 8 + riff
+        early, wrong = F.lit("the file ends early"), F.lit("not an image container")
+        fault = F.when(riff.isNull(), early).when((fourcc(c, 0) != "RIFF") | (F.coalesce(fourcc(c, 8), F.lit("")) != "WEBP") | (riff < 12), wrong)
+        ended = lambda s: s["error"].isNotNull() | (s["at"] >= end)
+
+        def step(s: Column, _: Column) -> Column:
+            at = s["at"]
+            size = little_endian(c, at.cast("int") + 4, 4)
+            error = F.when(size.isNull(), early).when((at + 8 + size > length) | (size > 0x7FFFFFFF), F.lit("a chunk ends early"))
+            code = F.decode(F.substring(c, at.cast("int") + 1, F.lit(4)), "ISO-8859-1")
+            more = F.concat(s["found"], F.array(F.struct(code.alias("fourcc"), (at + 8).alias("at"), size.alias("size"))))
+            return F.when(ended(s), s).when(error.isNotNull(), state(at, error, s["found"])).otherwise(state(at + 8 + size + size % 2, F.lit(None), more))
+
+        def folded(inner):
+            return lambda s, _: F.aggregate(F.when(ended(s), F.expr("cast(array() as array<int>)")).otherwise(F.sequence(F.lit(0), F.lit(63))), s, inner)
+
+        outer = F.sequence(F.lit(0), F.floor(length / (8 * 64 * 64)).cast("int"))
+        return F.aggregate(outer, state(F.lit(12), fault, empty), folded(folded(step)))
+
+    known = F.coalesce(content, F.lit(b""))
+    return F.get(F.transform(F.array(known), of), F.lit(0))
+
+
+def chunks(raw: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """(image_id, seq, fourcc, type, size, payload, _corrupt) of each top-level chunk, as far as the walk comes; a fault
+    is the last row. No row leaves the JVM."""
+    rows = raw.select("image_id", "content", _walked(F.col("content")).alias("w"))
+    fault = F.when(F.col("w.error").isNull(), F.expr("array()")).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("fourcc"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("long").alias("size"))))
+    kind = "array<struct<fourcc:string, at:bigint, size:bigint>>"
+    rows = rows.select("image_id", "content", "w.error", F.posexplode(F.concat("w.found", fault.cast(kind))).alias("seq", "c"))
+    bad = F.col("c.at").isNull()
+    payload = F.substring("content", F.col("c.at").cast("int") + 1, F.col("c.size").cast("int"))
+    kind = F.when(~bad, chunk_type(F.col("c.fourcc")))
+    return _checked(mode, rows.select("image_id", "seq", "c.fourcc", kind.alias("type"), "c.size", payload.alias("payload"), F.when(bad, F.col("error")).alias("_corrupt")))
 
 
 HEADER_KINDS = {

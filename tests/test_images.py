@@ -360,3 +360,36 @@ def test_gradient_filter_by_waves():
     for h, w in ((37, 53), (37, 1), (1, 53), (2, 2), (37, 2), (2, 53)):
         part = want[:h, :w]
         assert (compose.unfilter(d[:h, :w], 3) == part).all()
+
+
+def test_chunk_walk_in_the_jvm(spark):
+    """The walk of the container helper, on whole and on damaged files, without a Python worker."""
+    from lumaframe.plans import encode
+
+    whole = [encode.sample_file(i, [i * 7 + k for k in range(64)]) for i in range(6)]
+    many = riff(*(chunk(b"JUNK", bytes(k % 3)) for k in range(5000)))
+    data = [*whole, many, many[:20001], None, b"", b"RIFF", riff(), riff(chunk(b"VP8L", b"x"))[:-1]]
+    rng = np.random.default_rng(3)
+    for d in whole:
+        for _ in range(12):
+            k = int(rng.integers(0, min(len(d), 60)))
+            data += [d[:k], d[:k] + bytes([int(rng.integers(256))]) + d[k + 1 :]]
+
+    def plain(d):
+        out, at = [], 12
+        try:
+            for code, part in container.chunks(d or b"", 12, container.riff_end(d or b"")):
+                out.append((len(out), code, len(part), part, None))
+        except ValueError as e:
+            out.append((len(out), None, None, None, str(e)))
+        return out
+
+    raw = spark.createDataFrame([(str(i), d) for i, d in enumerate(data)], "image_id string, content binary")
+    found = images.chunks(raw)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.image_id, []).append((r.seq, r.fourcc, r.size, None if r.payload is None else bytes(r.payload), r._corrupt))
+    for i, d in enumerate(data):
+        assert sorted(got.get(str(i), [])) == plain(d), (i, d and d[:40])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
