@@ -139,27 +139,39 @@ def _binary(ids: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
     return out if null is None else pc.if_else(pa.array(null), pa.scalar(None, pa.binary()), out)
 
 
+def _groups(rows, size: int = 1 << 20):
+    """Rows (text, ...) in groups of about `size` bytes of text, so that identifiers are made for many at once."""
+    group, held = [], 0
+    for row in rows:
+        group.append(row)
+        held += len(row[0])
+        if held >= size:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
 def _anchor_rows(length: int, q: int):
     """Rows (uid, text) to runs of starts at an anchor: the identifier of its q-gram's bucket and that of all that
     the run's strings hold."""
 
+    def out(group: list[tuple]) -> pa.RecordBatch:
+        buckets, base, runs = Buckets(b"".join(text for text, _ in group), q), 0, []
+        for text, u in group:
+            at, first, last = np.array(anchors(gram_hashes(byte_symbols(text), q), length - q + 1), np.int64).T
+            runs.append((np.full(len(at), u, np.int64), at, first, last, np.full(len(at), base, np.int64)))
+            base += len(text)
+        uid, at, first, last, base = (np.concatenate(c) for c in zip(*runs, strict=True))
+        numbers = [pa.array(c.astype(np.int32)) for c in (at, at - last, at - first)]
+        columns = [pa.array(uid), *numbers, _binary(buckets.level(0, base + at)), _binary(buckets.of(base + first, base + last + length))]
+        return pa.RecordBatch.from_arrays(columns, ["uid", "pos", "lo", "hi", "gram", "hull"])
+
     def run(batches):
         for batch in batches:
-            uid, pos, lo, hi, gram, hull = [], [], [], [], [np.zeros((2, 0), np.uint64)], [np.zeros((2, 0), np.uint64)]
-            for u, text in zip(batch.column("uid").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                if text is None or len(text) < length:
-                    continue
-                buckets = Buckets(text, q)
-                at, first, last = np.array(anchors(gram_hashes(byte_symbols(text), q), length - q + 1), np.int64).T
-                uid.append(np.full(len(at), u, np.int64))
-                pos.append(at)
-                lo.append(at - last)
-                hi.append(at - first)
-                gram.append(buckets.level(0, at))
-                hull.append(buckets.of(first, last + length))
-            numbers = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in (uid, pos, lo, hi)]
-            columns = [pa.array(numbers[0]), *(pa.array(c.astype(np.int32)) for c in numbers[1:]), _binary(np.concatenate(gram, 1)), _binary(np.concatenate(hull, 1))]
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "pos", "lo", "hi", "gram", "hull"])
+            texts = zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("uid").to_pylist(), strict=True)
+            for group in _groups((t, u) for t, u in texts if t is not None and len(t) >= length):
+                yield out(group)
 
     return run
 
@@ -173,36 +185,34 @@ def _refine(width: int, length: int, q: int):
     length - b after it. The hull of a range that the run fills in part is null, and of one offset core and hull are the
     same."""
 
+    def out(group: list[tuple]) -> pa.RecordBatch | None:
+        rows, parents, base = [], [], 0
+        for text, u, ranges in group:
+            for r in ranges:
+                lo, hi = r["lo"], r["hi"]
+                for a in range(max(r["a"], lo // width * width), min(r["b"], hi) + 1, width):
+                    rows.append((u, r["pos"], lo, hi, a, a + width - 1, r["shown"], base))
+                    parents.append(r["bucket"])
+            base += len(text)
+        if not rows:
+            return None
+        buckets = Buckets(b"".join(text for text, _, _ in group), q)
+        uid, pos, lo, hi, a, b, shown, base = (np.array(c) for c in zip(*rows, strict=True))
+        at, parent = base + pos, np.frombuffer(b"".join(parents), np.uint64).reshape(-1, 2).T
+        core = joined(parent, a.astype(np.uint64), buckets.of(at - a, at - b + length))
+        names = [_binary(core)] * 2
+        if width > 1:
+            whole = (a >= lo) & (b <= hi)
+            hull = np.zeros_like(core)
+            hull[:, whole] = joined(core[:, whole], buckets.of((at - b)[whole], (at - a)[whole] + length))
+            names[1] = _binary(hull, ~whole)
+        columns = [pa.array(uid, pa.int64()), *(pa.array(c.astype(np.int32)) for c in (pos, lo, hi, a, b)), *names, pa.array(shown, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["uid", "pos", "lo", "hi", "a", "b", "core", "hull", "shown"])
+
     def run(batches):
         for batch in batches:
-            rows: list[tuple] = []
-            cores, hulls = [np.zeros((2, 0), np.uint64)], [np.zeros((2, 0), np.uint64)]
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for u, text, ranges in zip(batch.column("uid").to_pylist(), texts, batch.column("open").to_pylist(), strict=True):
-                own, parents = [], []
-                for r in ranges:
-                    lo, hi = r["lo"], r["hi"]
-                    for a in range(max(r["a"], lo // width * width), min(r["b"], hi) + 1, width):
-                        own.append((u, r["pos"], lo, hi, a, a + width - 1, r["shown"]))
-                        parents.append(r["bucket"])
-                if not own:
-                    continue
-                rows += own
-                buckets = Buckets(text, q)
-                at, lo, hi, a, b = np.array([x[1:6] for x in own], np.int64).T
-                parent = np.frombuffer(b"".join(parents), np.uint64).reshape(-1, 2).T
-                core = joined(parent, a.astype(np.uint64), buckets.of(at - a, at - b + length))
-                cores.append(core)
-                if width > 1:
-                    whole = (a >= lo) & (b <= hi)
-                    hull = np.zeros_like(core)
-                    hull[:, whole] = joined(core[:, whole], buckets.of((at - b)[whole], (at - a)[whole] + length))
-                    hulls.append(hull)
-            uid, pos, lo, hi, a, b, shown = zip(*rows, strict=True) if rows else [()] * 7
-            core = np.concatenate(cores, 1)
-            null = None if width == 1 else np.array([x < y or v > w for x, y, v, w in zip(a, lo, b, hi, strict=True)], bool)
-            columns = [pa.array(uid, pa.int64()), *(pa.array(c, pa.int32()) for c in (pos, lo, hi, a, b)), _binary(core), _binary(core) if width == 1 else _binary(np.concatenate(hulls, 1), null), pa.array(shown, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, ["uid", "pos", "lo", "hi", "a", "b", "core", "hull", "shown"])
+            rows = zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("uid").to_pylist(), batch.column("open").to_pylist(), strict=True)
+            yield from (found for found in map(out, _groups(rows)) if found is not None)
 
     return run
 
