@@ -1,16 +1,24 @@
 """Steps of the lossless format as relations: canonical codes, copies and the colour cache (L8-L14), without a loop over
-symbols or pixels. Positions are rows; what depends on earlier positions is found by windows or by pointer jumping."""
+symbols or pixels in one task. Positions are rows; what depends on earlier positions is found by windows, within blocks of
+positions, and by pointer jumping from block to block."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumaframe.functions import pixels as px
+from lumaframe.operators import groups
 from lumaframe.sources.files import kept
 
 #: The longest code word, and rounds of pointer jumping: enough for 2**40 steps.
 LONGEST, MOST_ROUNDS = 15, 40
+#: Places of a stream that a task follows at once.
+BLOCK = 1 << 16
 
 
 def canonical(lengths: DataFrame) -> DataFrame:
@@ -45,19 +53,91 @@ def symbols_at(places: DataFrame, codes: DataFrame) -> DataFrame:
     return both.where("at is not null and found is not null").select("code", "stream", "at", "found.symbol", "found.length")
 
 
-def reached(steps: DataFrame) -> DataFrame:
-    """(stream, at) of the places that are reached from place 0: steps (stream, at, next) are doubled from round to
-    round, and each round reaches as many places again. Joins are by (stream, place): no stream is one task's work."""
-    jump = kept(steps.select("stream", "at", "next").where("next > at"), "jumps")
-    have = kept(steps.where("at = 0").select("stream", "at"), "reached")
+def _places(table: pa.Table, first: np.ndarray, block: int) -> tuple[np.ndarray, ...]:
+    """Of each different place of these blocks: its row (that of a step, if it has one), whether that is a step, whether it
+    is marked as entered, where it goes on (-1: not in its block), and the place outside the block that it goes on to (-1:
+    none)."""
+    at, to, mark = groups.numbers(table, "at"), groups.numbers(table, "next", -1), table.column("entry").to_numpy()
+    group = np.repeat(np.arange(len(first)), np.diff([*first, len(at)]))
+    key = group * block + at % block
+    row = np.flatnonzero(np.diff(key, prepend=-1))
+    last = np.r_[row[1:], len(at)] - 1
+    key, at, to, step = key[row], at[row], to[row], ~mark[row]
+    onward = step & (to > at)
+    own = onward & (to // block == at // block)
+    wanted = np.where(own, key - at + to, -1)
+    found = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+    return row, step, mark[last] | (at == 0), np.where(own & (key[found] == wanted), found, -1), np.where(onward & ~own, to, -1)
+
+
+def _ways_through(block: int):
+    """Blocks to (stream, at, next): of each place where a block is entered, where it is left."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in groups.whole_groups(batches, ["stream", "block"], lambda t: np.ones(t.num_rows, np.int64)):
+            row, _, entered, onward, out = _places(table, first, block)
+            out = out[groups.ends_of(np.where(onward >= 0, onward, np.arange(len(row))))]
+            have = entered & (out >= 0)
+            rows = table.select(["stream", "at"]).take(pa.array(row[have]))
+            yield from rows.append_column("next", pa.array(out[have])).to_batches()
+
+    return run
+
+
+def _followed(block: int, names: list[str]):
+    """Blocks to the steps that are reached from their marked places and from place 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in groups.whole_groups(batches, ["stream", "block"], lambda t: np.ones(t.num_rows, np.int64)):
+            row, step, entered, onward, _ = _places(table, first, block)
+            seen, onward = bytearray(len(row)), onward.tolist()
+            for i in np.flatnonzero(entered).tolist():
+                while i >= 0 and not seen[i]:
+                    seen[i], i = 1, onward[i]
+            yield from table.select(names).take(pa.array(row[step & np.frombuffer(seen, bool)])).to_batches()
+
+    return run
+
+
+def reached(steps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Steps (stream, at, next and more columns; one for a place) without next, of those places that are reached from place
+    0 of their stream.
+
+    A stream is cut into blocks of places, each followed within a task; so steps are shuffled once. Only where steps cross
+    from block to block do two more things come before: each block tells for the places where it is entered where it is
+    left, and these ways, few for a block, are doubled from round to round."""
+    names = [c for c in steps.columns if c != "next"]
+    rows = kept(steps.where("stream is not null and at >= 0").withColumns({c: F.col(c).cast("long") for c in ("at", "next")}), "steps")
+    of = lambda c: F.floor(F.col(c) / block)
+    entries = kept(rows.where((F.col("next") > F.col("at")) & (of("next") > of("at"))).select("stream", F.col("next").alias("at")).distinct(), "entries")
+
+    def blocks(marked: DataFrame | None) -> DataFrame:
+        every = rows.withColumn("entry", F.lit(False))
+        if marked is not None:
+            every = every.unionByName(marked.select("stream", "at", F.lit(True).alias("entry")), allowMissingColumns=True)
+        return every.withColumn("block", of("at")).repartition("stream", "block").sortWithinPartitions("stream", "block", "at", "entry")
+
+    marked = None
+    if not entries.isEmpty():
+        ways = blocks(entries).mapInArrow(_ways_through(block), rows.select("stream", "at", "next").schema)
+        marked = _doubled(ways)
+    return blocks(marked).mapInArrow(_followed(block, names), rows.select(*names).schema)
+
+
+def _doubled(ways: DataFrame) -> DataFrame:
+    """(stream, at) of the places that are reached from place 0, itself included: ways (stream, at, next) are doubled from
+    round to round, and each round reaches as many places again. Joins are by (stream, place), and never by a copy of
+    one side on every machine."""
+    jump = kept(ways.where("next > at"), "jumps")
+    have = kept(ways.where("at = 0").select("stream", "at"), "reached")
     for _ in range(MOST_ROUNDS):
-        more = have.join(jump, ["stream", "at"]).select("stream", F.col("next").alias("at"))
+        more = have.join(jump.hint("merge"), ["stream", "at"]).select("stream", F.col("next").alias("at"))
         after = kept(have.union(more).distinct(), "reached")
         if after.count() == have.count():
-            return have.join(steps.select("stream", "at"), ["stream", "at"], "left_semi")
+            return have
         have = after
         ahead = jump.select("stream", F.col("at").alias("next"), F.col("next").alias("far"))
-        jump = kept(jump.join(ahead, ["stream", "next"]).select("stream", "at", F.col("far").alias("next")), "jumps")
+        jump = kept(jump.join(ahead.hint("merge"), ["stream", "next"]).select("stream", "at", F.col("far").alias("next")), "jumps")
     raise RuntimeError("a stream of too many symbols")
 
 

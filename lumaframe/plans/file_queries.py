@@ -157,15 +157,14 @@ def _decoded_symbols(spark: SparkSession, sf: str) -> DataFrame:
     lengths = _lengths(spark, sf)
     codes = kept(entropy.canonical(lengths), "codes")
     asked = lengths.select("code", "n").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(19))))
-    asked = asked.withColumn("i", (F.col("code") * 3 + F.col("j") * F.col("j")) % F.col("n")).join(lengths.select("code", "i", "symbol"), ["code", "i"]).join(codes.select("code", "symbol", "length", "word"), ["code", "symbol"])
+    asked = asked.withColumn("i", (F.col("code") * 3 + F.col("j") * F.col("j")) % F.col("n")).join(lengths.select("code", "i", "symbol").hint("merge"), ["code", "i"]).join(codes.select("code", "symbol", "length", "word").hint("merge"), ["code", "symbol"])
     word = F.when(F.col("length") > 0, F.lpad(F.bin("word"), F.col("length"), "0")).otherwise(F.lit(""))
     written = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", word.alias("w")))), lambda x: x["w"]), "")
     bits = asked.groupBy("code").agg(written.alias("bits"))
     places = bits.where("bits <> ''").select("code", "bits", F.explode(F.sequence(F.lit(0).cast("long"), F.length("bits").cast("long") - 1)).alias("at"))
     window = F.conv(F.rpad(F.substring("bits", F.col("at") + 1, F.lit(15)), 15, "0"), 2, 10).cast("long")
-    found = kept(entropy.symbols_at(places.select("code", F.col("code").cast("string").alias("stream"), "at", window.alias("window")), codes), "symbols")
-    real = entropy.reached(found.select("stream", "at", (F.col("at") + F.col("length")).alias("next")))
-    out = found.join(real, ["stream", "at"])
+    found = entropy.symbols_at(places.select("code", F.col("code").cast("string").alias("stream"), "at", window.alias("window")), codes)
+    out = entropy.reached(found.select("stream", "at", (F.col("at") + F.col("length")).alias("next"), "code", "symbol"))
     number = F.row_number().over(Window.partitionBy("code").orderBy("at")) - 1
     return out.select("code", number.cast("long").alias("j"), F.col("symbol").cast("long").alias("symbol"))
 
