@@ -34,3 +34,13 @@ def test_nulls_and_nothing(spark):
     rows = S.sketched(d, "k").select("k", "n", S.distinct_colours().alias("c")).orderBy("k").collect()
     assert [(r.k, r.n, r.c or 0) for r in rows] == [(1, 0, 0), (2, 1, 1)]
     assert S.merged(S.sketched(d.limit(0), "k"), "k").count() == 0
+
+
+def test_bounds_hold_for_every_group(spark):
+    """With 2**12 registers about one merged group in sixty was outside the bound of distinct colours."""
+    d = spark.range(2_400_000).select((F.col("id") % 400).alias("k"), (F.col("id") % 7).alias("w"), F.hash("id").alias("argb"), *[F.lit(0).alias(c) for c in "arg"], (F.xxhash64("id") % 128).cast("int").alias("b"))
+    found = S.merged(S.sketched(d, "k", "w"), "k").select("k", S.distinct_colours().alias("c"), S.quantile("b", 0.5).alias("m"))
+    rows = d.join(found, "k").groupBy("k").agg(F.countDistinct("argb").alias("n"), F.first("c").alias("c"), F.avg((F.col("b") < F.col("m")).cast("int")).alias("low"), F.avg((F.col("b") <= F.col("m")).cast("int")).alias("high")).collect()
+    assert len(rows) == 400
+    assert all(abs(r.c - r.n) <= r.n * 3 * 0.83 / 2**6 for r in rows)
+    assert all(r.low <= 0.5 + 0.0085 and r.high >= 0.5 - 0.0085 for r in rows)
