@@ -10,12 +10,13 @@ import pyarrow.compute as pc
 
 
 def starts(table: pa.Table, keys: list[str]) -> np.ndarray:
-    """The first row of each run of equal keys, none of which is null."""
+    """The first row of each run of equal keys; nulls are equal."""
     change = np.zeros(table.num_rows, bool)
     change[:1] = True
     for k in keys:
         c = table.column(k)
-        change[1:] |= pc.not_equal(c.slice(1), c.slice(0, table.num_rows - 1)).to_numpy()
+        one, before = c.slice(1), c.slice(0, table.num_rows - 1)
+        change[1:] |= pc.fill_null(pc.not_equal(one, before), True).to_numpy() & ~(one.is_null().to_numpy() & before.is_null().to_numpy())
     return np.flatnonzero(change)
 
 

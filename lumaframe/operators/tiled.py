@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.functions import pixels as px
 from lumaframe.kernels import compose
+from lumaframe.operators import groups
 
 TILE = "image_id string, frame_no int, width int, height int, side int, tx int, ty int, argb array<int>"
 KEYS = ["image_id", "frame_no", "tx", "ty"]
@@ -65,61 +66,104 @@ def _spread(places: np.ndarray, first: int, end: int, last: bool, side: int) ->
         yield t, own[own // side == t]
 
 
+#: Pixels that are worked on or handed on at once.
+AT_ONCE = 1 << 20
+
+
+def _lists(column: pa.Array, which: np.ndarray, size: int) -> np.ndarray:
+    """The lists of these rows, all of one size, as a matrix of unsigned numbers."""
+    ends = column.offsets.to_numpy()
+    if (ends[which + 1] - ends[which] != size).any():
+        raise ValueError("a tile with another number of pixels")
+    values = column.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False).view(np.uint32)
+    return values[ends[which].astype(np.int64)[:, None] + np.arange(size)]
+
+
+def _with_edges(batch: pa.RecordBatch, which: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Tiles of one form with one more column and row: those of the neighbours, or at the frame's edges their own last."""
+    _, h, w = own.shape
+    out = np.pad(own, ((0, 0), (0, 1), (0, 1)), mode="edge")
+    right, below, corner = (batch.column(c).is_valid().to_numpy(zero_copy_only=False)[which] for c in ("right", "below", "corner"))
+    if right.any():
+        out[right, :h, w] = _lists(batch.column("right"), which[right], h)
+    if below.any():
+        out[below, h, :w] = _lists(batch.column("below"), which[below], w)
+    out[:, h, w] = np.where(below, out[:, h, w - 1], out[:, h - 1, w])
+    if corner.any():
+        out[corner, h, w] = batch.column("corner").take(pa.array(which[corner])).to_numpy().view(np.uint32)
+    return out
+
+
 def _fragments(width: float, height: float, preserve_ratio: bool, smooth: bool, side: int):
-    """Tiles, with halos if smooth, to what they give to the target's tiles."""
+    """Tiles, with halos if smooth, to what they give to the target's tiles. Tiles of one form (size and place) are worked on
+    together."""
     names = ["image_id", "frame_no", "width", "height", "tx", "ty", "x", "y", "w", "h", "argb"]
 
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
-        for i in range(batch.num_rows):
-            r = {c: batch.column(c)[i].as_py() for c in ("image_id", "frame_no", "width", "height", "side", "tx", "ty")}
-            pixels = lambda c: batch.column(c).slice(i, 1).flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32)
-            tw, th = compose.target_size(r["width"], r["height"], width, height, preserve_ratio)
-            x0, y0 = r["tx"] * r["side"], r["ty"] * r["side"]
-            w, h = min(r["side"], r["width"] - x0), min(r["side"], r["height"] - y0)
-            own = pixels("argb").reshape(h, w)
-            if (tw, th) == (r["width"], r["height"]) or not smooth:
-                near = lambda n, target: np.minimum(n - 1, np.arange(target) * n // target)
-                columns, lines, near_only = near(r["width"], tw), near(r["height"], th), True
-            else:
-                (columns, _, fx), (lines, _, fy), near_only = compose.places(r["width"], tw), compose.places(r["height"], th), False
-                own = np.pad(own, ((0, 1), (0, 1)), mode="edge")
-                if batch.column("right")[i].is_valid:
-                    own[:h, w] = pixels("right")
-                if batch.column("below")[i].is_valid:
-                    own[h, :w] = pixels("below")
-                own[h, w] = batch.column("corner")[i].as_py() & 0xFFFFFFFF if batch.column("corner")[i].is_valid else own[h, w - 1] if batch.column("below")[i].is_valid else own[h - 1, w]
-            for ty, ys in _spread(lines, y0, y0 + h, y0 + h == r["height"], side):
-                for tx, xs in _spread(columns, x0, x0 + w, x0 + w == r["width"], side):
-                    at_y, at_x = lines[ys] - y0, columns[xs] - x0
-                    part = own[at_y[:, None], at_x] if near_only else compose.between(own, (at_y, at_y + 1, fy[ys]), (at_x, at_x + 1, fx[xs]))
-                    yield r["image_id"], r["frame_no"], tw, th, tx, ty, int(xs[0]), int(ys[0]), len(xs), len(ys), part.ravel().view(np.int32)
+    def parts(batch: pa.RecordBatch, which: np.ndarray, form: list[int]) -> Iterator[pa.RecordBatch]:
+        whole_w, whole_h, cut, tile_x, tile_y = form
+        tw, th = compose.target_size(whole_w, whole_h, width, height, preserve_ratio)
+        x0, y0 = tile_x * cut, tile_y * cut
+        w, h = min(cut, whole_w - x0), min(cut, whole_h - y0)
+        near_only = (tw, th) == (whole_w, whole_h) or not smooth
+        if near_only:
+            near = lambda n, target: np.minimum(n - 1, np.arange(target) * n // target)
+            columns, lines = near(whole_w, tw), near(whole_h, th)
+        else:
+            (columns, _, fx), (lines, _, fy) = compose.places(whole_w, tw), compose.places(whole_h, th)
+        needed = [(ty, ys, tx, xs) for ty, ys in _spread(lines, y0, y0 + h, y0 + h == whole_h, side) for tx, xs in _spread(columns, x0, x0 + w, x0 + w == whole_w, side)]
+        step = max(1, AT_ONCE // max([w * h, *(len(ys) * len(xs) for _, ys, _, xs in needed)]))
+        for own_rows in (which[k : k + step] for k in range(0, len(which), step)):
+            own, n = _lists(batch.column("argb"), own_rows, w * h).reshape(-1, h, w), len(own_rows)
+            if not near_only:
+                own = _with_edges(batch, own_rows, own)
+            keys = batch.select(["image_id", "frame_no"]).take(pa.array(own_rows))
+            for ty, ys, tx, xs in needed:
+                at_y, at_x = lines[ys] - y0, columns[xs] - x0
+                part = own[:, at_y[:, None], at_x] if near_only else compose.between(own, (at_y, at_y + 1, fy[ys]), (at_x, at_x + 1, fx[xs]))
+                fixed = [pa.array(np.full(n, v, np.int32)) for v in (tw, th, tx, ty, xs[0], ys[0], len(xs), len(ys))]
+                ends = pa.array(np.arange(n + 1, dtype=np.int32) * (len(xs) * len(ys)))
+                yield pa.RecordBatch.from_arrays([*keys.columns, *fixed, pa.ListArray.from_arrays(ends, pa.array(part.ravel().view(np.int32)))], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), *[pa.int32()] * 9, pa.list_(pa.int32())]
+        waiting, held = [], 0
         for batch in batches:
-            waiting, held = [], 0
-            for row in rows(batch):
-                waiting.append(row)
-                held += len(row[-1])
-                if held >= 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*waiting, strict=True), kinds, strict=True)], names)
-                    waiting, held = [], 0
-            if waiting:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*waiting, strict=True), kinds, strict=True)], names)
+            if not batch.num_rows:
+                continue
+            every, form = np.unique(np.stack([batch.column(c).to_numpy() for c in ("width", "height", "side", "tx", "ty")], axis=1), axis=0, return_inverse=True)
+            order = np.argsort(form.ravel(), kind="stable")
+            for f, which in zip(every.tolist(), np.split(order, np.cumsum(np.bincount(form.ravel()))[:-1]), strict=True):
+                for part in parts(batch, which, f):
+                    waiting.append(part)
+                    held += len(part.column("argb").values)
+                    if held >= AT_ONCE:
+                        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                        waiting, held = [], 0
+        if waiting:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
     return run
 
 
 def _assembled(side: int):
-    def run(group: pa.Table) -> pa.Table:
-        r = {c: group.column(c)[0].as_py() for c in ("image_id", "frame_no", "width", "height", "tx", "ty")}
-        x0, y0 = r["tx"] * side, r["ty"] * side
-        out = np.zeros((min(side, r["height"] - y0), min(side, r["width"] - x0)), np.int32)
-        for x, y, w, h, part in zip(*(group.column(c).to_pylist() for c in ("x", "y", "w", "h")), group.column("argb"), strict=True):
-            out[y - y0 : y - y0 + h, x - x0 : x - x0 + w] = part.values.to_numpy(zero_copy_only=False).reshape(h, w)
-        kinds = {"image_id": pa.string(), **dict.fromkeys(("frame_no", "width", "height", "side", "tx", "ty"), pa.int32())}
-        columns = [pa.array([(r | {"side": side})[c]], k) for c, k in kinds.items()]
-        return pa.Table.from_arrays([*columns, pa.array([out.ravel()], pa.list_(pa.int32()))], [*kinds, "argb"])
+    """Fragments sorted by target tile to the tiles, many at once: each pixel goes to its place of its tile."""
+    names = [x.split()[0] for x in TILE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in groups.whole_groups(batches, KEYS, lambda t: groups.numbers(t, "w") * groups.numbers(t, "h"), AT_ONCE):
+            c = {n: groups.numbers(table, n) for n in ("width", "height", "tx", "ty", "x", "y", "w", "h")}
+            x0, y0 = c["tx"] * side, c["ty"] * side
+            wide, size = np.minimum(side, c["width"] - x0), np.minimum(side, c["height"] - y0)
+            ends = np.r_[0, np.cumsum((wide * size)[first])]
+            start = np.repeat(ends[:-1], np.diff([*first, table.num_rows])) + (c["y"] - y0) * wide + c["x"] - x0
+            n = c["w"] * c["h"]
+            row = np.repeat(np.arange(len(n)), n)
+            line, column = np.divmod(np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n), c["w"][row])
+            out = np.zeros(ends[-1], np.int32)
+            out[start[row] + line * wide[row] + column] = table.column("argb").combine_chunks().flatten().to_numpy()
+            head = table.select(["image_id", "frame_no", "width", "height", "tx", "ty"]).take(pa.array(first))
+            own = {n: head.column(n).combine_chunks() for n in head.column_names}
+            own |= {"side": pa.array(np.full(len(first), side, np.int32)), "argb": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))}
+            yield pa.RecordBatch.from_arrays([own[n] for n in names], names)
 
     return run
 
@@ -128,11 +172,11 @@ def scale(rows: DataFrame, width: float = 0, height: float = 0, preserve_ratio:
     """Tiles of the frames at the wanted size (0: unset), `side` pixels wide and high: what one-row scaling gives.
 
     Smooth scaling takes halos from the neighbours first. A target tile is put together from at most side * side
-    pixels, in fragments of one pixel at least, so a group is bounded whatever the frame's size."""
+    pixels, in fragments of one pixel at least, so a group is bounded whatever the frame's size; many small tiles go together."""
     source = with_halo(rows) if smooth else rows
     schema = "image_id string, frame_no int, width int, height int, tx int, ty int, x int, y int, w int, h int, argb array<int>"
     parts = source.mapInArrow(_fragments(width, height, preserve_ratio, smooth, side), schema)
-    return parts.groupBy(*KEYS).applyInArrow(_assembled(side), TILE)
+    return parts.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(_assembled(side), TILE)
 
 
 def pixels(rows: DataFrame) -> DataFrame:

@@ -70,3 +70,20 @@ def test_a_large_frame_has_no_large_row(spark):
     rows = tiled.scale(tiled.tiles(frames, side), 333, 70, side=side)
     assert rows.select(F.max(F.size("argb"))).first()[0] <= side * side
     same(whole(rows), {"a": compose.bilinear(p, 333, 70)})
+
+
+def test_small_tiles_of_one_form_go_together(monkeypatch):
+    """One call for each form of tile and target tile, not one for each tile; nulls and edges as row by row."""
+    import pyarrow as pa
+
+    n, calls, between = 500, [], compose.between
+    monkeypatch.setattr(compose, "between", lambda *a: (calls.append(1), between(*a))[1])
+    ints = lambda v: pa.array([v] * n, pa.int32())
+    lists = lambda k: pa.array([None if k is None else RNG.integers(0, 1 << 31, k).tolist() for _ in range(n)], pa.list_(pa.int32()))
+    columns = {"image_id": pa.array([None, *map(str, range(n - 1))], pa.string()), "frame_no": ints(0), "width": ints(8), "height": ints(8), "side": ints(3), "tx": ints(1), "ty": ints(2), "argb": lists(6), "right": lists(2), "below": lists(None), "corner": ints(None)}
+    batch = pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    got = pa.Table.from_batches(tiled._fragments(13, 6, False, True, 4)(iter([batch])))
+    assert len(calls) <= 4
+    one = pa.concat_tables([pa.Table.from_batches(tiled._fragments(13, 6, False, True, 4)(iter([batch.slice(k, 1)]))) for k in range(n)])
+    key = lambda r: (r["image_id"] or "", r["tx"], r["ty"])
+    assert sorted(got.to_pylist(), key=key) == sorted(one.to_pylist(), key=key)
