@@ -5,11 +5,13 @@ positions, and by pointer jumping from block to block."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumaframe.functions import pixels as px
 from lumaframe.operators import groups
@@ -149,25 +151,61 @@ def placed(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0).cast("long")))
 
 
-def resolve_copies(tokens: DataFrame) -> DataFrame:
-    """(stream, at, value) of every place of tokens with start, see placed.
+def _within_blocks(block: int):
+    """Tokens by block, sorted by start, to (stream, at, to, value, done) of the block's places: done with the value of the
+    literal that a chain of copies ends at, or with null for a copy of nothing; else `to` is a place of an earlier block."""
 
-    A place of a copy points `distance` places back, into itself if the copy overlaps; a literal's place is its own end. Each
-    round replaces a pointer by where it points to, so chains of any length end after log2 rounds of one join of the
-    open places by (stream, place). A copy from before the stream's start, or of a distance below 1, has null."""
-    literal = F.col("value").isNotNull()
-    rows = tokens.withColumn("k", F.explode(F.when(literal, F.array(F.lit(0).cast("long"))).when(F.col("length") > 0, F.sequence(F.lit(0).cast("long"), F.col("length").cast("long") - 1))))
-    at = F.col("start") + F.col("k")
-    wrong = ~literal & ((F.col("distance") < 1) | (F.col("distance") > at))
-    to = F.when(literal, at).when(~wrong, at - F.col("distance"))
-    state = kept(rows.select("stream", at.alias("at"), to.alias("to"), (literal | wrong).alias("done"), "value"), "pointers")
+    def places_of(table: pa.Table) -> np.ndarray:
+        start, low = groups.numbers(table, "start"), groups.numbers(table, "block") * block
+        return np.minimum(start + groups.numbers(table, "size"), low + block) - np.maximum(start, low)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, first in groups.whole_groups(batches, ["stream", "block"], places_of):
+            n = places_of(table)
+            token = np.repeat(np.arange(len(n)), n)
+            low = (groups.numbers(table, "block") * block)[token]
+            at = np.maximum(groups.numbers(table, "start")[token], low) + np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+            literal = table.column("value").is_valid().to_numpy()[token]
+            far = groups.numbers(table, "distance")[token]
+            wrong = ~literal & ((far < 1) | (far > at))
+            base = np.repeat(np.arange(len(first)), np.diff([*first, len(n)]))[token] * block - low
+            key, to = base + at, at - far
+            inside = ~literal & ~wrong & (to >= low)
+            own = np.arange(len(token))
+            end = groups.ends_of(np.where(inside, np.searchsorted(key, base + to), own))
+            done = (literal | wrong)[end]
+            stream = table.column("stream").take(pa.array(token))
+            value = table.column("value").take(pa.array(np.where(literal, token, 0)[end], mask=~literal[end]))
+            rows = [stream, pa.array(at), pa.array(to[end], mask=done), value, pa.array(done)]
+            yield from pa.Table.from_arrays(rows, ["stream", "at", "to", "value", "done"]).combine_chunks().to_batches()
+
+    return run
+
+
+def resolve_copies(tokens: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(stream, at, value) of every place of tokens with start, see placed: a stream's places follow each other.
+
+    A place of a copy points `distance` places back, into itself if the copy overlaps; a literal's place is its own end. A
+    stream is cut into blocks of places, and within each every pointer is followed to its end or out of the block. Each
+    round replaces the pointers that are left by where they point to, so chains through any number of blocks end after
+    log2 rounds of one join of the open places by (stream, place); places that are done are not written again. A copy
+    from before the stream's start, or of no distance or one below 1, has null."""
+    size = F.when(F.col("value").isNotNull(), F.lit(1)).otherwise(F.col("length")).cast("long")
+    of = lambda c: F.floor(c / block)
+    rows = tokens.where("stream is not null").select("stream", F.col("start").cast("long").alias("start"), size.alias("size"), F.col("distance").cast("long").alias("distance"), "value").where("size > 0")
+    rows = rows.withColumn("block", F.explode(F.sequence(of(F.col("start")), of(F.col("start") + F.col("size") - 1))))
+    rows = rows.repartition("stream", "block").sortWithinPartitions("stream", "block", "start")
+    kind = T.StructType([tokens.schema["stream"], *(T.StructField(c, T.LongType()) for c in ("at", "to")), tokens.schema["value"], T.StructField("done", T.BooleanType())])
+    state = kept(rows.mapInArrow(_within_blocks(block), kind), "pointers")
+    ended, opened = [state.where("done")], state.where("not done")
     for _ in range(MOST_ROUNDS):
-        target = state.select("stream", F.col("at").alias("to"), F.col("to").alias("far"), F.col("done").alias("ended"), F.col("value").alias("got"))
-        opened = state.where("not done").select("stream", "at", "to").join(target, ["stream", "to"])
-        opened = opened.select("stream", "at", F.col("far").alias("to"), F.col("ended").alias("done"), F.col("got").alias("value"))
-        state = kept(state.where("done").union(opened), "pointers")
-        if state.where("not done").isEmpty():
-            return state.select("stream", "at", "value")
+        if opened.isEmpty():
+            return reduce(DataFrame.union, ended).select("stream", "at", "value")
+        known = reduce(DataFrame.union, [*ended, opened])
+        target = known.select("stream", F.col("at").alias("to"), F.col("to").alias("far"), F.col("done").alias("over"), F.col("value").alias("got"))
+        more = opened.select("stream", "at", "to").join(target.hint("merge"), ["stream", "to"])
+        more = kept(more.select("stream", "at", F.col("far").alias("to"), F.col("got").alias("value"), F.col("over").alias("done")), "pointers")
+        ended, opened = [*ended, more.where("done")], more.where("not done")
     raise RuntimeError("a chain of too many copies")
 
 

@@ -29,6 +29,25 @@ def test_reached_across_blocks(spark, block):
     assert got.columns == ["stream", "at", "v"] and set(rows) == want and len(rows) == len(want)
 
 
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_copies_across_blocks(spark, block):
+    """Chains of copies through many blocks, copies of several blocks' length, copies of nothing."""
+    rng = random.Random(block)
+    tokens = {"chain": [5, *[(1, 1)] * 300], "long": [1, 2, 3, (500, 3), 4, (300, 250)], "wrong": [(3, 1), 7, (2, 9), (70, 1), (1, None), (5, 5)]}
+    tokens |= {f"r{k}": [1, *(rng.choice([rng.randrange(99), (rng.randrange(1, 30), rng.randrange(1, 200))]) for _ in range(100))] for k in range(3)}
+    rows, want = [], {}
+    for s, own in tokens.items():
+        out = []
+        for i, t in enumerate(own):
+            rows.append((s, i, t, None, None) if isinstance(t, int) else (s, i, None, *t))
+            for _ in range(t[0] if isinstance(t, tuple) else 1):
+                out.append(t if isinstance(t, int) else out[len(out) - t[1]] if t[1] and 0 < t[1] <= len(out) else None)
+        want |= {(s, k): v for k, v in enumerate(out)}
+    frame = entropy.placed(spark.createDataFrame(rows, "stream string, seq int, value int, length int, distance int").repartition(3))
+    got = [(r.stream, r["at"], r.value) for r in entropy.resolve_copies(frame, block).collect()]
+    assert len(got) == len(want) and {(s, k): v for s, k, v in got} == want
+
+
 @pytest.mark.parametrize("name", ["l10_decoded_symbols"])
 def test_no_broadcast(spark, name):
     """Small compressed tables may have many rows: a broadcast of places asked for more than the driver's memory."""
