@@ -198,7 +198,7 @@ class Learner:
         self.squares, self.used = np.zeros_like(self.p), np.zeros(vocab.rows, np.int64)
 
     def _change(self, rows: np.ndarray, gradients: np.ndarray) -> None:
-        order = np.argsort(rows)
+        order = _order(rows)
         rows = rows[order]
         first = np.concatenate(([0], np.flatnonzero(rows[1:] != rows[:-1]) + 1))
         g, at = np.add.reduceat(gradients[order], first, axis=0), rows[first]
@@ -221,8 +221,11 @@ class Learner:
         expected = np.log(NOISE * v.share).astype(np.float32)
         target, others = p[v.q + cls], p[v.q + noise]
         up = _sigmoid((hidden * target).sum(1) - expected[cls]) - 1
-        down = _sigmoid(hidden @ others.T - expected[noise])
-        back = up[:, None] * target + down @ others
+        down = hidden @ others.T
+        down -= expected[noise]
+        down = _sigmoid(down)
+        back = down @ others
+        back += up[:, None] * target
 
         at = np.flatnonzero(out >= 0)
         if len(at):
@@ -244,8 +247,18 @@ class Learner:
             self._change(context[:, k], back)
 
 
+def _order(rows: np.ndarray) -> np.ndarray:
+    """What sorts the rows; those of one table mostly lie within 16 bits, which numpy sorts digit by digit."""
+    low = rows.min()
+    near = rows.max() - low < 1 << 16
+    return np.argsort((rows - low).astype(np.uint16) if near else rows, kind="stable")
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    out = np.negative(x)
+    np.exp(out, out=out)
+    out += 1
+    return np.divide(1, out, out=out)
 
 
 VALUES = [f"v{k}" for k in range(DIM + 1)]
